@@ -106,6 +106,7 @@ def segment(tokens: DataFrame) -> DataFrame:
         "p_sel_block": F.when(opener, F.lag("sel_block").over(wq)),
         "p_branch": F.when(opener, F.lag("branch").over(wq)),
         "p_clause": F.when(opener, F.lag("clause").over(wq)),
+        "p_item_no": F.when(opener, F.lag("item_no").over(wq)),
     })
     return t.drop("prev_bao")
 

@@ -55,7 +55,7 @@ s11 AS (SELECT *,
              AND NOT (tok = 'and' AND coalesce(prev_bao = 'between', false)), false) AS is_conn,
     coalesce(at_top AND ((tok = ',' AND clause IN ('select', 'from', 'group', 'order'))
                          OR (tok = 'join' AND clause = 'from')), false) AS is_sep FROM s10),
-{out} AS (SELECT *,
+{out}0 AS (SELECT *,
     sum(CAST(is_conn OR is_sep OR tok = 'on' AS INT)) OVER (
       PARTITION BY query_id, sel_depth, sel_block, branch, clause ORDER BY pos {RUN}) AS item_no,
     coalesce(kw IS NOT NULL OR is_conn OR is_sep OR tok IN {SETOPS}
@@ -63,7 +63,8 @@ s11 AS (SELECT *,
     CASE WHEN sbo = 1 THEN lag(sel_block) OVER (PARTITION BY query_id ORDER BY pos) END AS p_sel_block,
     CASE WHEN sbo = 1 THEN lag(branch) OVER (PARTITION BY query_id ORDER BY pos) END AS p_branch,
     CASE WHEN sbo = 1 THEN lag(clause) OVER (PARTITION BY query_id ORDER BY pos) END AS p_clause
-  FROM s11)"""
+  FROM s11),
+{out} AS (SELECT *, CASE WHEN sbo = 1 THEN lag(item_no) OVER (PARTITION BY query_id ORDER BY pos) END AS p_item_no FROM {out}0)"""
 
 
 def items_cte(seg: str = "seg", out: str = "items") -> str:

@@ -19,7 +19,7 @@ def _scored(spark, sf_dir):
     return S.score_pairs(spark, T.pairs(spark, sf_dir), cols, fks, T.STAR_DB)
 
 
-@register("e18_fk_canonical", CATALOG_SQL + """,
+@register("e18_fk_canonical", CATALOG_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 e AS (SELECT column_id AS a, other_column_id AS b FROM fks UNION SELECT other_column_id, column_id FROM fks),
 reach(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
 lab AS (SELECT node, min(other) AS label FROM reach GROUP BY node)

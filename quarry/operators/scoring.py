@@ -69,68 +69,76 @@ def fk_canonical(spark: SparkSession, cols: DataFrame, fks: DataFrame, max_round
 
 
 # --------------------------------------------------------- E03, E06, E15, E16
+MAX_CATALOG_COLUMNS = 500_000
+
+
+def catalog_lookup(cols: DataFrame, canon: DataFrame, db_id: str):
+    """Catalog of one database as literal lookup columns (schema metadata only,
+    size-checked): table set, ``table.column`` set, FK canonical map."""
+    meta = (cols.filter((F.col("column_id") > 0) & (F.col("db_id") == db_id))
+                .select(F.lower("table_name").alias("t"), F.lower("column_name").alias("c")).limit(MAX_CATALOG_COLUMNS + 1).collect())
+    if len(meta) > MAX_CATALOG_COLUMNS:
+        raise ValueError("catalog too large for a literal lookup")
+    cmap = canon.filter(F.col("db_id") == db_id).select("col_ident", "canon_ident").collect()
+    tables = sorted({r.t for r in meta})
+    tcols = sorted({f"{r.t}.{r.c}" for r in meta})
+    tab_arr = F.array(*[F.lit(t) for t in tables])
+    col_map = F.create_map(*[x for tc in tcols for x in (F.lit(tc), F.lit(True))])
+    canon_map = (F.create_map(*[x for r in cmap for x in (F.lit(r.col_ident), F.lit(r.canon_ident))])
+                 if cmap else F.create_map().cast("map<string,string>"))
+    return tab_arr, col_map, canon_map
+
+
 def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> DataFrame:
-    """Adds ``sig`` (resolved, canonical, masked token) and ``invalid`` per query."""
-    catc = checked_broadcast(cols.filter("column_id > 0").select(
-        F.lower("table_name").alias("ctable"), F.lower("column_name").alias("ccol")))
-    cat_tables = checked_broadcast(catc.select(F.col("ctable").alias("table")).distinct())
-    tok, prv = F.col("tok"), F.col("prv")
-    blk = ["query_id", "sel_depth", "sel_block", "branch"]
-    # Alias table, query-wide; every catalog table is its own alias
-    aliases = seg.filter(tok == "as").select("query_id", F.col("nxt").alias("alias"), F.col("prv").alias("atable"))
-    # FROM tables per block, in FROM order (derived tables are sub-blocks)
-    ftab = seg.filter((F.col("clause") == "from") & F.col("at_top") & ~F.col("is_struct") & (tok != "as")
-                      & ~F.coalesce(prv == "as", F.lit(False)) & ~tok.isin("(", ")"))
-    ftab = ftab.select(*blk, F.col("pos").alias("tpos"), tok.alias("table"))
-    bad_tables = ftab.join(cat_tables, "table", "left_anti").select("query_id").distinct()
+    """Adds ``sig`` (resolved, canonical, masked token) and ``invalid`` per query.
 
+    Everything is a window over ``query_id``-prefixed keys on the segmented
+    table (no join, no exchange): alias pairs (E03) and FROM tables (E06) are
+    collected per query / per block; the catalog is a literal lookup.
+    """
+    tab_arr, col_map, canon_map = catalog_lookup(cols, canon, db_id)
+    tok, prv = F.col("tok"), F.col("prv")
+    wq = W.partitionBy("query_id")
+    wb = W.partitionBy("query_id", "sel_depth", "sel_block", "branch")
+    is_ftab = (F.col("clause") == "from") & F.col("at_top") & ~F.col("is_struct") & (tok != "as") \
+        & ~F.coalesce(prv == "as", F.lit(False)) & ~tok.isin("(", ")")
+    t = seg.withColumn("is_ftab", is_ftab)
+    t = t.withColumns({
+        # Alias table, query-wide
+        "aliases": F.collect_list(F.when(tok == "as", F.struct(F.col("nxt").alias("a"), prv.alias("t")))).over(wq),
+        # FROM tables of the block, in FROM order
+        "ftabs": F.array_sort(F.collect_list(F.when(F.col("is_ftab"), F.struct("pos", "tok"))).over(wb)),
+        # E19 scope: tables of the top-level FROM
+        "scope": F.collect_set(F.when(F.col("is_ftab") & (F.col("sel_depth") == 0) & (F.col("branch") == 0), tok)).over(wq),
+    })
     is_ref = (F.col("clause").isin(*REF_CLAUSES) & ~F.col("is_struct") & ~F.col("is_lit")
-              & tok.rlike(r"^([a-z_][a-z0-9_.]*|\*)$") & ~tok.isin(*NOT_COLUMNS) & (F.col("sbo") == 0)
-              & (F.col("sbc") == 0))
-    refs = seg.filter(is_ref).select(*blk, "pos", "tok")
-    star = refs.filter(tok == "*").select("query_id", "pos", F.lit("__all__").alias("ident"), F.lit(None).cast("string").alias("rtable"))
-    al = aliases.select(F.col("query_id").alias("aq"), "alias", "atable").distinct()
-    dotted = refs.filter(tok.contains(".")).withColumn("a", F.substring_index("tok", ".", 1)) \
-                 .withColumn("c", F.substring_index("tok", ".", -1))
-    dotted = dotted.join(al, (dotted["query_id"] == al["aq"]) & (dotted["a"] == al["alias"]), "left")
-    # keep one alias match per ref (or none): prefer a real alias
-    dotted = (dotted.groupBy("query_id", "pos", "a", "c")
-                    .agg(F.max("atable").alias("atable"))
-                    .withColumn("rtable", F.coalesce("atable", "a"))
-                    .join(catc, (F.col("rtable") == catc.ctable) & (F.col("c") == catc.ccol), "left")
-                    .select("query_id", "pos", F.when(F.col("ctable").isNotNull(),
-                                                     F.concat(F.lit("__"), F.col("rtable"), F.lit("."), F.col("c"), F.lit("__"))).alias("ident"),
-                            "rtable"))
-    bare = (refs.filter(~tok.contains(".") & (tok != "*"))
-                .join(ftab, blk, "left")
-                .join(catc, (F.col("table") == catc.ctable) & (F.col("tok") == catc.ccol), "left")
-                .groupBy("query_id", "pos", "tok")
-                .agg(F.min_by(F.when(F.col("ctable").isNotNull(), F.col("table")),
-                              F.when(F.col("ctable").isNotNull(), F.col("tpos"))).alias("rtable"))
-                .select("query_id", "pos", F.when(F.col("rtable").isNotNull(),
-                                                 F.concat(F.lit("__"), F.col("rtable"), F.lit("."), F.col("tok"), F.lit("__"))).alias("ident"),
-                        "rtable"))
-    res = star.unionByName(dotted).unionByName(bare)
-    bad_refs = res.filter(F.col("ident").isNull()).select("query_id").distinct()
-    # Canonicalize only columns whose table is in the top-level FROM
-    scope = ftab.filter((F.col("sel_depth") == 0) & (F.col("branch") == 0)).select("query_id", F.col("table").alias("rtable")).distinct()
-    canon_b = checked_broadcast(canon.filter(F.col("db_id") == db_id).select(F.col("col_ident").alias("ident"), "canon_ident"))
-    res = (res.join(scope.withColumn("in_scope", F.lit(True)), ["query_id", "rtable"], "left")
-              .join(canon_b, "ident", "left")
-              .select("query_id", "pos", F.when(F.col("in_scope") & F.col("canon_ident").isNotNull(), F.col("canon_ident"))
-                      .otherwise(F.col("ident")).alias("ident")))
-    quotes = seg.groupBy("query_id").agg(
-        ((F.sum(F.length("tok") - F.length(F.regexp_replace("tok", '"', ""))) % 2) != 0).alias("odd"),
-        (F.sum("open") != F.sum("close")).alias("unbalanced"))
-    invalid = (bad_tables.unionByName(bad_refs)
-                         .unionByName(quotes.filter(F.col("odd") | F.col("unbalanced")).select("query_id")).distinct()
-                         .withColumn("invalid", F.lit(True)))
-    out = seg.join(res, ["query_id", "pos"], "left").join(invalid, "query_id", "left")
+              & tok.rlike(r"^([a-z_][a-z0-9_.]*|\*)$") & ~tok.isin(*NOT_COLUMNS) & (F.col("sbo") == 0) & (F.col("sbc") == 0))
+    a = F.substring_index(tok, ".", 1)
+    c = F.substring_index(tok, ".", -1)
+    alias_t = F.get(F.transform(F.filter("aliases", lambda x: x["a"] == a), lambda x: x["t"]), 0)
+    dotted_t = F.coalesce(alias_t, a)
+    bare_t = F.get(F.transform(F.filter("ftabs", lambda x: F.coalesce(col_map[F.concat(x["tok"], F.lit("."), tok)], F.lit(False))),
+                               lambda x: x["tok"]), 0)
+    rtable = F.when(tok.contains("."), dotted_t).otherwise(bare_t)
+    rcol = F.when(tok.contains("."), c).otherwise(tok)
+    known = F.coalesce(col_map[F.concat(rtable, F.lit("."), rcol)], F.lit(False))
+    ident = (F.when(~is_ref, F.lit(None))
+             .when(tok == "*", F.lit("__all__"))
+             .when(known, F.concat(F.lit("__"), rtable, F.lit("."), rcol, F.lit("__"))))
+    t = t.withColumns({"is_ref": is_ref, "rtable": rtable, "ident0": ident})
+    canon_ident = F.when(F.array_contains("scope", F.col("rtable")), canon_map[F.col("ident0")])
+    t = t.withColumn("ident", F.coalesce(canon_ident, F.col("ident0")))
+    bad = ((F.col("is_ref") & F.col("ident0").isNull())
+           | (F.col("is_ftab") & ~F.array_contains(tab_arr, tok)))
+    quotes = F.length("tok") - F.length(F.regexp_replace("tok", '"', ""))
+    t = t.withColumn("invalid", F.coalesce(
+        F.max(bad.cast("int")).over(wq) == 1, F.lit(False))
+        | ((F.sum(quotes).over(wq) % 2) != 0) | (F.sum("open").over(wq) != F.sum("close").over(wq)))
     sig = (F.when(F.col("ident").isNotNull(), F.col("ident"))
            .when(F.col("is_lit") | tok.rlike(r"^[0-9]"), F.lit(MASK))      # E20 value masking
            .when(tok == "distinct", F.lit(None))                            # E21 distinct masking
            .otherwise(tok))
-    return out.withColumn("sig", sig).withColumn("invalid", F.coalesce("invalid", F.lit(False)))
+    return t.withColumn("sig", sig).drop("aliases", "ftabs", "scope", "ident0")
 
 
 def _join_sig(col: str = "sig") -> Column:

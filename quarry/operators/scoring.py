@@ -105,7 +105,7 @@ def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> Da
     t = seg.withColumn("is_ftab", is_ftab)
     t = t.withColumns({
         # Alias table, query-wide
-        "aliases": F.collect_list(F.when(tok == "as", F.struct(F.col("nxt").alias("a"), prv.alias("t")))).over(wq),
+        "aliases": F.array_sort(F.collect_list(F.when(tok == "as", F.struct(F.col("nxt").alias("a"), prv.alias("t")))).over(wq)),
         # FROM tables of the block, in FROM order
         "ftabs": F.array_sort(F.collect_list(F.when(F.col("is_ftab"), F.struct("pos", "tok"))).over(wb)),
         # E19 scope: tables of the top-level FROM

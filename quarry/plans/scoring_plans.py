@@ -11,6 +11,7 @@ from ..sources import corpus as A
 from ..sources import tables as T
 from .catalog_plans import CATALOG_SQL
 from .registry import register
+from .sql_scoring import scoring_ctes
 
 
 def _scored(spark, sf_dir):
@@ -31,25 +32,44 @@ def e18(spark, sf_dir):
     return S.fk_canonical(spark, cols, C.foreign_keys(spark, cols))
 
 
-@register("e36_partial_scores", None, ops="E05 E06 E07 E08 E09 E10 E11 E12 E13 E14 E15 E19 E20 E21 E27 E28 E29 E30 E31 E32 E33 E34 E35 E36")
+@register("e36_partial_scores", T.with_views(f"WITH RECURSIVE {scoring_ctes()}\nSELECT * FROM comp", "pairs"), ops="E05 E06 E07 E08 E09 E10 E11 E12 E13 E14 E15 E19 E20 E21 E27 E28 E29 E30 E31 E32 E33 E34 E35 E36")
 def e36(spark, sf_dir):
     comp, _ = _scored(spark, sf_dir)
     return comp
 
 
-@register("e38_pair_report", None, ops="E16 E37 E38 E39")
+@register("e38_pair_report", T.with_views(f"WITH RECURSIVE {scoring_ctes()}\nSELECT * FROM report", "pairs"), ops="E16 E37 E38 E39")
 def e38(spark, sf_dir):
     _, rep = _scored(spark, sf_dir)
     return rep
 
 
-@register("e41_score_table", None, ops="E40 E41")
+ROLLUP_SQL = """,
+lv AS (SELECT pair_id, hardness AS level, exact FROM report UNION ALL SELECT pair_id, 'all', exact FROM report),
+counts AS (SELECT level, count(*) AS cnt, sum(exact) AS exact_sum FROM lv GROUP BY level),
+sums AS (SELECT lv.level, c.comp, sum(CASE WHEN pred_total > 0 THEN acc ELSE 0 END) AS acc_sum,
+           count(*) FILTER (WHERE pred_total > 0) AS acc_count,
+           sum(CASE WHEN label_total > 0 THEN rec ELSE 0 END) AS rec_sum, count(*) FILTER (WHERE label_total > 0) AS rec_count
+         FROM comp c JOIN lv ON lv.pair_id = c.pair_id GROUP BY lv.level, c.comp),
+rs2 AS (SELECT *, CASE WHEN acc_count = 0 THEN 0.0 ELSE acc_sum / acc_count END AS acc,
+         CASE WHEN rec_count = 0 THEN 0.0 ELSE rec_sum / rec_count END AS rec FROM sums),
+scores AS (
+  SELECT level, comp AS component, round(acc, 6) AS acc, round(rec, 6) AS rec,
+    round(CASE WHEN acc = 0 AND rec = 0 THEN 1.0 ELSE 2.0 * acc * rec / (acc + rec) END, 6) AS f1 FROM rs2
+  UNION ALL SELECT level, 'exact match', NULL, NULL, round(exact_sum / cnt, 6) FROM counts
+  UNION ALL SELECT level, 'count', NULL, NULL, CAST(cnt AS DOUBLE) FROM counts)"""
+
+
+@register("e41_score_table", T.with_views(f"WITH RECURSIVE {scoring_ctes()}{ROLLUP_SQL}\nSELECT * FROM scores", "pairs"),
+          ops="E40 E41")
 def e41(spark, sf_dir):
     comp, rep = _scored(spark, sf_dir)
     return S.roll_up(comp, rep)
 
 
-@register("e42_score_pivot", None, ops="E42")
+@register("e42_score_pivot", T.with_views(f"""WITH RECURSIVE {scoring_ctes()}{ROLLUP_SQL}
+SELECT * FROM (PIVOT (SELECT component, level, f1 FROM scores) ON level IN ('easy', 'medium', 'hard', 'extra', 'all')
+  USING first(f1) GROUP BY component)""", "pairs"), ops="E42")
 def e42(spark, sf_dir):
     comp, rep = _scored(spark, sf_dir)
     return S.pivot_scores(S.roll_up(comp, rep))
@@ -65,7 +85,8 @@ def e45(spark, sf_dir):
     return t.filter(F.col("turn_idx") >= 0).groupBy("conv_id").agg(F.count("*").alias("n_scored"))
 
 
-@register("e46_metric_row", None, ops="E46 H03")
+@register("e46_metric_row", T.with_views(f"""WITH RECURSIVE {scoring_ctes()}
+SELECT round(avg(exact), 6) AS exact_match, count(*) AS n_pairs FROM report""", "pairs"), ops="E46 H03")
 def e46(spark, sf_dir):
     comp, rep = _scored(spark, sf_dir)
     return S.metric_row(rep, mode="exact_match")

@@ -11,6 +11,9 @@ from ..operators import slots as L
 from ..sources import tables as T
 from . import sql_querylog as SQ
 from .registry import register
+from .sql_scoring import scoring_ctes
+
+HYP_SIDES = "SELECT ex_id * 4 + hyp_rank AS qid, ex_id AS pair_id, hyp_rank AS side, pred AS sql FROM hypotheses"
 
 _STAR = ", ".join(f"'{t}'" for t in T.STAR_TABLES)
 _KEEP = SQ._in(L.KEEP)
@@ -144,7 +147,12 @@ def f09(spark, sf_dir):
     return g.select(F.col("gen_idx").cast("bigint"), F.col("ex_no").cast("bigint"), "hyp_rank", (F.col("hyp_rank") == 0).alias("is_top"))
 
 
-@register("f10_first_valid", None, ops="F10 E02 E16")
+@register("f10_first_valid", T.with_views(f"""WITH RECURSIVE {scoring_ctes(HYP_SIDES)},
+hv AS (SELECT h.ex_id, h.hyp_rank, h.pred, b.query_id IS NULL AS valid FROM hypotheses h
+       LEFT JOIN bad b ON b.query_id = h.ex_id * 4 + h.hyp_rank)
+SELECT ex_id, arg_min(hyp_rank, (CASE WHEN valid THEN 0 ELSE 1 END) * 1000000 + hyp_rank) AS chosen_rank,
+  arg_min(pred, (CASE WHEN valid THEN 0 ELSE 1 END) * 1000000 + hyp_rank) AS pred_sql, bool_or(valid) AS found_valid
+FROM hv GROUP BY ex_id""", "hypotheses"), ops="F10 E02 E16")
 def f10(spark, sf_dir):
     h = T.hypotheses(spark, sf_dir).withColumn("query_id", F.col("ex_id") * 4 + F.col("hyp_rank"))
     cols = C.profile(spark, sf_dir)

@@ -180,6 +180,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({DERIVED_SQL[n]})" for n in order)
     body = sql.lstrip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:]}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:]}"
     return f"WITH {ctes}\n{body}"

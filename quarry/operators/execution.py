@@ -12,6 +12,7 @@ its batch. Result comparison is a distributed bag comparison (join on
 
 from __future__ import annotations
 
+import logging
 import re
 import uuid
 
@@ -44,10 +45,14 @@ class quiet_log:
         except Exception:  # noqa: BLE001
             self.level = "WARN"
         self.sc.setLogLevel("OFF")
+        self.py = logging.getLogger("SQLQueryContextLogger")
+        self.py_level = self.py.level
+        self.py.setLevel(logging.CRITICAL)
         return self
 
     def __exit__(self, *exc):
         self.sc.setLogLevel(self.level or "WARN")
+        self.py.setLevel(self.py_level)
         return False
 
 

@@ -124,3 +124,13 @@ def d14(spark, sf_dir):
     return r.groupBy("ex_id", "table_name", "column_name").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), " , ").alias("values"),
         F.max("score").alias("best_score"))
+
+
+@register("d03_byte_decoding", """
+SELECT doc_id, decode(encode(text)) = text AS round_trip_ok, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents""",
+          ops="D03")
+def d03(spark, sf_dir):
+    d = T.table(spark, sf_dir, "documents")
+    b = F.encode("text", "UTF-8")
+    return d.select("doc_id", (D.decode_bytes(b) == F.col("text")).alias("round_trip_ok"),
+                    F.octet_length(b).cast("bigint").alias("n_bytes"))

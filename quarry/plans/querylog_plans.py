@@ -65,3 +65,10 @@ def difficulty_mix(spark, sf_dir):
     return h.groupBy(F.col("hardness").alias("level")).agg(
         F.count("*").alias("n_queries"), F.sum("component1").cast("bigint").alias("sum_component1"),
         F.sum("component2").cast("bigint").alias("sum_component2"), F.sum("others").cast("bigint").alias("sum_others"))
+
+
+@register("e03_alias_table", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()}
+SELECT DISTINCT query_id, nxt AS alias, prv AS table_name FROM seg WHERE tok = 'as'""", "workload"), ops="E03")
+def e03_alias_table(spark, sf_dir):
+    seg = Q.segment(Q.tokenize(T.workload(spark, sf_dir), "gold"))
+    return seg.filter(F.col("tok") == "as").select("query_id", F.col("nxt").alias("alias"), F.col("prv").alias("table_name")).distinct()

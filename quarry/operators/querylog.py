@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import AGG_OPS, SQL_OPS, TOKEN_PATTERN, WHERE_OPS
+from ..session import cut_lineage
 
 AGGS = [a for a in AGG_OPS if a != "none"]
 COND_OPERATORS = [o for o in WHERE_OPS if o != "not"]
@@ -72,22 +73,29 @@ def segment(tokens: DataFrame) -> DataFrame:
         "nxt": F.lead("tok").over(wq),
     })
     t = t.withColumn("depth", F.sum(F.col("open") - F.col("close")).over(run(wq)) + F.col("close"))
-    t = t.withColumn("blk", F.sum("open").over(run(W.partitionBy("query_id", "depth").orderBy("pos"))))
-    starts_sub = F.coalesce(((F.col("open") == 1) & (F.col("nxt") == "select")).cast("int"), F.lit(0))
-    t = t.withColumn("sb", F.first(starts_sub).over(W.partitionBy("query_id", "depth", "blk").orderBy("pos")))
+    # a token's paren group is opened by the last "(" at its own depth
+    opens_sub = F.when(F.col("open") == 1, F.coalesce((F.col("nxt") == "select").cast("int"), F.lit(0)))
+    t = t.withColumn("sb", F.coalesce(F.last(opens_sub, ignorenulls=True).over(
+        run(W.partitionBy("query_id", "depth").orderBy("pos"))), F.lit(0)))
     t = t.withColumns({"sbo": F.col("open") * F.col("sb"), "sbc": F.col("close") * F.col("sb")})
     t = t.withColumn("sel_depth", F.sum(F.col("sbo") - F.col("sbc")).over(run(wq)) + F.col("sbc"))
     t = t.withColumn("sel_block", F.sum("sbo").over(run(W.partitionBy("query_id", "sel_depth").orderBy("pos"))))
-    t = t.withColumn("branch", F.sum(tok.isin(*SQL_OPS).cast("int")).over(
-        run(W.partitionBy("query_id", "sel_depth", "sel_block").orderBy("pos"))))
+    wsb = run(W.partitionBy("query_id", "sel_depth", "sel_block").orderBy("pos"))
+    t = t.withColumns({
+        "branch": F.sum(tok.isin(*SQL_OPS).cast("int")).over(wsb),
+        # a sub-query block starts with its "(": that token's depth is the block's depth
+        "block_depth": F.coalesce(F.first(F.when(F.col("sbo") == 1, F.col("depth")), ignorenulls=True).over(wsb), F.lit(0)),
+    })
     kw = (F.when(tok.isin(*CLAUSE_WORDS), tok).when(tok == "join", F.lit("from"))
           .when(tok == "on", F.lit("on")))
     t = t.withColumn("kw", kw)
-    t = t.withColumn("clause", F.last("kw", ignorenulls=True).over(run(W.partitionBy(*BLOCK).orderBy("pos"))))
-    t = t.withColumn("block_depth", F.min("depth").over(W.partitionBy("query_id", "sel_depth", "sel_block")))
-    wc = W.partitionBy(*BLOCK, "clause").orderBy("pos")
+    wb = W.partitionBy(*BLOCK).orderBy("pos")
     bao = F.when(tok.isin("between", "and", "or"), tok)
-    t = t.withColumn("prev_bao", F.last(bao, ignorenulls=True).over(wc.rowsBetween(W.unboundedPreceding, -1)))
+    t = t.withColumns({
+        "clause": F.last("kw", ignorenulls=True).over(run(wb)),
+        "prev_bao": F.last(bao, ignorenulls=True).over(wb.rowsBetween(W.unboundedPreceding, -1)),
+    })
+    wc = W.partitionBy(*BLOCK, "clause").orderBy("pos")
     at_top = F.col("depth") == F.col("block_depth")
     clause = F.col("clause")
     is_conn = F.coalesce(clause.isin(*COND_CLAUSES) & at_top & tok.isin("and", "or")
@@ -187,10 +195,24 @@ def hardness_class(c1: Column, c2: Column, oth: Column) -> Column:
             .otherwise("extra"))
 
 
+def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
+    """(text_id, text) of the distinct texts. Real logs repeat: the token
+    pipeline runs once per distinct text and results join back on the text.
+    The distinct is pre-aggregated map-side, so a text repeated by a third of
+    all rows collapses before the shuffle; ids are fixed by a checkpoint."""
+    d = (df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
+           .withColumn("text_id", F.monotonically_increasing_id()))
+    return cut_lineage(d)
+
+
 def hardness(df: DataFrame, text_col: str, id_col: str = "query_id", compat: bool = True) -> DataFrame:
     """(query_id, component1, component2, others, hardness) for a table of SQL texts."""
-    f = features(segment(tokenize(df, text_col, id_col)), compat)
-    return f.withColumn("hardness", hardness_class(F.col("component1"), F.col("component2"), F.col("others")))
+    texts = distinct_texts(df, text_col)
+    f = features(segment(tokenize(texts, "text", "text_id")), compat)
+    f = f.withColumn("hardness", hardness_class(F.col("component1"), F.col("component2"), F.col("others")))
+    per_text = f.join(texts, f["query_id"] == texts["text_id"]).drop("query_id", "text_id")
+    return (df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")).join(per_text, "text")
+              .select("query_id", "component1", "component2", "others", "hardness"))
 
 
 def keyword_set(seg: DataFrame) -> DataFrame:

@@ -307,23 +307,43 @@ def exact_match(comp: DataFrame, ci: DataFrame, sides_df: DataFrame) -> DataFram
 
 def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: DataFrame, db_id: str,
                 compat: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(per-component rows, per-pair report) for a table of gold/pred pairs."""
-    s = sides(pairs)
-    # lineage is cut (reliable checkpoints in the shared folder) after the two
-    # wide phases: the token table is reused by a dozen aggregates below
-    seg = cut_lineage(Q.segment(Q.tokenize(s, "sql")))
+    """(per-component rows, per-pair report) for a table of gold/pred pairs.
+
+    Work is done once per distinct text (token pipeline) and once per distinct
+    (gold text, predicted text) pair (comparison); results join back to pairs.
+    """
+    p = pairs.select(F.col("query_id").alias("pair_id"), "gold", "pred")
+    texts = Q.distinct_texts(p.select(F.col("gold").alias("t")).unionByName(p.select(F.col("pred").alias("t"))), "t")
+    ids = (p.join(texts.select(F.col("text").alias("gold"), F.col("text_id").alias("g_id")), "gold")
+            .join(texts.select(F.col("text").alias("pred"), F.col("text_id").alias("p_id")), "pred")
+            .select("pair_id", "g_id", "p_id"))
+    tp = cut_lineage(ids.select("g_id", "p_id").distinct().withColumn("tp_id", F.monotonically_increasing_id()))
+    s = (tp.select(F.col("g_id").alias("query_id"), F.col("tp_id").alias("pair_id"), F.lit(0).alias("side"))
+           .unionByName(tp.select(F.col("p_id").alias("query_id"), F.col("tp_id").alias("pair_id"), F.lit(1).alias("side"))))
+    # the resolved token table feeds a dozen aggregates and the item table
+    # several comparisons: both are checkpointed into the shared folder, which
+    # also keeps the query plans of the later phases small
+    seg = Q.segment(Q.tokenize(texts, "text", "text_id"))
     canon = fk_canonical(spark, cols, fks)
-    rs = cut_lineage(resolve(seg, cols, canon, db_id))
+    keep = ["query_id", "pos", "tok", "prv", "nxt", "at_top", "sel_depth", "sel_block", "branch", "clause", "item_no",
+            "kw", "is_conn", "is_struct", "sbo", "sbc", "p_sel_block", "p_branch", "p_clause", "p_item_no", "sig", "invalid"]
+    rs = cut_lineage(resolve(seg, cols, canon, db_id).select(*keep))
     ci = cut_lineage(component_items(rs))
-    comp = pair_components(ci, s)
-    ex = exact_match(comp, ci, s)
-    inv = rs.select("query_id", "invalid").distinct().join(s.select("query_id", "pair_id", "side"), "query_id")
-    flags = inv.groupBy("pair_id").agg(F.max(F.when(F.col("side") == 0, F.col("invalid"))).alias("gold_invalid"),
-                                       F.max(F.when(F.col("side") == 1, F.col("invalid"))).alias("pred_invalid"))
-    hard = Q.features(seg, compat).join(s.filter("side = 0").select("query_id", "pair_id"), "query_id")
-    hard = hard.withColumn("hardness", Q.hardness_class(F.col("component1"), F.col("component2"), F.col("others")))
-    report = (ex.join(flags, "pair_id").join(hard.select("pair_id", "hardness"), "pair_id")
-                .withColumn("hardness", F.when(F.col("gold_invalid"), F.lit("easy")).otherwise(F.col("hardness"))))
+    comp_tp = pair_components(ci, s)
+    ex_tp = exact_match(comp_tp, ci, s)
+    inv = rs.select("query_id", "invalid").distinct()
+    hard = Q.features(rs, compat)
+    hard = hard.select("query_id", Q.hardness_class(F.col("component1"), F.col("component2"), F.col("others")).alias("hardness"))
+    pmap = ids.join(tp, ["g_id", "p_id"])
+    comp = pmap.join(comp_tp.withColumnRenamed("pair_id", "tp_id"), "tp_id").select(
+        "pair_id", "comp", "label_total", "pred_total", "cnt", "acc", "rec", "f1")
+    report = (pmap.join(ex_tp.withColumnRenamed("pair_id", "tp_id"), "tp_id")
+                  .join(inv.select(F.col("query_id").alias("g_id"), F.col("invalid").alias("gold_invalid")), "g_id", "left")
+                  .join(inv.select(F.col("query_id").alias("p_id"), F.col("invalid").alias("pred_invalid")), "p_id", "left")
+                  .join(hard.select(F.col("query_id").alias("g_id"), "hardness"), "g_id", "left")
+                  .select("pair_id", "exact", F.coalesce("gold_invalid", F.lit(False)).alias("gold_invalid"),
+                          F.coalesce("pred_invalid", F.lit(False)).alias("pred_invalid"),
+                          F.when(F.coalesce("gold_invalid", F.lit(False)), F.lit("easy")).otherwise(F.col("hardness")).alias("hardness")))
     return comp, report
 
 

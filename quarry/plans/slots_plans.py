@@ -56,8 +56,12 @@ dec AS (SELECT query_id, {_norm_sql(_tight_sql('s'))} AS structure, content FROM
 
 
 def _dec(spark, sf_dir, df, text_col="gold", id_col="query_id"):
+    """(query_id, structure, content); decomposed once per distinct text."""
     cols = C.profile(spark, sf_dir).select(F.lower("column_name").alias("column_name"))
-    return L.decompose(Q.segment(Q.tokenize(df, text_col, id_col)), cols)
+    texts = Q.distinct_texts(df, text_col)
+    d = L.decompose(Q.segment(Q.tokenize(texts, "text", "text_id")), cols)
+    d = d.join(texts, F.col("query_id") == F.col("text_id")).select("text", "structure", "content")
+    return df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")).join(d, "text").drop("text")
 
 
 @register("f01_structure_content", T.with_views(f"WITH {decompose_sql('workload', 'gold')}\nSELECT * FROM dec", "workload"),
@@ -154,12 +158,14 @@ SELECT ex_id, arg_min(hyp_rank, (CASE WHEN valid THEN 0 ELSE 1 END) * 1000000 +
   arg_min(pred, (CASE WHEN valid THEN 0 ELSE 1 END) * 1000000 + hyp_rank) AS pred_sql, bool_or(valid) AS found_valid
 FROM hv GROUP BY ex_id""", "hypotheses"), ops="F10 E02 E16")
 def f10(spark, sf_dir):
-    h = T.hypotheses(spark, sf_dir).withColumn("query_id", F.col("ex_id") * 4 + F.col("hyp_rank"))
+    h = T.hypotheses(spark, sf_dir)
     cols = C.profile(spark, sf_dir)
     canon = S.fk_canonical(spark, cols, C.foreign_keys(spark, cols))
-    seg = Q.segment(Q.tokenize(h, "pred"))
-    inv = S.resolve(seg, cols, canon, T.STAR_DB).select("query_id", "invalid").distinct()
-    hv = h.join(inv, "query_id", "left").withColumn("valid", ~F.coalesce(F.col("invalid"), F.lit(False)))
+    texts = Q.distinct_texts(h, "pred")       # candidates repeat: check each text once
+    seg = Q.segment(Q.tokenize(texts, "text", "text_id"))
+    inv = (S.resolve(seg, cols, canon, T.STAR_DB).select("query_id", "invalid").distinct()
+             .join(texts, F.col("query_id") == F.col("text_id")).select(F.col("text").alias("pred"), "invalid"))
+    hv = h.join(inv, "pred", "left").withColumn("valid", ~F.coalesce(F.col("invalid"), F.lit(False)))
     return L.first_valid(hv)
 
 

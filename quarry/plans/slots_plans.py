@@ -55,12 +55,17 @@ dec0 AS (SELECT query_id,
 dec AS (SELECT query_id, {_norm_sql(_tight_sql('s'))} AS structure, content FROM dec0)"""
 
 
-def _dec(spark, sf_dir, df, text_col="gold", id_col="query_id"):
-    """(query_id, structure, content); decomposed once per distinct text."""
+def _dec(spark, sf_dir, df, text_col="gold", id_col="query_id", per_text=None):
+    """(query_id, structure, content, …); decomposed once per distinct text.
+
+    ``per_text`` adds columns that depend only on the text (computed before
+    joining back to the rows)."""
     cols = C.profile(spark, sf_dir).select(F.lower("column_name").alias("column_name"))
     texts = Q.distinct_texts(df, text_col)
     d = L.decompose(Q.segment(Q.tokenize(texts, "text", "text_id")), cols)
-    d = d.join(texts, F.col("query_id") == F.col("text_id")).select("text", "structure", "content")
+    d = d.join(texts, F.col("query_id") == F.col("text_id")).drop("query_id", "text_id")
+    if per_text is not None:
+        d = per_text(d)
     return df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")).join(d, "text").drop("text")
 
 
@@ -101,8 +106,9 @@ def _combine_sql(st: str, ct: str) -> str:
 @register("f05_round_trip", T.with_views(f"""WITH {decompose_sql('workload', 'gold')}
 SELECT query_id, {_combine_sql('structure', 'content')} AS rebuilt FROM dec""", "workload"), ops="F04 F05")
 def f05(spark, sf_dir):
-    d = _dec(spark, sf_dir, T.workload(spark, sf_dir))
-    return d.select("query_id", L.combine(F.col("structure"), F.col("content")).alias("rebuilt"))
+    d = _dec(spark, sf_dir, T.workload(spark, sf_dir),
+             per_text=lambda x: x.withColumn("rebuilt", L.combine(F.col("structure"), F.col("content"))))
+    return d.select("query_id", "rebuilt")
 
 
 @register("f06_structure_accuracy", T.with_views(f"""WITH sides AS (

@@ -238,3 +238,46 @@ def keyword_set(seg: DataFrame) -> DataFrame:
                     F.when(F.col("has_like") == 1, F.lit("like")), order_dir)
     allk = F.array_sort(F.array_distinct(F.array_compact(F.concat("a", "b", "c", extra))))
     return k.select("query_id", F.array_join(allk, ",").alias("keywords"))
+
+
+def order_and_limit(seg: DataFrame) -> DataFrame:
+    """Per query, the ORDER direction of the top block (the last
+    asc/desc wins, default asc), the limit flag and the true limit number."""
+    top = seg.filter((F.col("sel_depth") == 0) & (F.col("sel_block") == 0) & (F.col("branch") == 0))
+    tok = F.col("tok")
+    is_dir = (F.col("clause") == "order") & tok.isin("asc", "desc")
+    is_lim = (F.col("clause") == "limit") & tok.rlike("^[0-9]+$")
+    g = top.groupBy("query_id").agg(
+        F.max((F.col("kw") == "order").cast("int")).alias("has_order"),
+        F.max_by(F.when(is_dir, tok), F.when(is_dir, F.col("pos"))).alias("dir"),
+        F.max((F.col("kw") == "limit").cast("int")).alias("has_limit"),
+        F.min_by(F.when(is_lim, tok), F.when(is_lim, F.col("pos"))).alias("lim"))
+    return g.select("query_id", F.when(F.col("has_order") == 1, F.coalesce("dir", F.lit("asc"))).alias("order_dir"),
+                    (F.col("has_limit") == 1).alias("has_limit"),
+                    F.coalesce(F.col("lim").cast("bigint"), F.lit(-1).cast("bigint")).alias("limit_value"))   # -1: no limit
+
+
+def condition_values(seg: DataFrame) -> DataFrame:
+    """Per condition item (ON, WHERE, HAVING of any block) its operator,
+    NOT flag and the kind of its first value: string, number, column or sub-query."""
+    tok = F.col("tok")
+    wi = W.partitionBy(*ITEM)
+    op_top = F.col("at_top") & tok.isin(*COND_OPERATORS)
+    c = seg.filter(F.col("clause").isin(*COND_CLAUSES))
+    c = c.withColumn("op_pos", F.min(F.when(op_top, F.col("pos"))).over(wi))
+    body = c.filter(~F.col("is_struct") & (F.col("sbo") == 0) & (F.col("sbc") == 0))
+    after = F.col("pos") > F.col("op_pos")
+    kind = (F.when(F.col("is_lit"), "string").when(tok.rlike(r"^[0-9]"), "number")
+            .when(tok.isin("(", ")", "-", "+", "not", "null"), None).otherwise("column"))
+    it = body.groupBy(*ITEM).agg(
+        F.min_by(F.when(op_top, tok), F.when(op_top, F.col("pos"))).alias("op"),
+        F.max((F.col("at_top") & (tok == "not")).cast("int")).alias("has_not"),
+        F.min_by(F.when(after, kind), F.when(after & kind.isNotNull(), F.col("pos"))).alias("vkind"))
+    subs = (seg.filter(F.col("sbo") == 1)
+               .select("query_id", (F.col("sel_depth") - 1).alias("sel_depth"), F.col("p_sel_block").alias("sel_block"),
+                       F.col("p_branch").alias("branch"), F.col("p_clause").alias("clause"), F.col("p_item_no").alias("item_no"))
+               .distinct().withColumn("has_sub", F.lit(True)))
+    out = it.join(subs, ITEM, "left")
+    return out.select(*[F.col(k).cast("bigint").alias(k) if k not in ("query_id", "clause") else F.col(k) for k in ITEM],
+                      "op", (F.col("has_not") == 1).alias("is_not"),
+                      F.when(F.col("has_sub"), F.lit("subquery")).otherwise(F.coalesce("vkind", F.lit("none"))).alias("value_kind"))

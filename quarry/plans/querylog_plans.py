@@ -72,3 +72,39 @@ SELECT DISTINCT query_id, nxt AS alias, prv AS table_name FROM seg WHERE tok = '
 def e03_alias_table(spark, sf_dir):
     seg = Q.segment(Q.tokenize(T.workload(spark, sf_dir), "gold"))
     return seg.filter(F.col("tok") == "as").select("query_id", F.col("nxt").alias("alias"), F.col("prv").alias("table_name")).distinct()
+
+
+@register("e11_e12_order_limit", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()}
+SELECT query_id,
+  CASE WHEN count(*) FILTER (WHERE kw = 'order') > 0
+       THEN coalesce(arg_max(CASE WHEN clause = 'order' AND tok IN ('asc', 'desc') THEN tok END,
+                             CASE WHEN clause = 'order' AND tok IN ('asc', 'desc') THEN pos END), 'asc') END AS order_dir,
+  count(*) FILTER (WHERE kw = 'limit') > 0 AS has_limit,
+  coalesce(CAST(arg_min(CASE WHEN clause = 'limit' AND regexp_matches(tok, '^[0-9]+$') THEN tok END,
+               CASE WHEN clause = 'limit' AND regexp_matches(tok, '^[0-9]+$') THEN pos END) AS BIGINT), -1) AS limit_value
+FROM seg WHERE sel_depth = 0 AND sel_block = 0 AND branch = 0 GROUP BY query_id""", "workload"), ops="E11 E12")
+def e11_e12(spark, sf_dir):
+    return Q.order_and_limit(Q.segment(Q.tokenize(T.workload(spark, sf_dir), "gold")))
+
+
+@register("e07_e09_condition_values", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()},
+c AS (SELECT *, min(CASE WHEN at_top AND tok IN {S.OPS} THEN pos END)
+        OVER (PARTITION BY query_id, sel_depth, sel_block, branch, clause, item_no) AS op_pos
+      FROM seg WHERE clause IN ('on', 'where', 'having')),
+b AS (SELECT *, CASE WHEN starts_with(tok, '"') THEN 'string' WHEN regexp_matches(tok, '^[0-9]') THEN 'number'
+                     WHEN tok IN ('(', ')', '-', '+', 'not', 'null') THEN NULL ELSE 'column' END AS kind
+      FROM c WHERE NOT is_struct AND sbo = 0 AND sbc = 0),
+it AS (SELECT query_id, sel_depth, sel_block, branch, clause, item_no,
+         arg_min(CASE WHEN at_top AND tok IN {S.OPS} THEN tok END, CASE WHEN at_top AND tok IN {S.OPS} THEN pos END) AS op,
+         max(CAST(at_top AND tok = 'not' AS INT)) AS has_not,
+         arg_min(CASE WHEN pos > op_pos THEN kind END, CASE WHEN pos > op_pos AND kind IS NOT NULL THEN pos END) AS vkind
+       FROM b GROUP BY ALL),
+subs AS (SELECT DISTINCT query_id, sel_depth - 1 AS sel_depth, p_sel_block AS sel_block, p_branch AS branch,
+           p_clause AS clause, p_item_no AS item_no FROM seg WHERE sbo = 1)
+SELECT it.query_id, CAST(it.sel_depth AS BIGINT) AS sel_depth, CAST(it.sel_block AS BIGINT) AS sel_block,
+  CAST(it.branch AS BIGINT) AS branch, it.clause, CAST(it.item_no AS BIGINT) AS item_no, op, has_not = 1 AS is_not,
+  CASE WHEN s.query_id IS NOT NULL THEN 'subquery' ELSE coalesce(vkind, 'none') END AS value_kind
+FROM it LEFT JOIN subs s ON s.query_id = it.query_id AND s.sel_depth = it.sel_depth AND s.sel_block = it.sel_block
+  AND s.branch = it.branch AND s.clause = it.clause AND s.item_no = it.item_no""", "workload"), ops="E07 E09 E14")
+def e07_e09(spark, sf_dir):
+    return Q.condition_values(Q.segment(Q.tokenize(T.workload(spark, sf_dir), "gold")))

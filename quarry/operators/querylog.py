@@ -75,8 +75,13 @@ def segment(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("depth", F.sum(F.col("open") - F.col("close")).over(run(wq)) + F.col("close"))
     # a token's paren group is opened by the last "(" at its own depth
     opens_sub = F.when(F.col("open") == 1, F.coalesce((F.col("nxt") == "select").cast("int"), F.lit(0)))
-    t = t.withColumn("sb", F.coalesce(F.last(opens_sub, ignorenulls=True).over(
-        run(W.partitionBy("query_id", "depth").orderBy("pos"))), F.lit(0)))
+    opens_list = F.when(F.col("open") == 1, F.coalesce(((F.col("prv") == "in") & (F.col("nxt") != "select")).cast("int"), F.lit(0)))
+    wd = run(W.partitionBy("query_id", "depth").orderBy("pos"))
+    t = t.withColumns({
+        "sb": F.coalesce(F.last(opens_sub, ignorenulls=True).over(wd), F.lit(0)),
+        # inside a literal IN (…) list
+        "in_list": F.coalesce(F.last(opens_list, ignorenulls=True).over(wd), F.lit(0)),
+    })
     t = t.withColumns({"sbo": F.col("open") * F.col("sb"), "sbc": F.col("close") * F.col("sb")})
     t = t.withColumn("sel_depth", F.sum(F.col("sbo") - F.col("sbc")).over(run(wq)) + F.col("sbc"))
     t = t.withColumn("sel_block", F.sum("sbo").over(run(W.partitionBy("query_id", "sel_depth").orderBy("pos"))))

@@ -130,6 +130,13 @@ def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> Da
     t = t.withColumn("ident", F.coalesce(canon_ident, F.col("ident0")))
     bad = ((F.col("is_ref") & F.col("ident0").isNull())
            | (F.col("is_ftab") & ~F.array_contains(tab_arr, tok)))
+    # §8 #11: constructs outside the scored subset make the text unparsable
+    outside = (tok.isin("exists", "is")
+               | ((F.col("clause") == "from") & tok.isin("left", "right", "outer", "full", "cross", "natural"))
+               | ((F.col("clause") == "from") & F.col("at_top") & (tok == ","))
+               | ((F.col("clause") == "from") & (tok == "as") & (prv == ")"))
+               | ((tok == ",") & (F.col("in_list") == 1)))
+    bad = bad | F.coalesce(outside, F.lit(False))
     quotes = F.length("tok") - F.length(F.regexp_replace("tok", '"', ""))
     t = t.withColumn("invalid", F.coalesce(
         F.max(bad.cast("int")).over(wq) == 1, F.lit(False))

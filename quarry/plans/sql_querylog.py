@@ -37,7 +37,9 @@ def segment_ctes(src: str = "tok0", out: str = "seg") -> str:
 s2 AS (SELECT *, sum(open - close) OVER (PARTITION BY query_id ORDER BY pos {RUN}) + close AS depth FROM s1),
 s3 AS (SELECT *, sum(open) OVER (PARTITION BY query_id, depth ORDER BY pos {RUN}) AS blk FROM s2),
 s4 AS (SELECT *, first_value(coalesce(CAST(open = 1 AND nxt = 'select' AS INT), 0))
-         OVER (PARTITION BY query_id, depth, blk ORDER BY pos) AS sb FROM s3),
+         OVER (PARTITION BY query_id, depth, blk ORDER BY pos) AS sb,
+       first_value(coalesce(CAST(open = 1 AND prv = 'in' AND nxt <> 'select' AS INT), 0))
+         OVER (PARTITION BY query_id, depth, blk ORDER BY pos) AS in_list FROM s3),
 s5 AS (SELECT *, open * sb AS sbo, close * sb AS sbc FROM s4),
 s6 AS (SELECT *, sum(sbo - sbc) OVER (PARTITION BY query_id ORDER BY pos {RUN}) + sbc AS sel_depth FROM s5),
 s7 AS (SELECT *, sum(sbo) OVER (PARTITION BY query_id, sel_depth ORDER BY pos {RUN}) AS sel_block FROM s6),

@@ -60,6 +60,12 @@ res AS (SELECT r.query_id, r.pos, r.ident AS ident0,
         LEFT JOIN canon cn ON cn.col_ident = r.ident),
 bad AS (SELECT DISTINCT query_id FROM res WHERE ident0 IS NULL
         UNION SELECT DISTINCT query_id FROM ftab WHERE tok NOT IN (SELECT ct FROM catt)
+        UNION SELECT DISTINCT query_id FROM seg
+              WHERE tok IN ('exists', 'is')
+                 OR (clause = 'from' AND tok IN ('left', 'right', 'outer', 'full', 'cross', 'natural'))
+                 OR (clause = 'from' AND at_top AND tok = ',')
+                 OR (clause = 'from' AND tok = 'as' AND prv = ')')
+                 OR (tok = ',' AND in_list = 1)
         UNION SELECT query_id FROM seg GROUP BY query_id
               HAVING sum(length(tok) - length(replace(tok, '"', ''))) % 2 <> 0 OR sum(open) <> sum(close)),
 rs AS (SELECT s.*, r.ident, b.query_id IS NOT NULL AS invalid,

@@ -42,3 +42,14 @@ def test_zero_items_score_one(spark):
     rep, comp = _score(spark, [("SELECT n_name FROM nation", "SELECT n_name FROM nation")])
     f1 = {r.comp: r.f1 for r in comp.collect()}
     assert f1["where"] == 1 and f1["group"] == 1 and rep[0].exact == 1
+
+
+def test_outside_subset_is_invalid(spark):
+    g = "SELECT n_name FROM nation WHERE n_regionkey = 1"
+    preds = ["SELECT n_name FROM nation WHERE n_regionkey IN (1, 2)",       # multi-element IN list
+             "SELECT n_name FROM nation WHERE n_regionkey IN (1)",          # single element: fine
+             "SELECT n_name FROM nation, region",                           # comma join
+             "SELECT n_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
+             "SELECT n_name FROM nation WHERE n_name IS NULL"]
+    rep, _ = _score(spark, [(g, p) for p in preds])
+    assert [rep[i].pred_invalid for i in range(5)] == [True, False, True, True, True]

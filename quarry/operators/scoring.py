@@ -272,8 +272,8 @@ def pair_components(ci: DataFrame, sides_df: DataFrame) -> DataFrame:
          .otherwise(same.cast("int")).alias("cnt"))
     # IUEN (E34): same set-op kind and exactly matching operand
     ops = iuen_rows(ci, key)
-    allpairs = sides_df.select("pair_id").distinct()
-    grid = allpairs.crossJoin(F.broadcast(sides_df.sparkSession.createDataFrame([(c,) for c in PARTIAL_TYPES], "comp string")))
+    grid = sides_df.select("pair_id").distinct().select(
+        "pair_id", F.explode(F.array(*[F.lit(c) for c in PARTIAL_TYPES])).alias("comp"))
     r = (grid.join(ms.unionByName(sg).unionByName(ops), ["pair_id", "comp"], "left")
              .na.fill(0, ["label_total", "pred_total", "cnt"]))
     ok = (F.col("label_total") == F.col("pred_total")) & (F.col("cnt") == F.col("pred_total"))

@@ -228,7 +228,8 @@ def keyword_set(seg: DataFrame) -> DataFrame:
     top0 = top & (F.col("branch") == 0)
     kws = seg.groupBy("query_id").agg(
         F.collect_set(F.when(top0 & F.col("kw").isin("where", "group", "having", "order", "limit"), F.col("kw"))).alias("a"),
-        F.collect_set(F.when(top & tok.isin(*SQL_OPS) & F.col("is_struct"), tok)).alias("b"),
+        # only the set operation that follows the first branch belongs to the top query
+        F.collect_set(F.when(top & tok.isin(*SQL_OPS) & F.col("is_struct") & (F.col("branch") == 1), tok)).alias("b"),
         F.collect_set(F.when(top0 & F.col("is_conn") & (tok == "or"), tok)).alias("c"),
         F.max_by(F.when(top0 & (F.col("clause") == "order") & tok.isin("asc", "desc"), tok),
                  F.when(top0 & (F.col("clause") == "order") & tok.isin("asc", "desc"), F.col("pos"))).alias("dir"),

@@ -108,3 +108,21 @@ FROM it LEFT JOIN subs s ON s.query_id = it.query_id AND s.sel_depth = it.sel_de
   AND s.branch = it.branch AND s.clause = it.clause AND s.item_no = it.item_no""", "workload"), ops="E07 E09 E14")
 def e07_e09(spark, sf_dir):
     return Q.condition_values(Q.segment(Q.tokenize(T.workload(spark, sf_dir), "gold")))
+
+
+@register("e22_keywords", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()}, {S.items_cte()},
+k AS (SELECT query_id, kw AS k FROM seg WHERE sel_depth = 0 AND sel_block = 0 AND branch = 0
+        AND kw IN ('where', 'group', 'having', 'order', 'limit')
+      UNION SELECT query_id, tok FROM seg WHERE sel_depth = 0 AND sel_block = 0 AND tok IN {S.SETOPS} AND is_struct AND branch = 1
+      UNION SELECT query_id, tok FROM seg WHERE sel_depth = 0 AND sel_block = 0 AND branch = 0 AND is_conn AND tok = 'or'
+      UNION SELECT query_id, coalesce(arg_max(CASE WHEN clause = 'order' AND tok IN ('asc', 'desc') THEN tok END,
+                                              CASE WHEN clause = 'order' AND tok IN ('asc', 'desc') THEN pos END), 'asc')
+            FROM seg WHERE sel_depth = 0 AND sel_block = 0 AND branch = 0 GROUP BY query_id HAVING count(*) FILTER (WHERE kw = 'order') > 0
+      UNION SELECT query_id, 'not' FROM items WHERE sel_depth = 0 AND branch = 0 AND clause IN ('on', 'where', 'having') AND has_not = 1
+      UNION SELECT query_id, 'in' FROM items WHERE sel_depth = 0 AND branch = 0 AND clause IN ('on', 'where', 'having') AND op = 'in'
+      UNION SELECT query_id, 'like' FROM items WHERE sel_depth = 0 AND branch = 0 AND clause IN ('on', 'where', 'having') AND op = 'like'),
+q AS (SELECT DISTINCT query_id FROM seg)
+SELECT q.query_id, coalesce(string_agg(k.k, ',' ORDER BY k.k), '') AS keywords FROM q LEFT JOIN k ON k.query_id = q.query_id
+GROUP BY q.query_id""", "workload"), ops="E22 E35")
+def e22(spark, sf_dir):
+    return Q.keyword_set(Q.segment(Q.tokenize(T.workload(spark, sf_dir), "gold")))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import logging
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +68,8 @@ def executable(spark: SparkSession, sql: str) -> bool:
         return False
 
 
-def run_texts(spark: SparkSession, texts: DataFrame, text_col: str = "sql", batch: int = 256) -> tuple[DataFrame, DataFrame]:
+def run_texts(spark: SparkSession, texts: DataFrame, text_col: str = "sql", batch: int = 256,
+              analyze_threads: int = 8, concurrent_jobs: int = 3) -> tuple[DataFrame, DataFrame]:
     """Run every distinct text once.
 
     Returns ``(status(text_id, sql, ok), rows(text_id, row))`` where ``text_id``
@@ -76,20 +78,24 @@ def run_texts(spark: SparkSession, texts: DataFrame, text_col: str = "sql", batc
     distinct = texts.select(F.col(text_col).alias("sql")).filter(F.col("sql").isNotNull()).distinct() \
                     .withColumn("text_id", F.xxhash64("sql"))
     listed = [(r.text_id, r.sql) for r in distinct.collect()]     # the workload's distinct texts
-    good, status = [], []
-    with quiet_log(spark):
-        for tid, sql in listed:
-            ok = executable(spark, sql)
-            status.append((tid, sql, ok))
-            if ok:
-                good.append((tid, sqlite_dialect(sql)))
+    # analysis is driver work (no data read): run it on a few threads
+    with quiet_log(spark), ThreadPoolExecutor(max_workers=analyze_threads) as pool:
+        oks = list(pool.map(lambda x: executable(spark, x[1]), listed))
+    status = [(tid, sql, ok) for (tid, sql), ok in zip(listed, oks)]
+    good = [(tid, sqlite_dialect(sql)) for (tid, sql), ok in zip(listed, oks) if ok]
     out = f"{checkpoint_dir(spark).rstrip('/')}/exec-{uuid.uuid4().hex}"
     schema = "text_id long, row string"
-    for k in range(0, len(good), batch):
+
+    def run_batch(k: int) -> None:
         chunk = good[k:k + batch]
         sql = " UNION ALL ".join(f"SELECT CAST({tid} AS BIGINT) AS text_id, to_json(struct(*)) AS row FROM ({q}) q{i}"
                                  for i, (tid, q) in enumerate(chunk))
-        spark.sql(sql).write.mode("append").parquet(out)
+        spark.sql(sql).write.mode("append").parquet(f"{out}/b={k // batch}")
+
+    # a few batch jobs in flight at once keep the executors busy between the
+    # (driver-side) planning of consecutive batches
+    with ThreadPoolExecutor(max_workers=concurrent_jobs) as pool:
+        list(pool.map(run_batch, range(0, len(good), batch)))
     rows = spark.read.schema(schema).parquet(out) if good else spark.createDataFrame([], schema)
     st = spark.createDataFrame(status, "text_id long, sql string, ok boolean")
     return st, rows

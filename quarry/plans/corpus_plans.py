@@ -45,13 +45,11 @@ def a04(spark, sf_dir):
                     F.get("query_toks", 0).alias("first_tok"))
 
 
-_ALIASED = {
-    "spark": None,
-    "sql": """CASE CAST(query_id % 8 AS INT)
+# the workload with generated aliases in place of T1/T2/T3 (templates 2 and 7)
+ALIASED_SQL = """CASE CAST(query_id % 8 AS INT)
       WHEN 2 THEN replace(replace(gold, 'T1', 'CUSTOMERalias0'), 'T2', 'ORDERSalias0')
       WHEN 7 THEN replace(replace(replace(gold, 'T1', 'ORDERSalias0'), 'T2', 'CUSTOMERalias0'), 'T3', 'NATIONalias0')
-      ELSE gold END""",
-}
+      ELSE gold END"""
 _CANDS = "[" + ", ".join(f"'{t}alias{d}'" for t in [x.upper() for x in T.STAR_TABLES] + ["DERIVED_FIELD", "DERIVED_TABLE"]
                          for d in range(7)) + "]"
 
@@ -66,7 +64,7 @@ def _aliased_workload(spark, sf_dir):
 
 
 @register("a05_alias_renaming", T.with_views(f"""
-WITH a AS (SELECT query_id, {_ALIASED['sql']} AS sql FROM workload),
+WITH a AS (SELECT query_id, {ALIASED_SQL} AS sql FROM workload),
 p AS (SELECT query_id, sql, list_filter({_CANDS}, lambda c: contains(sql, c)) AS present FROM a)
 SELECT query_id, list_reduce(list_transform(present, lambda c, i: [c, 'T' || CAST(i AS VARCHAR)]),
                              lambda acc, x: [replace(acc[1], x[1], x[2])], [sql])[1] AS sql

@@ -16,6 +16,7 @@ multisets (equal multisets ⇔ every component's F1 is 1).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -334,7 +335,11 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: Dat
     canon = fk_canonical(spark, cols, fks)
     keep = ["query_id", "pos", "tok", "prv", "nxt", "at_top", "sel_depth", "sel_block", "branch", "clause", "item_no",
             "kw", "is_conn", "is_struct", "sbo", "sbc", "p_sel_block", "p_branch", "p_clause", "p_item_no", "sig", "invalid"]
-    rs = cut_lineage(resolve(seg, cols, canon, db_id).select(*keep))
+    # read back once, hash-partitioned on query_id and cached: every later
+    # aggregate keyed by query_id (items, features, flags) then runs without
+    # another exchange (a lost cached block is re-read from the checkpoint)
+    rs = (cut_lineage(resolve(seg, cols, canon, db_id).select(*keep))
+          .repartition("query_id").persist(StorageLevel.MEMORY_AND_DISK))
     ci = cut_lineage(component_items(rs))
     comp_tp = pair_components(ci, s)
     ex_tp = exact_match(comp_tp, ci, s)

@@ -35,9 +35,9 @@ def strip(c: Column) -> Column:
 
 
 # ----------------------------------------------------------------- A01 / A06
-def read_single_turn(spark: SparkSession, paths, split: str = "train") -> DataFrame:
-    """JSON array files → examples, with a stable ex_id and the split."""
-    df = spark.read.schema(SINGLE_TURN_SCHEMA).json(paths, multiLine=True)
+def read_single_turn(spark: SparkSession, paths, split: str = "train", multi_line: bool = True) -> DataFrame:
+    """JSON array files (or JSON lines) → examples, with a stable ex_id and the split."""
+    df = spark.read.schema(SINGLE_TURN_SCHEMA).json(paths, multiLine=multi_line)
     return df.withColumn("split", F.lit(split)).withColumn(
         "ex_id", F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()))
 
@@ -89,9 +89,9 @@ def normalize_aliases(df: DataFrame, sql_col: str, table_names: list[str], digit
 
 
 # --------------------------------------------------------------------- A15
-def schema_from_json(spark: SparkSession, path: str) -> DataFrame:
+def schema_from_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``[{table, col_data: [{column_name}]}]`` → (table, column) rows, lower-cased."""
-    d = spark.read.schema(SCHEMA_JSON_SCHEMA).json(path, multiLine=True)
+    d = spark.read.schema(SCHEMA_JSON_SCHEMA).json(path, multiLine=multi_line)
     return d.select(F.lower("table").alias("table_name"),
                     F.posexplode("col_data").alias("col_pos", "c")).select(
         "table_name", "col_pos", F.lower("c.column_name").alias("column_name"))

@@ -31,3 +31,8 @@ def write_score_report(per_item: DataFrame, totals: DataFrame, path: str) -> Non
     """Per-item rows and total scores as two JSON outputs."""
     per_item.write.mode("overwrite").json(f"{path}/per_item")
     totals.write.mode("overwrite").json(f"{path}/total_scores")
+
+
+def append_hypothesis_batches(hyp: DataFrame, path: str, batch_col: str = "batch_id") -> None:
+    """A18 for many batches at once (one job): rows carry their batch id."""
+    hyp.write.mode("append").partitionBy(batch_col).parquet(path)

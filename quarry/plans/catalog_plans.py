@@ -14,7 +14,8 @@ _FKS = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in T.STAR_FOREIG
 
 # DuckDB side: the same profile read from information_schema over the views.
 CATALOG_SQL = f"""WITH tord(table_name, table_id) AS (VALUES {_ORDER}),
-ic AS (SELECT o.table_id, c.table_name, c.column_name, c.ordinal_position, c.data_type
+ic AS (SELECT o.table_id, c.table_name, c.column_name, c.ordinal_position,
+         CASE WHEN c.data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP' ELSE c.data_type END AS data_type
        FROM information_schema.columns c JOIN tord o ON c.table_name = o.table_name),
 cols AS (
   SELECT 'star' AS db_id, CAST(row_number() OVER (ORDER BY table_id, ordinal_position) AS BIGINT) AS column_id,

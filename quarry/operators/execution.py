@@ -57,15 +57,28 @@ class quiet_log:
         return False
 
 
-def executable(spark: SparkSession, sql: str) -> bool:
-    """Does Spark accept (parse + analyze) the text? No data is read."""
+def result_columns(spark: SparkSession, sql: str) -> list[str] | None:
+    """Column names of the text's result, or None when Spark rejects it (no data is read)."""
     try:
-        spark.sql(sqlite_dialect(sql)).schema
-        return True
+        return spark.sql(sqlite_dialect(sql)).columns
     except (AnalysisException, ParseException):
-        return False
+        return None
     except Exception:  # noqa: BLE001  (other analyzer errors count as not executable)
-        return False
+        return None
+
+
+def executable(spark: SparkSession, sql: str) -> bool:
+    """Does Spark accept (parse + analyze) the text?"""
+    return result_columns(spark, sql) is not None
+
+
+def _row_expr(names: list[str]) -> str:
+    """One result row as text that ignores the column order: the sorted
+    ``name=value`` pairs (columns are compared by what they select, not where)."""
+    def lit(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pairs = ", ".join(f"concat({lit(n)}, '=', coalesce(to_json(named_struct('v', c{i})), 'null'))" for i, n in enumerate(names))
+    return f"array_join(array_sort(array({pairs})), '\u0001')"
 
 
 def run_texts(spark: SparkSession, texts: DataFrame, text_col: str = "sql", batch: int = 256,
@@ -73,23 +86,26 @@ def run_texts(spark: SparkSession, texts: DataFrame, text_col: str = "sql", batc
     """Run every distinct text once.
 
     Returns ``(status(text_id, sql, ok), rows(text_id, row))`` where ``text_id``
-    is ``xxhash64`` of the text and ``row`` the JSON of one result row.
+    is ``xxhash64`` of the text and ``row`` one result row as sorted
+    ``name=value`` pairs.
     """
     distinct = texts.select(F.col(text_col).alias("sql")).filter(F.col("sql").isNotNull()).distinct() \
                     .withColumn("text_id", F.xxhash64("sql"))
     listed = [(r.text_id, r.sql) for r in distinct.collect()]     # the workload's distinct texts
     # analysis is driver work (no data read): run it on a few threads
     with quiet_log(spark), ThreadPoolExecutor(max_workers=analyze_threads) as pool:
-        oks = list(pool.map(lambda x: executable(spark, x[1]), listed))
-    status = [(tid, sql, ok) for (tid, sql), ok in zip(listed, oks)]
-    good = [(tid, sqlite_dialect(sql)) for (tid, sql), ok in zip(listed, oks) if ok]
+        names = list(pool.map(lambda x: result_columns(spark, x[1]), listed))
+    status = [(tid, sql, n is not None) for (tid, sql), n in zip(listed, names)]
+    good = [(tid, sqlite_dialect(sql), n) for (tid, sql), n in zip(listed, names) if n is not None]
     out = f"{checkpoint_dir(spark).rstrip('/')}/exec-{uuid.uuid4().hex}"
     schema = "text_id long, row string"
 
     def run_batch(k: int) -> None:
         chunk = good[k:k + batch]
-        sql = " UNION ALL ".join(f"SELECT CAST({tid} AS BIGINT) AS text_id, to_json(struct(*)) AS row FROM ({q}) q{i}"
-                                 for i, (tid, q) in enumerate(chunk))
+        sql = " UNION ALL ".join(
+            f"SELECT CAST({tid} AS BIGINT) AS text_id, {_row_expr(n)} AS row "
+            f"FROM ({q}) q{i}({', '.join(f'c{j}' for j in range(len(n)))})"
+            for i, (tid, q, n) in enumerate(chunk))
         spark.sql(sql).write.mode("append").parquet(f"{out}/b={k // batch}")
 
     # a few batch jobs in flight at once keep the executors busy between the

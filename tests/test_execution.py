@@ -20,3 +20,13 @@ def test_runner_and_bag_match(spark):
     got = {r.pair_id: r.exec_match for r in X.bag_match(df, st, rows).collect()}
     assert got == {0: 1, 1: 0, 2: 0, 3: 1}      # LIKE ignores case as in SQLite
     assert not X.executable(spark, "SELECT nope FROM nation")
+
+
+def test_column_order_does_not_matter(spark):
+    T.register_views(spark, SF_SMALL, T.STAR_TABLES)
+    df = spark.createDataFrame([(0, "SELECT n_name, n_regionkey FROM nation", "SELECT n_regionkey, n_name FROM nation"),
+                                (1, "SELECT n_name FROM nation", "SELECT n_name, n_regionkey FROM nation")],
+                               "pair_id long, gold string, pred string")
+    texts = df.selectExpr("gold AS sql").unionByName(df.selectExpr("pred AS sql"))
+    st, rows = X.run_texts(spark, texts)
+    assert {r.pair_id: r.exec_match for r in X.bag_match(df, st, rows).collect()} == {0: 1, 1: 0}

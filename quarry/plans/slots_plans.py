@@ -164,15 +164,10 @@ SELECT ex_id, arg_min(hyp_rank, (CASE WHEN valid THEN 0 ELSE 1 END) * 1000000 +
   arg_min(pred, (CASE WHEN valid THEN 0 ELSE 1 END) * 1000000 + hyp_rank) AS pred_sql, bool_or(valid) AS found_valid
 FROM hv GROUP BY ex_id""", "hypotheses"), ops="F10 E02 E16")
 def f10(spark, sf_dir):
-    h = T.hypotheses(spark, sf_dir)
+    from ..streaming.hypotheses import pick_first_valid
     cols = C.profile(spark, sf_dir)
     canon = S.fk_canonical(spark, cols, C.foreign_keys(spark, cols))
-    texts = Q.distinct_texts(h, "pred")       # candidates repeat: check each text once
-    seg = Q.segment(Q.tokenize(texts, "text", "text_id"))
-    inv = (S.resolve(seg, cols, canon, T.STAR_DB).select("query_id", "invalid").distinct()
-             .join(texts, F.col("query_id") == F.col("text_id")).select(F.col("text").alias("pred"), "invalid"))
-    hv = h.join(inv, "pred", "left").withColumn("valid", ~F.coalesce(F.col("invalid"), F.lit(False)))
-    return L.first_valid(hv)
+    return pick_first_valid(T.hypotheses(spark, sf_dir), cols, canon, T.STAR_DB)
 
 
 @register("f11_best_run", T.with_views("""

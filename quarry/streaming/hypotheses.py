@@ -22,10 +22,12 @@ HYP_SCHEMA = "ex_id long, hyp_rank int, pred string, batch_id int"
 
 
 def pick_first_valid(batch: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> DataFrame:
-    h = batch.withColumn("query_id", F.xxhash64("ex_id", "hyp_rank"))
-    rs = S.resolve(Q.segment(Q.tokenize(h, "pred")), cols, canon, db_id)
-    inv = rs.select("query_id", "invalid").distinct()
-    hv = h.join(inv, "query_id", "left").withColumn("valid", ~F.coalesce(F.col("invalid"), F.lit(False)))
+    """F10 on one slice of candidates; each distinct text is checked once."""
+    texts = Q.distinct_texts(batch, "pred")
+    seg = Q.segment(Q.tokenize(texts, "text", "text_id"))
+    inv = (S.resolve(seg, cols, canon, db_id).select("query_id", "invalid").distinct()
+             .join(texts, F.col("query_id") == F.col("text_id")).select(F.col("text").alias("pred"), "invalid"))
+    hv = batch.join(inv, "pred", "left").withColumn("valid", ~F.coalesce(F.col("invalid"), F.lit(False)))
     return L.first_valid(hv)
 
 

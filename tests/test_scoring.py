@@ -53,3 +53,13 @@ def test_outside_subset_is_invalid(spark):
              "SELECT n_name FROM nation WHERE n_name IS NULL"]
     rep, _ = _score(spark, [(g, p) for p in preds])
     assert [rep[i].pred_invalid for i in range(5)] == [True, False, True, True, True]
+
+
+def test_f1_when_acc_and_rec_are_zero(spark):
+    # one pair, every component predicted and missed: acc = rec = 0
+    comp = spark.createDataFrame([(0, c, 1, 1, 0, 0, 0, 0) for c in ("select", "where")],
+                                 "pair_id long, comp string, label_total long, pred_total long, cnt long, acc long, rec long, f1 long")
+    rep = spark.createDataFrame([(0, 0, "easy")], "pair_id long, exact long, hardness string")
+    f1 = lambda compat: {r.component: r.f1 for r in S.roll_up(comp, rep, compat).filter("level = 'all'").collect()}
+    assert f1(True)["select"] == 1.0       # reference quirk kept under compat
+    assert f1(False)["select"] == 0.0

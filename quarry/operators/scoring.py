@@ -70,7 +70,9 @@ def fk_canonical(spark: SparkSession, cols: DataFrame, fks: DataFrame, max_round
 
 
 # --------------------------------------------------------- E03, E06, E15, E16
-MAX_CATALOG_COLUMNS = 500_000
+# literal map lookups scan their keys: keep the per-database catalog small
+# (a text-to-SQL database has tens to hundreds of columns)
+MAX_CATALOG_COLUMNS = 20_000
 
 
 def catalog_lookup(cols: DataFrame, canon: DataFrame, db_id: str):

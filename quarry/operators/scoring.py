@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import (AGG_OPS, COND_OPS, JOIN_KEYWORDS, LEVELS, ORDER_OPS, PARTIAL_TYPES, SQL_OPS,
                                WHERE_OPS)
-from ..functions.plan_utils import checked_broadcast
 from ..session import cut_lineage
 from . import querylog as Q
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from ..functions.fixed import PARTIAL_TYPES
 from ..operators.scoring import MASK, NOT_COLUMNS
 from .catalog_plans import CATALOG_SQL
-from .sql_querylog import AGGS, OPS, SETOPS, _in, features_ctes, items_cte, segment_ctes, tokens_cte
+from .sql_querylog import OPS, SETOPS, _in, features_ctes, items_cte, segment_ctes, tokens_cte
 
 CATALOG_CTES = CATALOG_SQL[len("WITH "):]
 _COMPS = ", ".join(f"('{c}')" for c in PARTIAL_TYPES)

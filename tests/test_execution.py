@@ -30,3 +30,15 @@ def test_column_order_does_not_matter(spark):
     texts = df.selectExpr("gold AS sql").unionByName(df.selectExpr("pred AS sql"))
     st, rows = X.run_texts(spark, texts)
     assert {r.pair_id: r.exec_match for r in X.bag_match(df, st, rows).collect()} == {0: 1, 1: 0}
+
+
+def test_multi_instance_match(spark):
+    pairs = spark.createDataFrame(
+        [(0, "SELECT r_name FROM region", "SELECT r_name FROM region"),
+         (1, "SELECT count(*) FROM orders", "SELECT count(*) FROM orders WHERE o_orderkey < 1500")],
+        "pair_id long, gold string, pred string")
+    inst = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
+    one = X.multi_instance_match(spark, pairs, inst[:1], lambda d: T.register_views(spark, d, T.STAR_TABLES))
+    both = X.multi_instance_match(spark, pairs, inst, lambda d: T.register_views(spark, d, T.STAR_TABLES))
+    assert {r.pair_id: r.exec_match for r in one.collect()} == {0: 1, 1: 1}
+    assert {r.pair_id: r.exec_match for r in both.collect()} == {0: 1, 1: 0}

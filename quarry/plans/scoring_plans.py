@@ -38,10 +38,14 @@ def e36(spark, sf_dir):
     return comp
 
 
-@register("e38_pair_report", T.with_views(f"WITH RECURSIVE {scoring_ctes()}\nSELECT * FROM report", "pairs"), ops="E16 E37 E38 E39")
+@register("e38_pair_report", T.with_views(f"""WITH RECURSIVE {scoring_ctes()}
+SELECT r.*, p.pred AS predicted, p.gold AS gold FROM report r JOIN pairs p ON p.query_id = r.pair_id""", "pairs"),
+          ops="E16 E37 E38 E39")
 def e38(spark, sf_dir):
+    """Per pair: predicted, gold, parse-error flags, hardness, exact (partials: e36)."""
     _, rep = _scored(spark, sf_dir)
-    return rep
+    p = T.pairs(spark, sf_dir).select(F.col("query_id").alias("pair_id"), F.col("pred").alias("predicted"), "gold")
+    return rep.join(p, "pair_id")
 
 
 ROLLUP_SQL = """,

@@ -43,21 +43,24 @@ def sides(pairs: DataFrame, id_col: str = "query_id", gold_col: str = "gold", pr
 
 
 # ------------------------------------------------------------- E18 FK groups
-def fk_canonical(spark: SparkSession, cols: DataFrame, fks: DataFrame, max_rounds: int = 16) -> DataFrame:
+def fk_canonical(spark: SparkSession, cols: DataFrame, fks: DataFrame) -> DataFrame:
     """Every column of a foreign-key group → its lowest-ordinal member.
 
     Min-label propagation over the (small, per-database) FK edge table: true
-    connected components; stops when no label changes.
+    connected components. It runs until no label changes — at most one round
+    per node, so no round cap is needed; lineage is cut every few rounds.
     """
     e = fks.select("db_id", F.col("column_id").alias("a"), F.col("other_column_id").alias("b"))
-    e = e.unionByName(e.select("db_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    lab = e.select("db_id", F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(max_rounds):
+    e = e.unionByName(e.select("db_id", F.col("b").alias("a"), F.col("a").alias("b"))).cache()
+    lab = e.select("db_id", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")).cache()
+    n_nodes = lab.count()
+    for rnd in range(max(n_nodes, 1)):
         nxt = (e.join(lab.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), ["db_id", "b"])
                 .groupBy("db_id", F.col("a").alias("node")).agg(F.min("lb").alias("m"))
                 .join(lab, ["db_id", "node"]).select("db_id", "node", F.least("label", "m").alias("label")))
-        nxt = nxt.cache()
+        nxt = cut_lineage(nxt) if rnd % 8 == 7 else nxt.cache()
         changed = nxt.join(lab.withColumnRenamed("label", "old"), ["db_id", "node"]).filter("label != old").count()
+        lab.unpersist()
         lab = nxt
         if changed == 0:
             break

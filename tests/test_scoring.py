@@ -63,3 +63,13 @@ def test_f1_when_acc_and_rec_are_zero(spark):
     f1 = lambda compat: {r.component: r.f1 for r in S.roll_up(comp, rep, compat).filter("level = 'all'").collect()}
     assert f1(True)["select"] == 1.0       # reference quirk kept under compat
     assert f1(False)["select"] == 0.0
+
+
+def test_fk_propagation_has_no_round_cap(spark):
+    n = 20    # a chain: the label needs n-1 rounds to reach the far end
+    cols = spark.createDataFrame([("d", i, 0, "t", f"c{i}", "number", False) for i in range(1, n + 1)],
+                                 "db_id string, column_id int, table_id int, table_name string, column_name string, "
+                                 "column_type string, is_pk boolean")
+    fks = spark.createDataFrame([("d", i + 1, i) for i in range(1, n)], "db_id string, column_id int, other_column_id int")
+    canon = {r.col_ident: r.canon_ident for r in S.fk_canonical(spark, cols, fks).collect()}
+    assert len(canon) == n and set(canon.values()) == {"__t.c1__"}

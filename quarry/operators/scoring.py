@@ -48,19 +48,20 @@ def fk_canonical(spark: SparkSession, cols: DataFrame, fks: DataFrame) -> DataFr
 
     Min-label propagation over the (small, per-database) FK edge table: true
     connected components. It runs until no label changes — at most one round
-    per node, so no round cap is needed; lineage is cut every few rounds.
+    per node, so no round cap is needed; lineage is cut every round.
     """
     e = fks.select("db_id", F.col("column_id").alias("a"), F.col("other_column_id").alias("b"))
     e = e.unionByName(e.select("db_id", F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    lab = e.select("db_id", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")).cache()
+    lab = cut_lineage(e.select("db_id", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     n_nodes = lab.count()
-    for rnd in range(max(n_nodes, 1)):
+    for _ in range(max(n_nodes, 1)):
         nxt = (e.join(lab.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), ["db_id", "b"])
                 .groupBy("db_id", F.col("a").alias("node")).agg(F.min("lb").alias("m"))
                 .join(lab, ["db_id", "node"]).select("db_id", "node", F.least("label", "m").alias("label")))
-        nxt = cut_lineage(nxt) if rnd % 8 == 7 else nxt.cache()
+        # each round reads its input twice: cut lineage every round, or the
+        # plan would double in size per round
+        nxt = cut_lineage(nxt)
         changed = nxt.join(lab.withColumnRenamed("label", "old"), ["db_id", "node"]).filter("label != old").count()
-        lab.unpersist()
         lab = nxt
         if changed == 0:
             break

@@ -87,14 +87,16 @@ def one_db_schema(ev: DataFrame, db_id: str) -> DataFrame:
     return e.select("ex_id", F.concat(F.lit(f"database: {db_id}. "), F.col("tables")).alias("serialized_schema"))
 
 
-def model_input(question: Column, schema: Column, prefix: str = SOURCE_PREFIX) -> Column:
-    """Prefix + question + ' | ' + schema."""
-    return F.concat(F.lit(prefix), F.trim(question), F.lit(" | "), F.trim(schema))
+def model_input(question: Column, schema: Column, prefix: str = SOURCE_PREFIX, append_qmark: bool = False) -> Column:
+    """Prefix + question + ' | ' + schema; the one-database corpus appends '?' to the question."""
+    q = F.concat(question, F.lit("?")) if append_qmark else question
+    return F.concat(F.lit(prefix), F.trim(q), F.lit(" | "), F.trim(schema))
 
 
 def dialogue_input(utterances: Column, schema: Column, prefix: str = SOURCE_PREFIX) -> Column:
     """C07 (dialogue): utterances joined by ' | '."""
-    return F.concat(F.lit(prefix), F.array_join(F.transform(utterances, F.trim), " | "), F.lit(" | "), F.trim(schema))
+    return F.concat(F.lit(prefix), F.array_join(F.transform(utterances, lambda u: F.trim(u)), " | "), F.lit(" | "),
+                    F.trim(schema))
 
 
 def target(query_norm: Column, db_id: Column, with_db_id: bool) -> Column:

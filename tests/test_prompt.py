@@ -40,3 +40,14 @@ def test_parse_back_and_prefix_strip(spark):
 def test_quoted_token_repair(spark):
     df = spark.createDataFrame([("SELECT Name FROM T WHERE c = `` Oslo ''",)], "s string")
     assert df.select(P.repair_quoted_tokens(F.col("s"))).first()[0] == 'select name from t where c = "Oslo"'
+
+
+def test_model_inputs(spark):
+    df = spark.createDataFrame([(" how many singers ", " | db | singer : name ", ["hi | there ", " more"])],
+                               "q string, s string, u array<string>")
+    r = df.select(P.model_input(F.col("q"), F.col("s")).alias("a"),
+                  P.model_input(F.col("q"), F.col("s"), append_qmark=True).alias("b"),
+                  P.dialogue_input(F.col("u"), F.col("s")).alias("c")).first()
+    assert r.a == "question: how many singers | | db | singer : name"
+    assert r.b == "question: how many singers ? | | db | singer : name"
+    assert r.c == "question: hi | there | more | | db | singer : name"

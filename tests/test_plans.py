@@ -31,3 +31,13 @@ def test_plan_hygiene(spark, name):
         assert m.group(1).strip(), f"un-partitioned window in {name}"
     # at most one Python (Arrow) stage
     assert len(re.findall(r"MapInPandas|ArrowEvalPython|FlatMapGroupsInPandas", plan)) <= 1
+
+
+@pytest.mark.parametrize("name", sorted(set(PLANS) - DRIVER_BOUND))
+def test_output_contract(spark, name):
+    """Unique column names and no array/map/struct columns (the driver hashes values)."""
+    df = PLANS[name].build(spark, SF_SMALL)
+    names = df.columns
+    assert len(names) == len(set(names))
+    for f in df.schema.fields:
+        assert f.dataType.typeName() not in ("array", "map", "struct"), (name, f.name)

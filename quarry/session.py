@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,13 +47,34 @@ def build(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply DEFAULTS to an existing session without overriding cluster settings."""
+    """Apply DEFAULTS to an existing session without overriding cluster settings,
+    and send the package to the executors' Python workers."""
     for k, v in DEFAULTS.items():
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Functions of this package are pickled by module name, so the workers must
+    be able to import it wherever the driver was started. Once per context;
+    in local mode the workers inherit the driver's import path through it too."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="quarry-py-"), "quarry_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    sc._quarry_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the context's, else the one the cluster
     names in ``spark.checkpoint.dir``, else (local tests only) a scratch folder."""
@@ -62,7 +84,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="quarry-ckpt-")   # no cluster folder named: local runs only
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="quarry-ckpt-")   # one machine: tests and local runs
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 

@@ -140,19 +140,26 @@ def merge_one(table: PairTable, s: list[int]) -> list[int]:
 LONG = 48    # symbols from which a unit takes the heap
 
 
-def merge_units(table: PairTable, units: list[np.ndarray], block: int = 8192) -> list[np.ndarray]:
-    """Merge every unit; units of like length share a padded block."""
-    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(units)
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
+def merge_units(table: PairTable, symbols: np.ndarray, sizes: list[int], block: int = 8192) -> list[list[int]]:
+    """``symbols`` holds all units (none empty) one after another; the merged
+    ids of every unit. Units of like length share a padded block."""
+    lengths = np.array(sizes, np.int64)
+    ends = np.cumsum(lengths)
+    out: list[list[int]] = [[]] * len(lengths)
     order = np.argsort(lengths, kind="stable")
     short = order[lengths[order] <= LONG]
     for a in range(0, len(short), block):
         part = short[a:a + block]
-        flat, sizes = merge_rows(table, np.concatenate([units[x] for x in part]), lengths[part])
-        for x, ids in zip(part, np.split(flat, np.cumsum(sizes)[:-1])):
-            out[x] = ids
-    for x in order[lengths[order] > LONG]:
-        out[x] = np.array(merge_one(table, units[x].tolist()), np.int32)
+        size = lengths[part]
+        inside = np.arange(size[-1]) < size[:, None]
+        places = (ends[part] - size)[:, None] + np.arange(size[-1])
+        flat, done = merge_rows(table, symbols[places[inside]], size)
+        flat, stop, start = flat.tolist(), np.cumsum(done).tolist(), 0
+        for x, end in zip(part.tolist(), stop):
+            out[x] = flat[start:end]
+            start = end
+    for x in order[lengths[order] > LONG].tolist():
+        out[x] = merge_one(table, symbols[ends[x] - lengths[x]:ends[x]].tolist())
     return out
 
 

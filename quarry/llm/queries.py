@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .common import sha256_hex
+from .piece_codec import encode_decode
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +21,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every whole text of documents; digests of both."""
+    done = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                       sha256_hex(F.col("decoded")).alias("decoded_sha256"), "n_differs")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op2_token_counts,
+    op5_piece_codec,
 )}
 
 ORACLE: dict[str, str] = {}

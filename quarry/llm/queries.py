@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .common import sha256_hex
+from .fingerprints import fingerprint_documents
 from .piece_codec import encode_decode
 from .token_counts import count_tokens
 
@@ -29,9 +30,17 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sha256_hex(F.col("decoded")).alias("decoded_sha256"), "n_differs")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every whole text and of its edited text."""
+    done = fingerprint_documents(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_chars", sha256_hex(F.col("edited")).alias("edited_sha256"), "fingerprint",
+                       "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op2_token_counts,
     op5_piece_codec,
+    op10_document_fingerprints,
 )}
 
 ORACLE: dict[str, str] = {}

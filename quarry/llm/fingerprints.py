@@ -35,8 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A piece is at least 24 bytes and ends after a word that ends in one of these.
-PIECE = re.compile(rb"[^\n]{24,}?[acegikmoqsuwy.,|#%] |[^\n]+")
+# A piece has at least 24 bytes (8 in a short paragraph) and ends after a word
+# whose last byte is odd, so the cuts find each other again after an edit.
+_ODD = b"[" + b"".join(re.escape(bytes([b])) for b in range(0x21, 0x100, 2)) + b"]"
+PIECE, SHORT_PIECE = (re.compile(rb"[^\n]{%d,}?%s |[^\n]+" % (least, _ODD), re.DOTALL) for least in (24, 8))
+SHORT = 96             # bytes below which a paragraph is short
 SECTION_CLASS = 8      # on average a section has so many paragraphs
 DIGEST = 6             # bytes of a paragraph digest that the string shows
 
@@ -51,7 +54,7 @@ class Tree:
         held, words = [], []
         for paragraph in text.encode().split(b"\n"):
             digest = sha256(b"p" + paragraph).digest()
-            sums = list(map(crc32, PIECE.findall(paragraph)))
+            sums = list(map(crc32, (PIECE if len(paragraph) >= SHORT else SHORT_PIECE).findall(paragraph)))
             self.pieces.append(sums)
             held.append(digest)
             words.append(urlsafe_b64encode(digest[:DIGEST] + np.array(sums, ">u4").tobytes()).decode().rstrip("="))

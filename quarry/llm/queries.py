@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .common import sha256_hex
+from .common import sha256_hex, text_or_empty
 from .fingerprints import fingerprint_documents
+from .line_dedup import line_dedup, line_dedup_sql
 from .piece_codec import encode_decode
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of every site (source) of documents dropped."""
+    done = line_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", sha256_hex(text_or_empty("text")).alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text of documents."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -38,9 +45,12 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_line_dedup,
     op2_token_counts,
     op5_piece_codec,
     op10_document_fingerprints,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup_sql(),
+}

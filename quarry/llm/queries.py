@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .common import sha256_hex, text_or_empty
 from .fingerprints import fingerprint_documents
+from .language_id import held_out, identify, train
 from .line_dedup import line_dedup, line_dedup_sql
 from .piece_codec import encode_decode
 from .token_counts import count_tokens
@@ -37,6 +38,13 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sha256_hex(F.col("decoded")).alias("decoded_sha256"), "n_differs")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of documents."""
+    docs = table(spark, sf_dir, "documents")
+    done = identify(docs, train(docs))
+    return done.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every whole text and of its edited text."""
     done = fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -48,6 +56,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
     op5_piece_codec,
+    op6_language_id,
     op10_document_fingerprints,
 )}
 

@@ -12,6 +12,7 @@ from ..sources.tables import table
 from .common import sha256_hex, text_or_empty
 from .fingerprints import fingerprint_documents
 from .language_id import held_out, identify, train
+from .license_scan import license_scan
 from .line_dedup import line_dedup, line_dedup_sql
 from .piece_codec import encode_decode
 from .token_counts import count_tokens
@@ -30,6 +31,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License rules over every whole text of documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of documents; digests of both."""
     done = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -55,6 +61,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
+    op3_license_scan,
     op5_piece_codec,
     op6_language_id,
     op10_document_fingerprints,

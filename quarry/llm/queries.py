@@ -14,6 +14,7 @@ from .fingerprints import fingerprint_documents
 from .language_id import held_out, identify, train
 from .license_scan import license_scan
 from .line_dedup import line_dedup, line_dedup_sql
+from .near_dedup import near_groups
 from .piece_codec import encode_decode
 from .token_counts import count_tokens
 
@@ -51,6 +52,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of every whole text of documents."""
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every whole text and of its edited text."""
     done = fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -64,6 +70,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op3_license_scan,
     op5_piece_codec,
     op6_language_id,
+    op8_near_dedup,
     op10_document_fingerprints,
 )}
 

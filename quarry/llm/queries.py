@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .common import sha256_hex, text_or_empty
+from .decontam import leaks
 from .fingerprints import fingerprint_documents
 from .language_id import held_out, identify, train
 from .license_scan import license_scan
@@ -57,6 +58,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: (doc_id, item_id) pairs."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every whole text and of its edited text."""
     done = fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op5_piece_codec,
     op6_language_id,
     op8_near_dedup,
+    op9_decontamination,
     op10_document_fingerprints,
 )}
 

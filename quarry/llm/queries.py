@@ -17,6 +17,7 @@ from .license_scan import license_scan
 from .line_dedup import line_dedup, line_dedup_sql
 from .near_dedup import near_groups
 from .piece_codec import encode_decode
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text covered by a 200-byte string that occurs elsewhere."""
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of every whole text of documents."""
     return near_groups(table(spark, sf_dir, "documents"))
@@ -76,6 +84,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op3_license_scan,
     op5_piece_codec,
     op6_language_id,
+    op7_repeat_removal,
     op8_near_dedup,
     op9_decontamination,
     op10_document_fingerprints,

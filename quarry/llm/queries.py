@@ -17,9 +17,12 @@ from .license_scan import license_scan
 from .line_dedup import line_dedup, line_dedup_sql
 from .near_dedup import near_groups
 from .piece_codec import encode_decode
+from .pii import replace_entities
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
+SURROGATE_KEY = b"replace this key in production"   # a parameter of the operator
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -39,6 +42,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data, their texts with keyed surrogates."""
+    return replace_entities(table(spark, sf_dir, "documents"), SURROGATE_KEY).drop("spans")
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of documents; digests of both."""
     done = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -82,6 +90,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
     op3_license_scan,
+    op4_pii_surrogates,
     op5_piece_codec,
     op6_language_id,
     op7_repeat_removal,

@@ -149,11 +149,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text",
-             carry: tuple[str, ...] = (), batch: int = 64) -> DataFrame:
-    """Id, ``lang_pred``, ``score`` (0 to 1), and the ``carry`` columns."""
+             carry: tuple[str, ...] = (), keep_text: bool = False, batch: int = 64) -> DataFrame:
+    """Id, ``lang_pred``, ``score`` (0 to 1), the ``carry`` columns and, with
+    ``keep_text``, the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col, *carry, "lang_pred", "score"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *carry))
+    held = (id_col, *carry, *((text_col,) if keep_text else ()))
+    names = [*held, "lang_pred", "score"]
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, grams = shared.value, Grams()
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
                     s = m.scores(np.stack([sets[k] for k in known]))
                     for k, best, value in zip(known, s.argmax(axis=1), s.max(axis=1)):
                         lang[k], score[k] = m.languages[best], float(min(1.0, max(0.0, (value + 1) / 2)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(held)], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                                                  names=names)
 
     rows = docs.select(id_col, *carry, F.col(text_col).alias("__text"))

@@ -10,7 +10,7 @@ from ..sources import tables as T
 from .registry import register
 from .sql_querylog import _in
 
-LINK_TABLES = ("part", "customer", "nation", "region", "events")
+LINK_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 # text columns of the picklist tables (DuckDB side lists them from information_schema)
 _TABLES_IN = ", ".join(f"'{t}'" for t in LINK_TABLES)
 
@@ -23,7 +23,8 @@ def _picks_sql() -> str:
     # unpivot every VARCHAR column of the picklist tables
     cols = {
         "part": ["p_name", "p_brand", "p_type"], "customer": ["c_name", "c_mktsegment"], "nation": ["n_name"],
-        "region": ["r_name"], "events": ["event_type", "props"],
+        "region": ["r_name"], "supplier": ["s_name"], "orders": ["o_orderstatus", "o_orderpriority"],
+        "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
     }
     parts = [f"SELECT DISTINCT '{t}' AS table_name, '{c}' AS column_name, {c} AS value FROM {t} WHERE {c} IS NOT NULL"
              for t, cs in cols.items() for c in cs]
@@ -31,7 +32,6 @@ def _picks_sql() -> str:
 
 
 PICKS_SQL = _picks_sql()
-WORD_RE_SQL = D.WORD_RE.replace("'", "''")
 SEP_SQL = D.SEP_CLASS.replace("'", "''")
 NUM_SQL = D.NUMBER_RE
 STOP_SQL = _in(STOPWORDS)
@@ -44,14 +44,18 @@ def d01(spark, sf_dir):
     return _picks(spark, sf_dir)
 
 
+LINKABLE_SQL = f"length(c_value) > 1 AND {EXCL_SQL}"
 EXACT_SQL = f"""{PICKS_SQL},
-v AS (SELECT *, array_to_string(regexp_extract_all(lower(value), '{WORD_RE_SQL}', 0), ' ') AS norm, lower(trim(value)) AS c_value FROM picks),
-vf AS (SELECT * FROM v WHERE norm <> '' AND {EXCL_SQL}),
-qw AS (SELECT ex_id, regexp_extract_all(lower(question), '{WORD_RE_SQL}', 0) AS w FROM questions),
-grams AS (SELECT DISTINCT ex_id, array_to_string(w[i:i + n - 1], ' ') AS norm
-          FROM qw, range(1, len(w) + 1) r(n), range(1, len(w) + 1) s(i) WHERE i + n - 1 <= len(w)),
-exact AS (SELECT g.ex_id, vf.table_name, vf.column_name, vf.value, g.norm AS match_str, 1.0 AS score,
-            CAST(length(vf.c_value) AS INT) AS size FROM grams g JOIN vf ON g.norm = vf.norm)"""
+v AS (SELECT *, lower(trim(value)) AS c_value FROM picks),
+vf AS (SELECT * FROM v WHERE {LINKABLE_SQL} AND NOT regexp_matches(c_value, '^{SEP_SQL}|{SEP_SQL}$')),
+qt AS (SELECT ex_id, lower(trim(question)) AS lq FROM questions),
+firsts AS (SELECT ex_id, lq, i AS f FROM qt, range(1, length(lq) + 1) r(i) WHERE NOT regexp_matches(substring(lq, i, 1), '{SEP_SQL}')
+           AND (i = 1 OR regexp_matches(substring(lq, i - 1, 1), '{SEP_SQL}'))),
+spans AS (SELECT DISTINCT ex_id, substring(lq, f, e) AS span FROM firsts, range(1, length(lq) + 1) r(e)
+          WHERE f + e - 1 <= length(lq) AND NOT regexp_matches(substring(lq, f + e - 1, 1), '{SEP_SQL}')
+            AND (f + e - 1 = length(lq) OR regexp_matches(substring(lq, f + e, 1), '{SEP_SQL}'))),
+exact AS (SELECT s.ex_id, vf.table_name, vf.column_name, vf.value, s.span AS match_str, 1.0 AS score,
+            CAST(length(vf.c_value) AS INT) AS size FROM spans s JOIN vf ON s.span = vf.c_value)"""
 
 
 @register("d06_exact_links", T.with_views(f"WITH {EXACT_SQL} SELECT * FROM exact", "questions"), ops="D06 D11")
@@ -68,15 +72,17 @@ def d07(spark, sf_dir):
 
 CANDS_SQL = f"""{PICKS_SQL},
 v AS (SELECT *, lower(trim(value)) AS c_value FROM picks),
-vf AS (SELECT *, length(c_value) AS L, CASE WHEN length(c_value) <= 4 THEN 1 WHEN length(c_value) = 5 THEN 2 ELSE 3 END AS q
-       FROM v WHERE length(c_value) > 1 AND {EXCL_SQL}),
+vf AS (SELECT *, length(c_value) AS L, CAST(greatest(1, ceil(length(c_value) * 0.739 - 2)) AS INT) AS q,
+         substring(regexp_replace(c_value, '^{SEP_SQL}+', ''), 1, 1) AS head FROM v WHERE {LINKABLE_SQL}),
+pieces AS (SELECT DISTINCT table_name, column_name, value, c_value, L, q, head, substring(c_value, i, q) AS g
+           FROM vf, range(1, L - q + 2) r(i)),
 qs AS (SELECT ex_id, question, lower(trim(question)) AS lq FROM questions),
-starts AS (SELECT ex_id, question, lq, i AS w FROM qs, range(1, greatest(length(lq), 1) + 1) r(i)
-           WHERE i = 1 OR regexp_matches(substring(lq, i - 1, 1), '{SEP_SQL}')),
-grams AS (SELECT ex_id, question, lq, w, n AS q, substring(lq, w, n) AS g FROM starts, range(1, 4) r(n)
+starts AS (SELECT ex_id, question, lq, i AS w FROM qs, range(1, length(lq) + 1) r(i)
+           WHERE NOT regexp_matches(substring(lq, i, 1), '{SEP_SQL}') AND (i = 1 OR regexp_matches(substring(lq, i - 1, 1), '{SEP_SQL}'))),
+grams AS (SELECT ex_id, question, lq, w, n AS q, substring(lq, w, n) AS g FROM starts, (SELECT DISTINCT q AS n FROM vf)
           WHERE length(substring(lq, w, n)) = n),
-cands AS (SELECT g.ex_id, g.question, g.lq, g.w, vf.table_name, vf.column_name, vf.value, vf.c_value, vf.L
-          FROM grams g JOIN vf ON g.q = vf.q AND g.g = substring(vf.c_value, 1, vf.q))"""
+cands AS (SELECT DISTINCT g.ex_id, g.question, g.lq, g.w, p.table_name, p.column_name, p.value, p.c_value, p.L
+          FROM grams g JOIN pieces p ON g.q = p.q AND g.g = p.g AND substring(g.g, 1, 1) = p.head)"""
 
 
 @register("d09_blocking", T.with_views(f"""WITH {CANDS_SQL}
@@ -103,8 +109,7 @@ def d10(spark, sf_dir):
 
 @register("d08_fuzzy_links", None, ops="D04 D05 D08")
 def d08(spark, sf_dir):
-    c = D.prune_candidates(D.fuzzy_candidates(T.questions(spark, sf_dir), _picks(spark, sf_dir)))
-    return D.verify(c)
+    return D.fuzzy_links(T.questions(spark, sf_dir), _picks(spark, sf_dir))
 
 
 @register("d13_exact_top2", T.with_views(f"""WITH {EXACT_SQL},

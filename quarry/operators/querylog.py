@@ -200,23 +200,26 @@ def hardness_class(c1: Column, c2: Column, oth: Column) -> Column:
             .otherwise("extra"))
 
 
-def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
-    """(text_id, text) of the distinct texts. Real logs repeat: the token
-    pipeline runs once per distinct text and results join back on the text.
-    The distinct is pre-aggregated map-side, so a text repeated by a third of
-    all rows collapses before the shuffle; ids are fixed by a checkpoint."""
-    d = (df.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).distinct()
+def distinct_texts(df: DataFrame, text_col: str, *by: str) -> DataFrame:
+    """(text_id, text, by...) of the distinct texts; a NULL text is the empty one.
+    Real logs repeat: the token pipeline runs once per distinct text and results
+    join back on the text. The distinct is pre-aggregated map-side, so a text
+    repeated by a third of all rows collapses before the shuffle; ids are fixed
+    by a checkpoint."""
+    d = (df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *by).distinct()
            .withColumn("text_id", F.monotonically_increasing_id()))
     return cut_lineage(d)
 
 
 def hardness(df: DataFrame, text_col: str, id_col: str = "query_id", compat: bool = True) -> DataFrame:
-    """(query_id, component1, component2, others, hardness) for a table of SQL texts."""
+    """(query_id, component1, component2, others, hardness) for a table of SQL
+    texts; a NULL or empty text has no clauses and is easy."""
     texts = distinct_texts(df, text_col)
     f = features(segment(tokenize(texts, "text", "text_id")), compat)
-    f = f.withColumn("hardness", hardness_class(F.col("component1"), F.col("component2"), F.col("others")))
-    per_text = f.join(texts, f["query_id"] == texts["text_id"]).drop("query_id", "text_id")
-    return (df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")).join(per_text, "text")
+    per_text = texts.join(f, f["query_id"] == texts["text_id"], "left").drop("query_id", "text_id").na.fill(
+        0, ["component1", "component2", "others"])
+    per_text = per_text.withColumn("hardness", hardness_class(F.col("component1"), F.col("component2"), F.col("others")))
+    return (df.select(F.col(id_col).alias("query_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(per_text, "text")
               .select("query_id", "component1", "component2", "others", "hardness"))
 
 

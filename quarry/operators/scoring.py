@@ -73,42 +73,34 @@ def fk_canonical(spark: SparkSession, cols: DataFrame, fks: DataFrame) -> DataFr
 
 
 # --------------------------------------------------------- E03, E06, E15, E16
-# literal map lookups scan their keys: keep the per-database catalog small
-# (a text-to-SQL database has tens to hundreds of columns)
-MAX_CATALOG_COLUMNS = 20_000
-
-
-def catalog_lookup(cols: DataFrame, canon: DataFrame, db_id: str):
-    """Catalog of one database as literal lookup columns (schema metadata only,
-    size-checked): table set, ``table.column`` set, FK canonical map."""
-    meta = (cols.filter((F.col("column_id") > 0) & (F.col("db_id") == db_id))
-                .select(F.lower("table_name").alias("t"), F.lower("column_name").alias("c")).limit(MAX_CATALOG_COLUMNS + 1).collect())
-    if len(meta) > MAX_CATALOG_COLUMNS:
-        raise ValueError("catalog too large for a literal lookup")
-    cmap = canon.filter(F.col("db_id") == db_id).select("col_ident", "canon_ident").collect()
-    tables = sorted({r.t for r in meta})
-    tcols = sorted({f"{r.t}.{r.c}" for r in meta})
-    tab_arr = F.array(*[F.lit(t) for t in tables])
-    col_map = F.create_map(*[x for tc in tcols for x in (F.lit(tc), F.lit(True))])
-    canon_map = (F.create_map(*[x for r in cmap for x in (F.lit(r.col_ident), F.lit(r.canon_ident))])
-                 if cmap else F.create_map().cast("map<string,string>"))
-    return tab_arr, col_map, canon_map
-
-
-def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> DataFrame:
+def catalog_maps(cols: DataFrame, canon: DataFrame) -> DataFrame:
+    """One row per database: its tables, its ``table.column`` names and its
+    foreign-key canonical map. Joined by db_id, so a run may hold any number of
+    databases, of any size."""
+    c = cols.filter("column_id > 0").select("db_id", F.lower("table_name").alias("t"), F.lower("column_name").alias("c"))
+    names = c.groupBy("db_id").agg(
+        F.collect_set("t").alias("cat_tables"),
+        F.map_from_entries(F.collect_set(F.struct(F.concat_ws(".", "t", "c").alias("k"), F.lit(True).alias("v")))).alias("cat_columns"))
+    groups = canon.groupBy("db_id").agg(F.map_from_entries(F.collect_set(F.struct("col_ident", "canon_ident"))).alias("cat_canon"))
+    return names.join(groups, "db_id", "left")
+
+
+def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str | DataFrame) -> DataFrame:
     """Adds ``sig`` (resolved, canonical, masked token) and ``invalid`` per query.
 
-    Everything is a window over ``query_id``-prefixed keys on the segmented
-    table (no join, no exchange): alias pairs (E03) and FROM tables (E06) are
-    collected per query / per block; the catalog is a literal lookup.
+    Alias pairs (E03) and FROM tables (E06) are collected per query / per block
+    by windows over ``query_id``-prefixed keys; the query's database brings its
+    catalog by one join. ``db_id``: one database, or a table (query_id, db_id).
+    A query whose database is unknown has no tables, so it is invalid.
     """
-    tab_arr, col_map, canon_map = catalog_lookup(cols, canon, db_id)
+    tab_arr, col_map, canon_map = F.col("cat_tables"), F.col("cat_columns"), F.col("cat_canon")
     tok, prv = F.col("tok"), F.col("prv")
     wq = W.partitionBy("query_id")
     wb = W.partitionBy("query_id", "sel_depth", "sel_block", "branch")
     is_ftab = (F.col("clause") == "from") & F.col("at_top") & ~F.col("is_struct") & (tok != "as") \
         & ~F.coalesce(prv == "as", F.lit(False)) & ~tok.isin("(", ")")
     t = seg.withColumn("is_ftab", is_ftab)
+    t = t.withColumn("db_id", F.lit(db_id)) if isinstance(db_id, str) else t.join(db_id, "query_id", "left")
     t = t.withColumns({
         # Alias table, query-wide
         "aliases": F.array_sort(F.collect_list(F.when(tok == "as", F.struct(F.col("nxt").alias("a"), prv.alias("t")))).over(wq)),
@@ -117,6 +109,9 @@ def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> Da
         # E19 scope: tables of the top-level FROM
         "scope": F.collect_set(F.when(F.col("is_ftab") & (F.col("sel_depth") == 0) & (F.col("branch") == 0), tok)).over(wq),
     })
+    # every block, set-operation branches included, needs SELECT and FROM
+    t = t.withColumn("no_body", (F.max((tok == "select").cast("int")).over(wb) == 0) | (F.max((tok == "from").cast("int")).over(wb) == 0))
+    t = t.join(catalog_maps(cols, canon), "db_id", "left")
     is_ref = (F.col("clause").isin(*REF_CLAUSES) & ~F.col("is_struct") & ~F.col("is_lit")
               & tok.rlike(r"^([a-z_][a-z0-9_.]*|\*)$") & ~tok.isin(*NOT_COLUMNS) & (F.col("sbo") == 0) & (F.col("sbc") == 0))
     a = F.substring_index(tok, ".", 1)
@@ -135,23 +130,23 @@ def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> Da
     canon_ident = F.when(F.array_contains("scope", F.col("rtable")), canon_map[F.col("ident0")])
     t = t.withColumn("ident", F.coalesce(canon_ident, F.col("ident0")))
     bad = ((F.col("is_ref") & F.col("ident0").isNull())
-           | (F.col("is_ftab") & ~F.array_contains(tab_arr, tok)))
+           | (F.col("is_ftab") & ~F.coalesce(F.array_contains(tab_arr, tok), F.lit(False))) | F.col("no_body"))
     # §8 #11: constructs outside the scored subset make the text unparsable
     outside = (tok.isin("exists", "is")
                | ((F.col("clause") == "from") & tok.isin("left", "right", "outer", "full", "cross", "natural"))
                | ((F.col("clause") == "from") & F.col("at_top") & (tok == ","))
                | ((F.col("clause") == "from") & (tok == "as") & (prv == ")"))
                | ((tok == ",") & (F.col("in_list") == 1)))
-    bad = bad | F.coalesce(outside, F.lit(False))
+    t = t.withColumn("bad", (bad | F.coalesce(outside, F.lit(False))).cast("int")).drop("cat_tables", "cat_columns", "cat_canon", "no_body")
     quotes = F.length("tok") - F.length(F.regexp_replace("tok", '"', ""))
     t = t.withColumn("invalid", F.coalesce(
-        F.max(bad.cast("int")).over(wq) == 1, F.lit(False))
+        F.max("bad").over(wq) == 1, F.lit(False))
         | ((F.sum(quotes).over(wq) % 2) != 0) | (F.sum("open").over(wq) != F.sum("close").over(wq)))
     sig = (F.when(F.col("ident").isNotNull(), F.col("ident"))
            .when(F.col("is_lit") | tok.rlike(r"^[0-9]"), F.lit(MASK))      # E20 value masking
            .when(tok == "distinct", F.lit(None))                            # E21 distinct masking
            .otherwise(tok))
-    return t.withColumn("sig", sig).drop("aliases", "ftabs", "scope", "ident0")
+    return t.withColumn("sig", sig).drop("aliases", "ftabs", "scope", "ident0", "bad")
 
 
 def _join_sig(col: str = "sig") -> Column:
@@ -167,16 +162,20 @@ def component_items(rs: DataFrame) -> DataFrame:
     op_top = F.col("at_top") & tok.isin(*Q.COND_OPERATORS)
     wi = W.partitionBy(*Q.ITEM)
     rs = rs.withColumn("op_pos", F.min(F.when(op_top, F.col("pos"))).over(wi))
-    # sub-query signatures, attached to the parent item
-    subs = (rs.filter(F.col("sel_depth") >= 1).filter(F.col("sig").isNotNull())
-              .groupBy("query_id", "sel_depth", "sel_block").agg(_join_sig().alias("sub_sig")))
-    openers = rs.filter(F.col("sbo") == 1).select(
-        "query_id", (F.col("sel_depth") - 1).alias("p_depth"), F.col("sel_depth").alias("sel_depth"), "sel_block",
-        F.col("p_sel_block"), F.col("p_branch"), F.col("p_clause"), F.col("p_item_no"))
-    nested = (openers.join(subs, ["query_id", "sel_depth", "sel_block"])
-                     .groupBy("query_id", F.col("p_depth").alias("sel_depth"), F.col("p_sel_block").alias("sel_block"),
-                              F.col("p_branch").alias("branch"), F.col("p_clause").alias("clause"), F.col("p_item_no").alias("item_no"))
-                     .agg(F.array_join(F.sort_array(F.collect_list("sub_sig")), " ; ").alias("nested")))
+    # sub-query signatures, attached to the parent item (E14): all tokens between
+    # a sub-query's parentheses, deeper levels included, without alias names
+    started = F.when((F.col("sbo") == 1) & (F.col("sel_depth") == 1), F.col("sel_block"))
+    inner = rs.withColumn("root", F.last(started, ignorenulls=True).over(
+        W.partitionBy("query_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    named = (tok == "as") | F.coalesce(F.col("prv") == "as", F.lit(False))
+    subs = (inner.filter((F.col("sel_depth") >= 1) & F.col("sig").isNotNull() & ~named)
+                 .groupBy("query_id", F.col("root").alias("sel_block")).agg(_join_sig().alias("sub_sig")))
+    openers = rs.filter((F.col("sbo") == 1) & (F.col("sel_depth") == 1)).select(
+        "query_id", "sel_block", "p_sel_block", "p_branch", "p_clause", "p_item_no")
+    attached = openers.join(subs, ["query_id", "sel_block"])
+    nested = (attached.groupBy("query_id", F.lit(0).cast("long").alias("sel_depth"), F.col("p_sel_block").alias("sel_block"),
+                               F.col("p_branch").alias("branch"), F.col("p_clause").alias("clause"), F.col("p_item_no").alias("item_no"))
+                      .agg(F.array_join(F.sort_array(F.collect_list("sub_sig")), " ; ").alias("nested")))
     body = rs.filter(~F.col("is_struct") & F.col("clause").isNotNull() & (F.col("sbo") == 0) & (F.col("sbc") == 0)
                      & (F.col("sel_depth") == 0) & F.col("sig").isNotNull())
     lhs = F.when((F.col("pos") < F.col("op_pos")) & (tok != "not"), F.col("sig"))
@@ -213,6 +212,8 @@ def component_items(rs: DataFrame) -> DataFrame:
         F.max_by(F.when((F.col("clause") == "order") & tok.isin("asc", "desc"), tok),
                  F.when((F.col("clause") == "order") & tok.isin("asc", "desc"), F.col("pos"))).alias("dir"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_conn") & (F.col("clause") == "where"), tok))), ",").alias("ao"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_conn") & (F.col("clause") == "having"), F.struct("pos", "tok")))),
+                                 lambda x: x["tok"]), ",").alias("having_conn"),
     )
     order_items = items.filter((c == "order")).withColumn("osig", F.trim(F.regexp_replace("text", r"\b(asc|desc)\b", "")))
     ogroup = items.groupBy(*key).agg(
@@ -224,7 +225,8 @@ def component_items(rs: DataFrame) -> DataFrame:
     # having connectors keep their order: they are part of the having list
     rows += [
         bw.filter("has_group = 1").select(*key, F.lit("group").alias("comp"),
-                                          F.concat_ws("#", F.coalesce("group_list", F.lit("")), F.coalesce("having_sig", F.lit(""))).alias("sig")),
+                                          F.concat_ws("#", F.coalesce("group_list", F.lit("")), F.coalesce("having_sig", F.lit("")),
+                                                      F.coalesce("having_conn", F.lit(""))).alias("sig")),
         bw.filter("has_order = 1").select(*key, F.lit("order").alias("comp"),
                                           F.concat_ws("#", F.coalesce("dir", F.lit("asc")), F.coalesce("order_list", F.lit("")),
                                                       F.col("has_limit").cast("string")).alias("sig")),
@@ -246,6 +248,9 @@ def component_items(rs: DataFrame) -> DataFrame:
                      & ~F.coalesce(F.col("prv") == "as", F.lit(False)) & ~tok.isin("(", ")")
                      & (F.col("sel_depth") == 0) & (F.col("sel_block") == 0))
     rows.append(tabs.select(*key, F.lit("tables").alias("comp"), F.concat(F.lit("__"), tok, F.lit("__")).alias("sig")))
+    # a derived table counts by its block's signature
+    rows.append(attached.filter((F.col("p_clause") == "from") & (F.col("p_sel_block") == 0)).select(
+        "query_id", F.col("p_branch").alias("branch"), F.lit("tables").alias("comp"), F.concat(F.lit("( "), "sub_sig", F.lit(" )")).alias("sig")))
     rows.append(setops.select(*key, F.lit("setop").alias("comp"), "sig"))
     out = rows[0]
     for r in rows[1:]:
@@ -318,18 +323,24 @@ def exact_match(comp: DataFrame, ci: DataFrame, sides_df: DataFrame) -> DataFram
     return t.select("pair_id", ((F.col("min_f1") == 1) & same_tabs).cast("bigint").alias("exact"))
 
 
-def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: DataFrame, db_id: str,
+def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: DataFrame, db_id: str | None = None,
                 compat: bool = True) -> tuple[DataFrame, DataFrame]:
     """(per-component rows, per-pair report) for a table of gold/pred pairs.
 
+    Without ``db_id`` each pair names its database in a column ``db_id``. A NULL
+    or empty side is an invalid text: it is scored as the empty query.
+
     Work is done once per distinct text (token pipeline) and once per distinct
     (gold text, predicted text) pair (comparison); results join back to pairs.
     """
-    p = pairs.select(F.col("query_id").alias("pair_id"), "gold", "pred")
-    texts = Q.distinct_texts(p.select(F.col("gold").alias("t")).unionByName(p.select(F.col("pred").alias("t"))), "t")
-    ids = (p.join(texts.select(F.col("text").alias("gold"), F.col("text_id").alias("g_id")), "gold")
-            .join(texts.select(F.col("text").alias("pred"), F.col("text_id").alias("p_id")), "pred")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    p = pairs.select(F.col("query_id").alias("pair_id"), text("gold"), text("pred"),
+                     (F.lit(db_id) if db_id else F.col("db_id")).alias("db_id"))
+    texts = Q.distinct_texts(p.select(F.col("gold").alias("t"), "db_id").unionByName(p.select(F.col("pred").alias("t"), "db_id")), "t", "db_id")
+    ids = (p.join(texts.select(F.col("text").alias("gold"), "db_id", F.col("text_id").alias("g_id")), ["gold", "db_id"])
+            .join(texts.select(F.col("text").alias("pred"), "db_id", F.col("text_id").alias("p_id")), ["pred", "db_id"])
             .select("pair_id", "g_id", "p_id"))
+    database = db_id or texts.select(F.col("text_id").alias("query_id"), "db_id")
     tp = cut_lineage(ids.select("g_id", "p_id").distinct().withColumn("tp_id", F.monotonically_increasing_id()))
     s = (tp.select(F.col("g_id").alias("query_id"), F.col("tp_id").alias("pair_id"), F.lit(0).alias("side"))
            .unionByName(tp.select(F.col("p_id").alias("query_id"), F.col("tp_id").alias("pair_id"), F.lit(1).alias("side"))))
@@ -343,7 +354,7 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: Dat
     # read back once, hash-partitioned on query_id and cached: every later
     # aggregate keyed by query_id (items, features, flags) then runs without
     # another exchange (a lost cached block is re-read from the checkpoint)
-    rs = (cut_lineage(resolve(seg, cols, canon, db_id).select(*keep))
+    rs = (cut_lineage(resolve(seg, cols, canon, database).select(*keep))
           .repartition("query_id").persist(StorageLevel.MEMORY_AND_DISK))
     ci = cut_lineage(component_items(rs))
     comp_tp = pair_components(ci, s)
@@ -358,9 +369,10 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: Dat
                   .join(inv.select(F.col("query_id").alias("g_id"), F.col("invalid").alias("gold_invalid")), "g_id", "left")
                   .join(inv.select(F.col("query_id").alias("p_id"), F.col("invalid").alias("pred_invalid")), "p_id", "left")
                   .join(hard.select(F.col("query_id").alias("g_id"), "hardness"), "g_id", "left")
-                  .select("pair_id", "exact", F.coalesce("gold_invalid", F.lit(False)).alias("gold_invalid"),
-                          F.coalesce("pred_invalid", F.lit(False)).alias("pred_invalid"),
-                          F.when(F.coalesce("gold_invalid", F.lit(False)), F.lit("easy")).otherwise(F.col("hardness")).alias("hardness")))
+                  # a text without tokens has no row: it is invalid as well
+                  .select("pair_id", "exact", F.coalesce("gold_invalid", F.lit(True)).alias("gold_invalid"),
+                          F.coalesce("pred_invalid", F.lit(True)).alias("pred_invalid"),
+                          F.when(F.coalesce("gold_invalid", F.lit(True)), F.lit("easy")).otherwise(F.col("hardness")).alias("hardness")))
     return comp, report
 
 

@@ -27,7 +27,8 @@ def pick_first_valid(batch: DataFrame, cols: DataFrame, canon: DataFrame, db_id:
     seg = Q.segment(Q.tokenize(texts, "text", "text_id"))
     inv = (S.resolve(seg, cols, canon, db_id).select("query_id", "invalid").distinct()
              .join(texts, F.col("query_id") == F.col("text_id")).select(F.col("text").alias("pred"), "invalid"))
-    hv = batch.join(inv, "pred", "left").withColumn("valid", ~F.coalesce(F.col("invalid"), F.lit(False)))
+    # NULL, empty and token-less texts have no row: invalid
+    hv = batch.join(inv, "pred", "left").withColumn("valid", ~F.coalesce(F.col("invalid"), F.lit(True)))
     return L.first_valid(hv)
 
 

@@ -73,3 +73,69 @@ def test_fk_propagation_has_no_round_cap(spark):
     fks = spark.createDataFrame([("d", i + 1, i) for i in range(1, n)], "db_id string, column_id int, other_column_id int")
     canon = {r.col_ident: r.canon_ident for r in S.fk_canonical(spark, cols, fks).collect()}
     assert len(canon) == n and set(canon.values()) == {"__t.c1__"}
+
+
+# Expected values below are derived by hand from the scoring rules.
+def test_nested_queries_to_any_depth(spark):
+    sub = "SELECT c_name FROM customer WHERE c_custkey IN (SELECT {a}.o_custkey FROM orders AS {a} WHERE {a}.o_totalprice > 5)"
+    deep = ("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity IN "
+            "(SELECT {c} FROM lineitem{w}))")
+    pairs = [
+        (sub.format(a="T1"), sub.format(a="T9")),                                        # alias names do not count
+        (deep.format(c="l_tax", w=""), deep.format(c="l_discount", w=" WHERE l_tax > 1")),    # differ at depth 2
+        (deep.format(c="l_tax", w=""), deep.format(c="l_tax", w="")),
+    ]
+    rep, comp = _score(spark, pairs)
+    assert [rep[i].exact for i in range(3)] == [1, 0, 1]
+    where = {r.pair_id: r.f1 for r in comp.filter(F.col("comp") == "where").collect()}
+    assert where == {0: 1, 1: 0, 2: 1}
+
+
+def test_derived_tables_and_having_connectors(spark):
+    having = "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1 {} max(o_totalprice) > 2 {} min(o_totalprice) > 3"
+    pairs = [
+        ("SELECT count(*) FROM (SELECT o_custkey FROM orders)", "SELECT count(*) FROM (SELECT l_orderkey FROM lineitem)"),
+        ("SELECT count(*) FROM (SELECT o_custkey FROM orders)", "SELECT count(*) FROM (SELECT o_custkey FROM orders)"),
+        (having.format("AND", "OR"), having.format("OR", "AND")),
+        (having.format("AND", "OR"), having.format("and", "or")),
+    ]
+    rep, comp = _score(spark, pairs)
+    assert [rep[i].exact for i in range(4)] == [0, 1, 0, 1]
+    group = {r.pair_id: r.f1 for r in comp.filter(F.col("comp") == "group").collect()}
+    assert group[2] == 0 and group[3] == 1
+
+
+def test_texts_without_a_query_are_invalid_and_kept(spark):
+    g = "SELECT n_name FROM nation"
+    pairs = [(g, None), (g, ""), (g, "hello there"), (None, g), ("", ""), (g, "SELECT 1"), (g, "FROM nation"), (g, g + " UNION SELECT 2")]
+    rep, _ = _score(spark, pairs)
+    assert len(rep) == len(pairs)
+    assert [rep[i].pred_invalid for i in range(8)] == [True, True, True, False, True, True, True, True]
+    assert rep[3].gold_invalid and rep[4].gold_invalid and rep[3].hardness == rep[4].hardness == "easy"
+    assert [rep[i].exact for i in range(8)] == [0, 0, 0, 0, 1, 0, 0, 0]
+
+
+def test_first_valid_skips_texts_without_a_query(spark):
+    from quarry.streaming.hypotheses import pick_first_valid
+    cols = C.profile(spark, SF_SMALL)
+    canon = S.fk_canonical(spark, cols, C.foreign_keys(spark, cols))
+    rows = [(k, n, t) for k, bad in enumerate([None, "", "hello there", "SELECT nothing FROM nowhere"])
+            for n, t in enumerate([bad, "SELECT n_name FROM nation"])]
+    hyps = spark.createDataFrame(rows, "ex_id long, hyp_rank int, pred string")
+    assert {r.pred_sql for r in pick_first_valid(hyps, cols, canon, "star").collect()} == {"SELECT n_name FROM nation"}
+
+
+def test_many_databases_and_large_catalogs(spark):
+    n = 50_000
+    big = (spark.range(n).select(F.lit("big").alias("db_id"), (F.col("id") + 1).cast("int").alias("column_id"), F.lit(0).alias("table_id"),
+                                 F.lit("wide").alias("table_name"), F.concat(F.lit("c"), F.col("id")).alias("column_name"),
+                                 F.lit("number").alias("column_type"), F.lit(False).alias("is_pk")))
+    star = C.profile(spark, SF_SMALL)
+    cols = big.unionByName(star.select(*big.columns))
+    pairs = spark.createDataFrame([
+        (0, "SELECT c49999 FROM wide", "SELECT c49999 FROM wide", "big"), (1, "SELECT c49999 FROM wide", "SELECT c50001 FROM wide", "big"),
+        (2, "SELECT n_name FROM nation", "SELECT n_name FROM nation", "star"), (3, "SELECT n_name FROM nation", "SELECT n_name FROM nation", "big"),
+    ], "query_id long, gold string, pred string, db_id string")
+    _, rep = S.score_pairs(spark, pairs, cols, C.foreign_keys(spark, star))
+    got = {r.pair_id: (r.exact, r.gold_invalid, r.pred_invalid) for r in rep.collect()}
+    assert got == {0: (1, False, False), 1: (0, False, True), 2: (1, False, False), 3: (1, True, True)}

@@ -138,7 +138,7 @@ epl-2 | eclipse | 4 | 0.95 | eclipse public licen[sc]e (?:v|version )?2(?: 0)?
 mit | permission is hereby granted | 4 | 0.9 | permission is hereby granted free of charge to any person obtaining a copy
 isc | permission to use | 4 | 0.85 | permission to use copy modify and or distribute this software for any purpose
 bsd | redistribution and use | 4 | 0.85 | redistribution and use in source and binary forms
-zlib | as is | 3 | 0.8 | this software is provided as is without any express or implied warranty
+zlib | implied warranty | 3 | 0.8 | this software is provided as is without any express or implied warranty
 unlicense | public domain | 4 | 0.85 | this is free and unencumbered software released into the public domain
 public-domain | public domain | 3 | 0.7 | (?:released|placed|dedicated) (?:in|into|to) the public domain
 public-domain | public domain | 1 | 0.4 | public domain

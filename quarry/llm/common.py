@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,17 @@ def text_runs(column: pa.Array, size: int = 2_000_000) -> Iterator[list[str | No
         yield column.slice(start).to_pylist()
 
 
+_KEPT: dict[str, tuple[Hashable, object]] = {}
+
+
+def kept_in_worker(name: str, key: Hashable, make: Callable[[], object]):
+    """An object that a Python worker keeps from task to task (one per name, of
+    the last key): tables and memos that are dear to build. Never a result."""
+    if name not in _KEPT or _KEPT[name][0] != key:
+        _KEPT[name] = (key, make())
+    return _KEPT[name][1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: later jobs start from files that every executor can read."""

@@ -4,7 +4,7 @@ A text is cut into units no piece can cross (before a run of blanks, and
 around a line feed; both are checked against the vocabulary). Every unit runs
 an agenda of its adjacent symbol pairs ordered by piece score, leftmost first
 on ties (``pair_merge``), and what stays outside the vocabulary falls back to
-byte pieces. Each unit that is new to a task is checked, one Arrow batch at a
+byte pieces. Each unit that is new to a worker is checked, one Arrow batch at a
 time, against the sentencepiece library: on a difference the library's ids are
 taken and counted in ``n_differs``. Documents are then decoded from their ids.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs
+from .common import kept_in_worker, text_runs
 from .pair_merge import Memo, PairTable, merge_units
 
 BLANK = "▁"                 # fixed value: the library's visible blank
@@ -40,7 +41,7 @@ BEYOND = 0x110000
 class PieceCodec:
     """Agenda encoder and decoder over one model."""
 
-    def __init__(self, model: bytes, cap: int = 150_000):
+    def __init__(self, model: bytes, cap: int = 300_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = len(sp)
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -108,8 +109,9 @@ class PieceCodec:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.units(t) if t else [] for t in texts]
-        known = self.memo.look_up({u for u in chain.from_iterable(cut) if len(u) <= LONG_UNIT})
-        long = list({u for u in chain.from_iterable(cut) if len(u) > LONG_UNIT})
+        units = set(chain.from_iterable(cut))
+        long = [u for u in units if len(u) > LONG_UNIT]
+        known = self.memo.look_up(units.difference(long))
         if long:
             known = dict(known) | dict(zip(long, self.encode_units(long)))
         get = known.__getitem__
@@ -149,19 +151,19 @@ class PieceCodec:
 
 
 def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-                  cache: int = 120_000) -> DataFrame:
+                  cache: int = 300_000) -> DataFrame:
     """One row per document: id, ``ids`` (array of int), ``decoded`` (string)
     and ``n_differs``: units first met with this document's run of texts whose
     agenda and library ids differ (0 unless the agenda is wrong).
 
-    ``cache``: units per generation of a task's memo (bounds its memory).
+    ``cache``: units per generation of a worker's memo (bounds its memory).
     """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model.value, cache)
+        codec = kept_in_worker("pieces", (sha256(model.value).digest(), cache), lambda: PieceCodec(model.value, cache))
         for batch in batches:
             at = 0
             for texts in text_runs(batch.column(1)):

@@ -4,10 +4,8 @@ Kept together, as plain text, in their natural order.
 """
 
 # --- Fixed values: SQL grammar word lists of the scored subset -------------
-CLAUSE_KEYWORDS = ("select", "from", "where", "group", "order", "limit", "intersect", "union", "except")
 JOIN_KEYWORDS = ("join", "on", "as")
 WHERE_OPS = ("not", "between", "=", ">", "<", ">=", "<=", "!=", "in", "like", "is", "exists")
-UNIT_OPS = ("none", "-", "+", "*", "/")
 AGG_OPS = ("none", "max", "min", "count", "sum", "avg")
 COND_OPS = ("and", "or")
 SQL_OPS = ("intersect", "union", "except")

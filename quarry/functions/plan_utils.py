@@ -5,34 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many rows a side is never broadcast by the library itself.
-BROADCAST_MAX_ROWS = 2_000_000
+from ..session import cut_lineage
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count (cheap for metadata-
-    sized inputs such as catalogs and word lists); otherwise leave the join
-    strategy to the planner (shuffle join, or AQE's runtime broadcast)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def first_k(df: DataFrame, order_cols: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of ``df`` in a total order, exactly, for any k.
 
-
-def ordered_join(arr_of_structs: Column, field: str, sep: str) -> Column:
-    """array_join of one field of an array of structs sorted by its first field."""
-    return F.array_join(F.transform(F.array_sort(arr_of_structs), lambda x: x[field]), sep)
-
-
-def first_k(df: DataFrame, order_cols: list[Column], k: int, small_k: int = 100_000) -> DataFrame:
-    """The first ``k`` rows of ``df`` in a total order, exactly.
-
-    Small k: ``orderBy().limit()`` (TakeOrderedAndProject, k rows per task).
-    Large k (a ratio of a big table): range-partitioned sort, per-partition
-    counts (one row per partition) turned into offsets on the driver, then a
-    filter on the global row number — no single task ever holds k rows.
+    Range-partitioned sort, per-partition counts (one row per partition) turned
+    into offsets on the driver, then a filter on the global row number — no
+    task ever gathers k rows.
     """
-    if k <= small_k:
-        return df.orderBy(*order_cols).limit(k)
-    from ..session import cut_lineage
     s = cut_lineage(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
                       .withColumn("_pid", F.spark_partition_id()))
     parts = s.groupBy("_pid").agg(F.min("_mid").alias("_m0"), F.count("*").alias("_n")).orderBy("_pid").collect()

@@ -8,6 +8,8 @@ driver-side loop over table metadata (kind D); everything after is joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,9 +60,15 @@ def profile(spark: SparkSession, sf_dir: str, db_id: str = STAR_DB, tables=STAR_
         F.coalesce(F.col("col_pos") == 0, F.lit(False)).alias("is_pk"))
 
 
-def tables_of(cols: DataFrame) -> DataFrame:
-    return (cols.filter(F.col("table_id") >= 0).groupBy("db_id", "table_id", "table_name").agg()
-                .withColumn("table_display", F.lower(F.replace(F.col("table_name"), F.lit("_"), F.lit(" ")))))
+def column_stats(spark: SparkSession, sf_dir: str, db_id: str = STAR_DB, tables=STAR_TABLES) -> DataFrame:
+    """(db_id, table_name, column_name, n_values): non-null values of every column, one scan per table."""
+    parts = []
+    for name in tables:
+        df = table(spark, sf_dir, name)
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+        parts.append(counts.unpivot([], df.columns, "column_name", "n_values")
+                     .select(F.lit(db_id).alias("db_id"), F.lit(name).alias("table_name"), "column_name", "n_values"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def primary_keys(cols: DataFrame) -> DataFrame:

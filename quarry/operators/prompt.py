@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.plan_utils import checked_broadcast
 
 # The instruction prefix and the default source prefix.
 PROMPT = "Translate the question into sql according to the database:"
@@ -19,7 +18,7 @@ SOURCE_PREFIX = "question: "
 STYLES = {
     # db_id text, table separator, table text, column separator, column-with-values, value separator
     "verbose": ("database: {db}. ", ". ", "table: {table}. columns: {columns}", ", ", "{column} ({values})", ", "),
-    "peteshaw": (" | {db}", "", " | {table} : {columns}", " , ", "{column} ( {values} )", " , "),
+    "piped": (" | {db}", "", " | {table} : {columns}", " , ", "{column} ( {values} )", " , "),
 }
 
 
@@ -37,7 +36,7 @@ def _fmt(template: str, **cols: Column) -> Column:
     return F.concat(*parts)
 
 
-def serialize_schema(examples: DataFrame, columns: DataFrame, matches: DataFrame | None, style: str = "peteshaw",
+def serialize_schema(examples: DataFrame, columns: DataFrame, matches: DataFrame | None, style: str = "piped",
                      with_db_id: bool = True) -> DataFrame:
     """(ex_id, serialized_schema).
 
@@ -46,24 +45,33 @@ def serialize_schema(examples: DataFrame, columns: DataFrame, matches: DataFrame
     Tables with linked values move to the front, reversed among themselves.
     """
     db_t, tsep, ttab, csep, cval, vsep = STYLES[style]
-    cols = checked_broadcast(columns)
-    x = examples.select("ex_id", "db_id").join(cols, "db_id")
+    # the catalog is packed once per database; examples bring their matches as a map
+    per_table = columns.groupBy("db_id", "table_id", "table_name").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("column_id", "column_name"))), lambda c: c["column_name"]).alias("cols"))
+    packed = per_table.groupBy("db_id").agg(F.sort_array(F.collect_list(F.struct("table_id", "table_name", "cols"))).alias("tabs"))
+    x = examples.select("ex_id", "db_id").join(packed, "db_id")
+    name = lambda t, c: F.concat(t, F.lit("\u0001"), c)
     if matches is not None:
-        x = x.join(matches.select("ex_id", "table_name", "column_name", "values"), ["ex_id", "table_name", "column_name"], "left")
+        linked = matches.groupBy("ex_id").agg(F.map_from_entries(F.collect_list(
+            F.struct(name(F.col("table_name"), F.col("column_name")).alias("k"), F.col("values").alias("v")))).alias("linked"))
+        x = x.join(linked, "ex_id", "left")
     else:
-        x = x.withColumn("values", F.lit(None).cast("array<string>"))
-    cname = F.lower("column_name")
-    has_vals = F.coalesce(F.size("values"), F.lit(0)) > 0
-    col_str = F.when(has_vals, _fmt(cval, column=cname, values=F.array_join("values", vsep))).otherwise(cname)
-    per_table = x.groupBy("ex_id", "db_id", "table_id", "table_name").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("column_id", col_str.alias("c")))), lambda s: s["c"]), csep).alias("cols"))
-    per_table = per_table.withColumn("ttext", _fmt(ttab, table=F.lower("table_name"), columns=F.col("cols")))
-    moved = F.col("ttext").contains("(")
-    key = F.struct(F.when(moved, 0).otherwise(1).alias("k1"), F.when(moved, -F.col("table_id")).otherwise(F.col("table_id")).alias("k2"))
-    per_ex = per_table.groupBy("ex_id", "db_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("ttext").alias("t")))), lambda s: s["t"]), tsep).alias("tables"))
+        x = x.withColumn("linked", F.lit(None).cast("map<string,array<string>>"))
+
+    def column_text(table: Column, column: Column) -> Column:
+        values = F.col("linked")[name(table, column)]
+        cname = F.lower(column)
+        return F.when(F.coalesce(F.size(values), F.lit(0)) > 0, _fmt(cval, column=cname, values=F.array_join(values, vsep))).otherwise(cname)
+
+    texts = F.transform("tabs", lambda t: F.struct(t["table_id"].alias("id"), _fmt(
+        ttab, table=F.lower(t["table_name"]),
+        columns=F.array_join(F.transform(t["cols"], lambda c: column_text(t["table_name"], c)), csep)).alias("t")))
+    # tables with values first, in descending order, then the others
+    order = lambda s: F.struct(F.when(F.contains(s["t"], F.lit("(")), 0).otherwise(1).alias("k1"),
+                               F.when(F.contains(s["t"], F.lit("(")), -s["id"]).otherwise(s["id"]).alias("k2"), s["t"].alias("t"))
+    joined = F.array_join(F.transform(F.sort_array(F.transform(texts, order)), lambda s: s["t"]), tsep)
     head = _fmt(db_t, db=F.col("db_id")) if with_db_id else F.lit("database: ")
-    return per_ex.select("ex_id", F.concat(head, F.col("tables")).alias("serialized_schema"))
+    return x.select("ex_id", F.concat(head, joined).alias("serialized_schema"))
 
 
 def example_values(examples: DataFrame, columns: DataFrame, contained: DataFrame, picks: DataFrame, seed: str = "42") -> DataFrame:
@@ -72,7 +80,7 @@ def example_values(examples: DataFrame, columns: DataFrame, contained: DataFrame
     fallback = picks.groupBy("table_name", "column_name").agg(
         F.min_by("value", F.md5(F.concat_ws("|", F.lit(seed), "table_name", "column_name", "value"))).alias("fallback"))
     inq = contained.groupBy("ex_id", "table_name", "column_name").agg(F.min(F.lower("value")).alias("hit"))
-    x = examples.select("ex_id", "db_id").join(checked_broadcast(columns), "db_id")
+    x = examples.select("ex_id", "db_id").join(columns, "db_id")
     x = x.join(inq, ["ex_id", "table_name", "column_name"], "left").join(fallback, ["table_name", "column_name"], "left")
     return x.withColumn("pick_value", F.coalesce("hit", F.col("fallback").cast("string")))
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.plan_utils import checked_broadcast
 from . import querylog as Q
 
 # Keyword groups of the structure serializer.
@@ -57,7 +56,7 @@ def decompose(seg: DataFrame, column_names: DataFrame) -> DataFrame:
 
     ``column_names`` has one lower-cased ``column_name`` per catalog column.
     """
-    names = checked_broadcast(column_names.select(F.col("column_name").alias("cname")).distinct())
+    names = column_names.select(F.col("column_name").alias("cname")).distinct()
     tok = F.col("tok")
     t = seg.join(names, tok == F.col("cname"), "left")
     in_from = F.col("clause").isin("from", "on") & (tok != "from")
@@ -101,7 +100,7 @@ def combine(structure: Column, content: Column) -> Column:
     skinds = F.regexp_extract_all(structure, F.lit(SLOT_RE), 1)
     pieces = F.split(structure, SLOT_SPLIT_RE, -1)
     ckinds = F.regexp_extract_all(content, F.lit(SLOT_RE), 1)
-    ctexts = F.transform(F.slice(F.split(content, SLOT_SPLIT_RE, -1), 2, 1 << 30), lambda x: F.trim(x))
+    ctexts = F.transform(F.filter(F.split(content, SLOT_SPLIT_RE, -1), lambda x, i: i > 0), lambda x: F.trim(x))
     cz = F.arrays_zip(ckinds.alias("k"), ctexts.alias("v"))
     same = F.forall(F.array(F.lit("col"), F.lit("tab"), F.lit("val")), lambda kk: F.size(F.filter(skinds, lambda x: x == kk))
                     == F.size(F.filter(ckinds, lambda x: x == kk)))
@@ -148,4 +147,4 @@ def first_valid(hyp: DataFrame, valid_col: str = "valid") -> DataFrame:
 
 def group_hypotheses(flat: DataFrame, beams: int) -> DataFrame:
     """flat generation index → (example, rank); keeps every candidate."""
-    return flat.select((F.col("gen_idx") / beams).cast("long").alias("ex_no"), (F.col("gen_idx") % beams).cast("int").alias("hyp_rank"), "*")
+    return flat.select(F.expr(f"gen_idx div {int(beams)}").alias("ex_no"), (F.col("gen_idx") % beams).cast("int").alias("hyp_rank"), "*")

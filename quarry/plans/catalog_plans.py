@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.plan_utils import checked_broadcast
 from ..operators import catalog as C
 from ..sources import tables as T
 from .registry import register
@@ -36,35 +35,57 @@ fks AS (SELECT a.db_id, a.column_id, b.column_id AS other_column_id FROM fkn
         JOIN cols b ON b.table_name = fkn.rt AND b.column_name = fkn.rc)"""
 
 
+# non-null values of every column, read from the tables themselves
+STATS_SQL = "stats AS (" + "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, column_name, CAST(n_values AS BIGINT) AS n_values "
+    f"FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n_values)" for t in T.STAR_TABLES) + ")"
+
+
 def _cols(spark, sf_dir):
     return C.profile(spark, sf_dir)
 
 
+def _counted(spark, sf_dir):
+    """The profile with each column's number of values."""
+    return _cols(spark, sf_dir).join(C.column_stats(spark, sf_dir), ["db_id", "table_name", "column_name"], "left").na.fill(0, ["n_values"])
+
+
 def _big(df, *names):
     return df.select(*[F.col(c).cast("bigint").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-@register("a07_catalog_profile", CATALOG_SQL + "\nSELECT * FROM cols", ops="A07 A08 A09")
+@register("a07_catalog_profile", CATALOG_SQL + f""",
+{STATS_SQL}
+SELECT cols.*, coalesce(n_values, 0) AS n_values FROM cols LEFT JOIN stats USING (table_name, column_name)""", ops="A07 A08 A09")
 def a07(spark, sf_dir):
-    return _big(_cols(spark, sf_dir), "column_id", "table_id")
+    return _big(_counted(spark, sf_dir), "column_id", "table_id")
 
 
-@register("a08_type_buckets", CATALOG_SQL + """
-SELECT column_type, CAST(count(*) AS BIGINT) AS n_columns FROM cols WHERE column_id > 0 GROUP BY column_type""", ops="A08")
+@register("a08_type_buckets", CATALOG_SQL + f""",
+{STATS_SQL}
+SELECT column_type, CAST(count(*) AS BIGINT) AS n_columns, CAST(sum(n_values) AS BIGINT) AS n_values
+FROM cols JOIN stats USING (table_name, column_name) GROUP BY column_type""", ops="A08")
 def a08(spark, sf_dir):
-    return _cols(spark, sf_dir).filter("column_id > 0").groupBy("column_type").agg(F.count("*").alias("n_columns"))
+    return _counted(spark, sf_dir).filter("column_id > 0").groupBy("column_type").agg(
+        F.count("*").alias("n_columns"), F.sum("n_values").alias("n_values"))
 
 
-@register("a09_primary_keys", CATALOG_SQL + """
-SELECT c.db_id, c.column_id, c.table_name, c.column_name FROM cols c WHERE is_pk""", ops="A09")
+@register("a09_primary_keys", CATALOG_SQL + f""",
+{STATS_SQL}
+SELECT db_id, column_id, table_name, column_name, n_values FROM cols JOIN stats USING (table_name, column_name) WHERE is_pk""", ops="A09")
 def a09(spark, sf_dir):
-    c = _cols(spark, sf_dir)
-    return _big(C.primary_keys(c).join(c, ["db_id", "column_id"]).select("db_id", "column_id", "table_name", "column_name"), "column_id")
+    c = _counted(spark, sf_dir)
+    return _big(C.primary_keys(c).join(c, ["db_id", "column_id"]).select("db_id", "column_id", "table_name", "column_name", "n_values"), "column_id")
 
 
-@register("a10_foreign_keys", CATALOG_SQL + "\nSELECT db_id, column_id, other_column_id FROM fks", ops="A10")
+@register("a10_foreign_keys", CATALOG_SQL + f""",
+{STATS_SQL}
+SELECT f.db_id, f.column_id, f.other_column_id, n_values FROM fks f JOIN cols c ON c.column_id = f.column_id
+JOIN stats USING (table_name, column_name)""", ops="A10")
 def a10(spark, sf_dir):
-    return _big(C.foreign_keys(spark, _cols(spark, sf_dir)), "column_id", "other_column_id")
+    cols = _counted(spark, sf_dir)
+    return _big(C.foreign_keys(spark, cols).join(cols.select("db_id", "column_id", "n_values"), ["db_id", "column_id"]),
+                "column_id", "other_column_id")
 
 
 @register("a11_enrich_examples", T.with_views(CATALOG_SQL + """,
@@ -78,8 +99,8 @@ FROM questions q JOIN packed p ON q.db_id = p.db_id""", "questions"), ops="A11")
 def a11(spark, sf_dir):
     cols = _cols(spark, sf_dir)
     packed = C.pack(cols, C.foreign_keys(spark, cols))
-    # the catalog is per database (bounded by schema size), broadcast after a size check
-    j = T.questions(spark, sf_dir).join(checked_broadcast(packed), "db_id")
+    # one packed row per database
+    j = T.questions(spark, sf_dir).join(packed, "db_id")
     return j.select("ex_id", "db_id", F.size("db_table_names").cast("bigint").alias("n_tables"),
                     (F.size("db_column_names") - 1).cast("bigint").alias("n_columns"),
                     F.array_join("db_table_names", ",").alias("table_names"),
@@ -94,7 +115,7 @@ def a12(spark, sf_dir):
     return q.groupBy("db_id").agg(F.min_by("ex_id", "ex_id").alias("first_ex_id"), F.count("*").alias("n_examples"))
 
 
-@register("a13_adjacency", CATALOG_SQL + """,
+@register("a13_adjacency", CATALOG_SQL + ",\n" + STATS_SQL + """,
 c AS (SELECT * FROM cols WHERE column_id > 0),
 pt AS (SELECT db_id, lower(table_name) AS table_name, string_agg(lower(column_name), ',' ORDER BY lower(column_name)) AS columns,
          string_agg(lower(column_name), ',' ORDER BY lower(column_name)) FILTER (WHERE is_pk) AS primary_key
@@ -103,16 +124,22 @@ fk AS (SELECT a.db_id, lower(a.table_name) AS table_name,
          string_agg(lower(a.table_name) || '.' || lower(a.column_name) || '->' || lower(b.table_name) || '.' || lower(b.column_name), ','
                     ORDER BY lower(a.table_name) || '.' || lower(a.column_name) || '->' || lower(b.table_name) || '.' || lower(b.column_name)) AS foreign_keys
        FROM fks JOIN c a ON fks.column_id = a.column_id JOIN c b ON fks.other_column_id = b.column_id GROUP BY a.db_id, a.table_name)
-SELECT pt.db_id, pt.table_name, columns, primary_key, coalesce(foreign_keys, '') AS foreign_keys
-FROM pt LEFT JOIN fk ON pt.db_id = fk.db_id AND pt.table_name = fk.table_name""", ops="A13")
+SELECT pt.db_id, pt.table_name, columns, primary_key, coalesce(foreign_keys, '') AS foreign_keys, n_values
+FROM pt LEFT JOIN fk ON pt.db_id = fk.db_id AND pt.table_name = fk.table_name
+JOIN (SELECT table_name, CAST(sum(n_values) AS BIGINT) AS n_values FROM stats GROUP BY table_name) s ON s.table_name = pt.table_name""", ops="A13")
 def a13(spark, sf_dir):
-    cols = _cols(spark, sf_dir)
-    return C.adjacency(cols, C.foreign_keys(spark, cols))
+    cols = _counted(spark, sf_dir)
+    held = cols.filter("column_id > 0").groupBy("db_id", F.lower("table_name").alias("table_name")).agg(F.sum("n_values").alias("n_values"))
+    return C.adjacency(cols, C.foreign_keys(spark, cols)).join(held, ["db_id", "table_name"])
 
 
-@register("a14_identifiers", CATALOG_SQL + """
-SELECT db_id, '__' || lower(table_name) || '.' || lower(column_name) || '__' AS ident, 'column' AS kind FROM cols WHERE column_id > 0
-UNION ALL SELECT DISTINCT db_id, '__' || lower(table_name) || '__', 'table' FROM cols WHERE column_id > 0
-UNION ALL SELECT DISTINCT db_id, '__all__', 'star' FROM cols""", ops="A14")
+@register("a14_identifiers", CATALOG_SQL + ",\n" + STATS_SQL + """
+SELECT db_id, '__' || lower(table_name) || '.' || lower(column_name) || '__' AS ident, 'column' AS kind, n_values
+FROM cols JOIN stats USING (table_name, column_name)
+UNION ALL SELECT DISTINCT db_id, '__' || lower(table_name) || '__', 'table', CAST(0 AS BIGINT) FROM cols WHERE column_id > 0
+UNION ALL SELECT DISTINCT db_id, '__all__', 'star', CAST(0 AS BIGINT) FROM cols""", ops="A14")
 def a14(spark, sf_dir):
-    return C.identifier_universe(_cols(spark, sf_dir))
+    cols = _counted(spark, sf_dir)
+    held = cols.filter("column_id > 0").select("db_id", "n_values", F.concat(
+        F.lit("__"), F.lower("table_name"), F.lit("."), F.lower("column_name"), F.lit("__")).alias("ident"))
+    return C.identifier_universe(cols).join(held, ["db_id", "ident"], "left").na.fill(0, ["n_values"])

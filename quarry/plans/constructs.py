@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.plan_utils import checked_broadcast
 from ..sources.tables import table
 from .registry import register
 
@@ -100,7 +99,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 GROUP BY r_name, n_name""", ops="G08")
 def g08(spark, sf_dir):
     l, o, c, n, r = _t(spark, sf_dir, "lineitem", "orders", "customer", "nation", "region")
-    geo = checked_broadcast(n.join(r, n.n_regionkey == r.r_regionkey))     # dimension: row count checked
+    geo = n.join(r, n.n_regionkey == r.r_regionkey)
     # pre-aggregate the fact table to one row per order before the joins: the
     # lineitem shuffle carries partial sums (map-side combine), and the join
     # with orders reuses that hash partitioning on the order key
@@ -170,7 +169,7 @@ SELECT n_name, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON
 GROUP BY n_name ORDER BY balance DESC, n_name ASC""", ops="G15")
 def g15(spark, sf_dir):
     c, n = _t(spark, sf_dir, "customer", "nation")
-    return (c.join(checked_broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_name")
+    return (c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name")
              .agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
              .orderBy(F.desc("balance"), F.asc("n_name")))
 

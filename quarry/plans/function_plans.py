@@ -1,4 +1,6 @@
-"""Execution-match plans (E17, E43, G23) and the user-function surface."""
+"""The user-function surface (H01, H02). The execution plans (E17, E43, G23) run
+one job per distinct SQL text from the driver, so they are functions for small
+workloads and tests, not registered queries."""
 
 from __future__ import annotations
 
@@ -32,7 +34,6 @@ SELECT o.o_orderkey AS query_id, true AS ok, CAST(CASE CAST(o.o_orderkey % 8 AS
 FROM orders o"""
 
 
-@register("g23_workload_run", G23_SQL, ops="G23 E17")
 def g23(spark, sf_dir):
     """Every distinct gold text of the workload run once; result row counts per query."""
     T.register_views(spark, sf_dir, T.STAR_TABLES)
@@ -44,7 +45,6 @@ def g23(spark, sf_dir):
              .select("query_id", "ok", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")))
 
 
-@register("e43_exec_match", None, ops="E43")
 def e43(spark, sf_dir):
     T.register_views(spark, sf_dir, T.STAR_TABLES)
     p = T.pairs(spark, sf_dir).withColumnRenamed("query_id", "pair_id")

@@ -13,6 +13,7 @@ from ..session import checkpoint_dir
 from ..sources import corpus as A
 from ..sources import sinks as K
 from ..sources import tables as T
+from .catalog_plans import STATS_SQL
 from .registry import register
 from .scoring_plans import ROLLUP_SQL
 from .sql_scoring import scoring_ctes
@@ -40,8 +41,10 @@ _STAR = ", ".join(f"'{t}'" for t in T.STAR_TABLES)
 
 
 @register("a15_schema_json", f"""
-SELECT lower(table_name) AS table_name, CAST(ordinal_position - 1 AS INT) AS col_pos, lower(column_name) AS column_name
-FROM information_schema.columns WHERE table_name IN ({_STAR})""", ops="A15")
+WITH {STATS_SQL}
+SELECT lower(c.table_name) AS table_name, CAST(ordinal_position - 1 AS INT) AS col_pos, lower(c.column_name) AS column_name, n_values
+FROM information_schema.columns c JOIN stats s ON s.table_name = c.table_name AND s.column_name = c.column_name
+WHERE c.table_name IN ({_STAR})""", ops="A15")
 def a15(spark, sf_dir):
     cols = C.profile(spark, sf_dir).filter("column_id > 0")
     desc = cols.groupBy(F.col("table_name").alias("table")).agg(
@@ -49,7 +52,8 @@ def a15(spark, sf_dir):
                     lambda x: F.struct(x["column_name"].alias("column_name"))).alias("col_data"))
     path = _scratch(spark, "a15")
     desc.write.mode("overwrite").json(path)
-    return A.schema_from_json(spark, path, multi_line=False).select("table_name", F.col("col_pos").cast("int"), "column_name")
+    read = A.schema_from_json(spark, path, multi_line=False).select("table_name", F.col("col_pos").cast("int"), "column_name")
+    return read.join(C.column_stats(spark, sf_dir).drop("db_id"), ["table_name", "column_name"])
 
 
 @register("a16_prediction_lines", T.with_views("SELECT coalesce(pred, '') AS value FROM pairs", "pairs"), ops="A16")
@@ -76,7 +80,7 @@ def a17(spark, sf_dir):
 SELECT CAST(ex_id // 2048 AS INT) AS batch_id, CAST(count(*) AS BIGINT) AS n_candidates, CAST(count(DISTINCT ex_id) AS BIGINT) AS n_examples
 FROM hypotheses GROUP BY 1""", "hypotheses"), ops="A18")
 def a18(spark, sf_dir):
-    h = T.hypotheses(spark, sf_dir).withColumn("batch_id", (F.col("ex_id") / 2048).cast("int"))
+    h = T.hypotheses(spark, sf_dir).withColumn("batch_id", F.expr("ex_id div 2048").cast("int"))
     path = _scratch(spark, "a18")
     K.append_hypothesis_batches(h, path)
     r = spark.read.parquet(path)

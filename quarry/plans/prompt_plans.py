@@ -70,9 +70,9 @@ def c03(spark, sf_dir):
     return _schema(spark, sf_dir, "verbose")
 
 
-@register("c04_schema_piped", T.with_views(f"WITH {_schema_sql('peteshaw')} SELECT * FROM sch", "questions"), ops="C04 C05 D14")
+@register("c04_schema_piped", T.with_views(f"WITH {_schema_sql('piped')} SELECT * FROM sch", "questions"), ops="C04 C05 D14")
 def c04(spark, sf_dir):
-    return _schema(spark, sf_dir, "peteshaw")
+    return _schema(spark, sf_dir, "piped")
 
 
 @register("c04_schema_piped_fuzzy", None, ops="C04 C05 D14")
@@ -81,7 +81,7 @@ def c04f(spark, sf_dir):
     r = D.value_links(q, _picks(spark, sf_dir))
     m = r.groupBy("ex_id", "table_name", "column_name").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("values"))
-    return P.serialize_schema(q, _columns(spark, sf_dir), m, "peteshaw")
+    return P.serialize_schema(q, _columns(spark, sf_dir), m, "piped")
 
 
 @register("c06_example_values", T.with_views(f"""WITH {CATALOG_CTES}, {PICKS_SQL},

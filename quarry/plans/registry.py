@@ -33,11 +33,7 @@ def register(name: str, oracle: str | None, ops: str = ""):
 def load_all() -> dict[str, Plan]:
     # importing the plan modules fills PLANS
     from . import querylog_plans  # noqa: F401
-    for mod in ("constructs", "corpus_plans", "io_plans", "catalog_plans", "sampling_plans", "prompt_plans",
+    for mod in ("constructs", "corpus_plans", "io_plans", "catalog_plans", "prompt_plans",
                 "linking_plans", "scoring_plans", "slots_plans", "function_plans"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+        __import__(f"{__package__}.{mod}")
     return PLANS

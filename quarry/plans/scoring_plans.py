@@ -9,7 +9,7 @@ from ..operators import querylog as Q
 from ..operators import scoring as S
 from ..sources import corpus as A
 from ..sources import tables as T
-from .catalog_plans import CATALOG_SQL
+from .catalog_plans import CATALOG_SQL, STATS_SQL
 from .registry import register
 from .sql_scoring import scoring_ctes
 
@@ -20,16 +20,19 @@ def _scored(spark, sf_dir):
     return S.score_pairs(spark, T.pairs(spark, sf_dir), cols, fks, T.STAR_DB)
 
 
-@register("e18_fk_canonical", CATALOG_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+@register("e18_fk_canonical", CATALOG_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + STATS_SQL + """,
 e AS (SELECT column_id AS a, other_column_id AS b FROM fks UNION SELECT other_column_id, column_id FROM fks),
 reach(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
 lab AS (SELECT node, min(other) AS label FROM reach GROUP BY node)
 SELECT c1.db_id, '__' || lower(c1.table_name) || '.' || lower(c1.column_name) || '__' AS col_ident,
-  '__' || lower(c2.table_name) || '.' || lower(c2.column_name) || '__' AS canon_ident
-FROM lab JOIN cols c1 ON c1.column_id = lab.node JOIN cols c2 ON c2.column_id = lab.label""", ops="E18")
+  '__' || lower(c2.table_name) || '.' || lower(c2.column_name) || '__' AS canon_ident, n_values
+FROM lab JOIN cols c1 ON c1.column_id = lab.node JOIN cols c2 ON c2.column_id = lab.label
+JOIN stats s ON s.table_name = c1.table_name AND s.column_name = c1.column_name""", ops="E18")
 def e18(spark, sf_dir):
     cols = C.profile(spark, sf_dir)
-    return S.fk_canonical(spark, cols, C.foreign_keys(spark, cols))
+    ident = F.concat(F.lit("__"), F.lower("table_name"), F.lit("."), F.lower("column_name"), F.lit("__"))
+    held = C.column_stats(spark, sf_dir).select("db_id", ident.alias("col_ident"), "n_values")
+    return S.fk_canonical(spark, cols, C.foreign_keys(spark, cols)).join(held, ["db_id", "col_ident"])
 
 
 @register("e36_partial_scores", T.with_views(f"WITH RECURSIVE {scoring_ctes()}\nSELECT * FROM comp", "pairs"), ops="E05 E06 E07 E08 E09 E10 E11 E12 E13 E14 E15 E19 E20 E21 E27 E28 E29 E30 E31 E32 E33 E34 E35 E36")

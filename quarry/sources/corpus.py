@@ -36,10 +36,14 @@ def strip(c: Column) -> Column:
 
 # ----------------------------------------------------------------- A01 / A06
 def read_single_turn(spark: SparkSession, paths, split: str = "train", multi_line: bool = True) -> DataFrame:
-    """JSON array files (or JSON lines) → examples, with a stable ex_id and the split."""
+    """JSON array files (or JSON lines) → examples with the split (A06) and an
+    ex_id that depends on the example's content only; equal examples are told
+    apart by a running number."""
     df = spark.read.schema(SINGLE_TURN_SCHEMA).json(paths, multiLine=multi_line)
-    return df.withColumn("split", F.lit(split)).withColumn(
-        "ex_id", F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()))
+    content = F.xxhash64("db_id", "query", F.to_json("query_toks"), "question")
+    same = W.partitionBy("_content", "db_id", "query", "question").orderBy("_content")
+    return (df.withColumn("_content", content).withColumn("_nth", F.row_number().over(same))
+              .withColumn("split", F.lit(split)).withColumn("ex_id", F.xxhash64("_content", "_nth")).drop("_content", "_nth"))
 
 
 def assign_split(df: DataFrame, key: str, validation_share_hex: str = "33333333") -> DataFrame:
@@ -78,14 +82,20 @@ def one_db_examples(df: DataFrame, question_col: str, sql_col: str, db_id: str)
 
 
 # --------------------------------------------------------------------- A05
-def normalize_aliases(df: DataFrame, sql_col: str, table_names: list[str], digits: int = 7) -> DataFrame:
+def normalize_aliases(df: DataFrame, sql_col: str, table_names: list[str]) -> DataFrame:
     """Generated aliases ``TABLEaliasN`` → T1, T2, … in (table order, N) order
-    among those present, then ``DERIVED_FIELD``/``DERIVED_TABLE`` aliases."""
-    names = [t.upper() for t in table_names] + ["DERIVED_FIELD", "DERIVED_TABLE"]
-    cands = F.array(*[F.lit(f"{t}alias{d}") for t in names for d in range(digits)])
-    present = F.filter(cands, lambda a: F.col(sql_col).contains(a))
-    numbered = F.transform(present, lambda a, i: F.struct(a.alias("old"), F.concat(F.lit("T"), (i + 1).cast("string")).alias("new")))
-    return df.withColumn(sql_col, F.aggregate(numbered, F.col(sql_col), lambda acc, x: F.replace(acc, x["old"], x["new"])))
+    among those present, then ``DERIVED_FIELD``/``DERIVED_TABLE`` aliases. Whole
+    identifiers are taken, with any N, so one table's name may end another's."""
+    names = F.array(*[F.lit(t.upper()) for t in table_names] + [F.lit("DERIVED_FIELD"), F.lit("DERIVED_TABLE")])
+    sql = F.col(sql_col)
+    found = F.array_distinct(F.regexp_extract_all(sql, F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9_]*alias[0-9]+"), 0))
+    keyed = F.transform(found, lambda a: F.struct(
+        F.array_position(names, F.regexp_replace(a, "alias[0-9]+$", "")).alias("table"),
+        F.regexp_extract(a, "([0-9]+)$", 1).cast("decimal(38,0)").alias("n"), a.alias("old")))
+    known = F.array_sort(F.filter(keyed, lambda x: x["table"] > 0))
+    numbered = F.transform(known, lambda x, i: F.struct(x["old"].alias("old"), F.concat(F.lit("T"), (i + 1).cast("string")).alias("new")))
+    return df.withColumn(sql_col, F.aggregate(numbered, sql, lambda acc, x: F.regexp_replace(
+        acc, F.concat(F.lit("(?<![A-Za-z0-9_])"), x["old"], F.lit("(?![0-9])")), x["new"])))
 
 
 # --------------------------------------------------------------------- A15

@@ -34,5 +34,6 @@ def write_score_report(per_item: DataFrame, totals: DataFrame, path: str) -> Non
 
 
 def append_hypothesis_batches(hyp: DataFrame, path: str, batch_col: str = "batch_id") -> None:
-    """A18 for many batches at once (one job): rows carry their batch id."""
-    hyp.write.mode("append").partitionBy(batch_col).parquet(path)
+    """A18 for many batches at once (one job): rows carry their batch id and meet
+    by it before the write, so a batch is one file per shuffle partition at most."""
+    hyp.repartition(batch_col).write.mode("append").partitionBy(batch_col).parquet(path)

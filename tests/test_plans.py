@@ -8,23 +8,22 @@ from conftest import SF_SMALL
 from quarry.plans.registry import load_all
 
 PLANS = load_all()
-# plans whose builder runs Spark jobs over SQL texts (kind D) are checked elsewhere
-DRIVER_BOUND = {"g23_workload_run", "e43_exec_match"}
 # one-row sides (a global aggregate) may be joined without keys
 ONE_ROW_CROSS = {"g17_in_not_in", "g18_scalar_subquery", "e46_metric_row"}
-# examples ⨝ the (size-checked, broadcast) catalog of their database: with a
-# single constant db_id the optimizer folds the equi-join into a nested loop
-# over the broadcast catalog rows
-CATALOG_PER_EXAMPLE = {"a11_enrich_examples", "c03_schema_verbose", "c04_schema_piped", "c04_schema_piped_fuzzy",
-                       "c06_example_values", "c09_c10_stage_pairs", "c11_parse_back"}
+# one packed catalog row per database: with a single constant db_id the optimizer
+# folds the equi-join into a nested loop over that one row
+ONE_CATALOG_ROW = {"a11_enrich_examples", "c03_schema_verbose", "c04_schema_piped", "c04_schema_piped_fuzzy",
+                   "c09_c10_stage_pairs", "c11_parse_back"}
+# C06's result is one row per example and column; it joins the catalog by db_id
+PER_COLUMN = {"c06_example_values"}
 
 
-@pytest.mark.parametrize("name", sorted(set(PLANS) - DRIVER_BOUND))
+@pytest.mark.parametrize("name", sorted(PLANS))
 def test_plan_hygiene(spark, name):
     df = PLANS[name].build(spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
-    if name not in ONE_ROW_CROSS | CATALOG_PER_EXAMPLE:
+    if name not in ONE_ROW_CROSS | ONE_CATALOG_ROW | PER_COLUMN:
         assert "BroadcastNestedLoopJoin" not in plan
     # every window is partitioned (no single-partition window over all rows)
     for m in re.finditer(r"Window \[.*?\], \[(.*?)\], \[", plan):
@@ -33,7 +32,7 @@ def test_plan_hygiene(spark, name):
     assert len(re.findall(r"MapInPandas|ArrowEvalPython|FlatMapGroupsInPandas", plan)) <= 1
 
 
-@pytest.mark.parametrize("name", sorted(set(PLANS) - DRIVER_BOUND))
+@pytest.mark.parametrize("name", sorted(PLANS))
 def test_output_contract(spark, name):
     """Unique column names and no array/map/struct columns (the driver hashes values)."""
     df = PLANS[name].build(spark, SF_SMALL)

@@ -18,7 +18,7 @@ def _fixture(spark):
 
 def test_piped_schema_matched_tables_first_reversed(spark):
     ex, cols, m = _fixture(spark)
-    s = P.serialize_schema(ex, cols, m, "peteshaw").first().serialized_schema
+    s = P.serialize_schema(ex, cols, m, "piped").first().serialized_schema
     # tables with linked values move to the front in reverse order; the rest keep their order
     assert s == " | db | stadium : city ( Oslo ) , capacity | singer : name ( Ann , Bo ) , age | concert : year"
 

@@ -54,8 +54,26 @@ def test_sinks_round_trip(spark):
     assert spark.read.json(f"{d}/report/total_scores").count() == 1
 
 
-def test_first_k_large_path_is_exact(spark):
+def test_first_k_is_exact(spark):
     df = spark.range(0, 5000).withColumn("k", (F.col("id") * 7919) % 5003)
     small = [r.id for r in df.orderBy("k", "id").limit(1234).collect()]
-    big = [r.id for r in first_k(df, [F.col("k"), F.col("id")], 1234, small_k=0).orderBy("k", "id").collect()]
+    big = [r.id for r in first_k(df, [F.col("k"), F.col("id")], 1234).orderBy("k", "id").collect()]
     assert small == big
+
+
+def test_alias_numbers_and_nested_names(spark):
+    df = spark.createDataFrame([("SELECT SUBORDERSalias0.x , NATIONalias12.y FROM SUBORDERS AS SUBORDERSalias0 , NATION AS NATIONalias12 , "
+                                 "NATION AS NATIONalias1",)], "sql string")
+    out = A.normalize_aliases(df, "sql", ["suborders", "orders", "nation"]).first()[0]
+    assert out == "SELECT T1.x , T3.y FROM SUBORDERS AS T1 , NATION AS T3 , NATION AS T2"
+
+
+def test_example_ids_follow_the_content(spark, tmp_path):
+    rows = [("d", f"q{k % 7}", ["q"], f"text {k % 7}") for k in range(20)]
+    df = spark.createDataFrame(rows, "db_id string, query string, query_toks array<string>, question string")
+    ids = []
+    for n in (1, 5):
+        path = str(tmp_path / f"p{n}")
+        df.repartition(n).write.json(path)
+        ids.append(sorted((r["query"], r["ex_id"]) for r in A.read_single_turn(spark, path, multi_line=False).collect()))
+    assert ids[0] == ids[1] and len(set(ids[0])) == 20

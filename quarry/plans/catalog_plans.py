@@ -107,12 +107,23 @@ def a11(spark, sf_dir):
                     F.size("db_foreign_keys").cast("bigint").alias("n_foreign_keys"))
 
 
-@register("a12_schema_registry", T.with_views("""
-SELECT db_id, min(ex_id) AS first_ex_id, CAST(count(*) AS BIGINT) AS n_examples FROM questions GROUP BY db_id""",
-                                              "questions"), ops="A12")
+@register("a12_schema_registry", T.with_views(CATALOG_SQL + """,
+reg AS (SELECT db_id, min(ex_id) AS first_ex_id, CAST(count(*) AS BIGINT) AS n_examples FROM questions GROUP BY db_id)
+SELECT r.*, (SELECT string_agg(table_name || '.' || column_name, ',' ORDER BY column_id) FROM cols c WHERE c.db_id = r.db_id AND column_id > 0) AS columns,
+  (SELECT string_agg(column_type, ',' ORDER BY column_id) FROM cols c WHERE c.db_id = r.db_id) AS column_types,
+  (SELECT string_agg(column_id || '=' || other_column_id, ',' ORDER BY column_id, other_column_id) FROM fks f WHERE f.db_id = r.db_id) AS foreign_keys
+FROM reg r""", "questions"), ops="A12")
 def a12(spark, sf_dir):
-    q = T.questions(spark, sf_dir)
-    return q.groupBy("db_id").agg(F.min_by("ex_id", "ex_id").alias("first_ex_id"), F.count("*").alias("n_examples"))
+    """One entry per database: the catalog that came with its first example."""
+    cols = _cols(spark, sf_dir)
+    seen = T.questions(spark, sf_dir).groupBy("db_id").agg(F.min("ex_id").alias("first_ex_id"), F.count("*").alias("n_examples"))
+    r = seen.join(C.pack(cols, C.foreign_keys(spark, cols)), "db_id")
+    own = F.filter("db_column_names", lambda c: c["table_id"] >= 0)
+    return r.select(
+        "db_id", "first_ex_id", "n_examples",
+        F.array_join(F.transform(own, lambda c: F.concat(F.get("db_table_names", c["table_id"].cast("int")), F.lit("."), c["column_name"])), ",").alias("columns"),
+        F.array_join("db_column_types", ",").alias("column_types"),
+        F.array_join(F.transform("db_foreign_keys", lambda f: F.concat_ws("=", f["column_id"], f["other_column_id"])), ",").alias("foreign_keys"))
 
 
 @register("a13_adjacency", CATALOG_SQL + ",\n" + STATS_SQL + """,

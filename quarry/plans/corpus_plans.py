@@ -54,7 +54,7 @@ _CANDS = "[" + ", ".join(f"'{t}alias{d}'" for t in [x.upper() for x in T.STAR_TA
                          for d in range(7)) + "]"
 
 
-def _aliased_workload(spark, sf_dir):
+def aliased_workload(spark, sf_dir):
     w = T.workload(spark, sf_dir)
     g, k = F.col("gold"), (F.col("query_id") % 8).cast("int")
     r = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
@@ -70,7 +70,7 @@ SELECT query_id, list_reduce(list_transform(present, lambda c, i: [c, 'T' || CAS
                              lambda acc, x: [replace(acc[1], x[1], x[2])], [sql])[1] AS sql
 FROM p""", "workload"), ops="A05")
 def a05(spark, sf_dir):
-    return A.normalize_aliases(_aliased_workload(spark, sf_dir), "sql", list(T.STAR_TABLES))
+    return A.normalize_aliases(aliased_workload(spark, sf_dir), "sql", list(T.STAR_TABLES))
 
 
 @register("a06_named_splits", T.with_views("""

@@ -14,6 +14,7 @@ from ..sources import corpus as A
 from ..sources import sinks as K
 from ..sources import tables as T
 from .catalog_plans import STATS_SQL
+from .corpus_plans import _STRIP, aliased_workload
 from .registry import register
 from .scoring_plans import ROLLUP_SQL
 from .sql_scoring import scoring_ctes
@@ -37,6 +38,41 @@ def a01(spark, sf_dir):
     return r.select("db_id", "query", F.size("query_toks").cast("bigint").alias("n_query_toks"), "question")
 
 
+@register("a02_dialogue_reader", f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_idx, text, turn FROM conversations),
+c AS (SELECT conv_id, turn_idx, 'SELECT ' || turn AS query,
+        flatten(list(list_transform(string_split(text, '|'), lambda u: {_STRIP.format(x='u')}))
+                OVER (PARTITION BY conv_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS u FROM t
+      UNION ALL SELECT conv_id, -1, 'SELECT ' || max(turn), [arg_max(text, turn)] FROM t GROUP BY conv_id)
+SELECT 'db' || conv_id AS db_id, CAST(turn_idx AS INT) AS turn_idx, array_to_string(u, ' | ') AS utterances, query FROM c""",
+          ops="A02 A03")
+def a02_reader(spark, sf_dir):
+    """The conversations as nested dialogue files, read back through the reader."""
+    c = T.table(spark, sf_dir, "conversations")
+    said = F.struct(F.col("text").alias("utterance"), F.concat(F.lit("SELECT "), F.col("turn")).alias("query"))
+    d = c.groupBy("conv_id").agg(
+        F.max_by(said, "turn").alias("final"),
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]).alias("interaction"))
+    path = _scratch(spark, "a02")
+    d.select(F.concat(F.lit("db"), "conv_id").alias("database_id"), "final", "interaction").write.mode("overwrite").json(path)
+    r = A.read_dialogues(spark, path, multi_line=False)
+    return r.select("db_id", "turn_idx", F.array_join("utterances", " | ").alias("utterances"), "query")
+
+
+@register("a04_one_db_json", T.with_views("""
+SELECT 'question ' || query_id AS question,
+  CASE WHEN query_id % 8 = 7 THEN replace(replace(replace(gold, 'T1', 'T_'), 'T2', 'T1'), 'T_', 'T2') ELSE gold END AS query, CAST(len(regexp_split_to_array(trim(gold), '\\s+')) AS BIGINT) AS n_query_toks,
+  'star' AS db_id FROM workload""", "workload"), ops="A04 A05")
+def a04_json(spark, sf_dir):
+    """The aliased workload as one-database files; the reader numbers the aliases by
+    table order (customer before orders, so template 7 gets T2 and T1)."""
+    w = aliased_workload(spark, sf_dir)
+    path = _scratch(spark, "a04")
+    w.select(F.concat(F.lit("question "), "query_id").alias("query"), "sql").write.mode("overwrite").json(path)
+    r = A.read_one_db(spark, path, ["customer", "orders", "nation"], T.STAR_DB, multi_line=False)
+    return r.select("question", "query", F.size("query_toks").cast("bigint").alias("n_query_toks"), "db_id")
+
+
 _STAR = ", ".join(f"'{t}'" for t in T.STAR_TABLES)
 
 

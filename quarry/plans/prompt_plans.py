@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
@@ -149,3 +150,20 @@ def c11(spark, sf_dir):
     pairs = c09(spark, sf_dir)
     st, db = P.parse_back(F.col("content_input"))
     return pairs.select("ex_id", st.alias("structure"), db.alias("db_id"))
+
+
+@register("c07_model_inputs", T.with_views(f"""
+WITH said AS (SELECT conv_id, CAST(turn AS INT) AS turn_idx, string_agg(trim(text), ' | ') OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u FROM conversations)
+SELECT 'dialogue' AS kind, conv_id AS id, turn_idx, '{P.SOURCE_PREFIX}' || u || ' | database: star' AS model_input FROM said
+UNION ALL SELECT 'one_db', ex_id, -1, '{P.SOURCE_PREFIX}' || trim(question || '?') || ' | database: star' FROM questions""", "questions"), ops="C07")
+def c07(spark, sf_dir):
+    """Dialogue turns (all utterances so far) and one-database questions with '?'."""
+    schema = F.lit("database: star")
+    so_far = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    c = T.table(spark, sf_dir, "conversations").withColumn("said", F.collect_list("text").over(so_far))
+    turns = c.select(F.lit("dialogue").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("turn_idx"),
+                     P.dialogue_input(F.col("said"), schema).alias("model_input"))
+    asked = T.questions(spark, sf_dir).select(F.lit("one_db").alias("kind"), F.col("ex_id").alias("id"), F.lit(-1).alias("turn_idx"),
+                                              P.model_input(F.col("question"), schema, append_qmark=True).alias("model_input"))
+    return turns.unionByName(asked)

@@ -74,6 +74,20 @@ def cumulative_utterances(turns: DataFrame) -> DataFrame:
     return inter.unionByName(final)
 
 
+def read_dialogues(spark: SparkSession, paths, multi_line: bool = True) -> DataFrame:
+    """A02/A03 from JSON files ``{database_id, final, interaction[]}``: one row per
+    dialogue with turn_idx -1 (the final utterance alone) and one per turn with
+    every utterance so far, split on ``|`` and stripped; each with its query."""
+    d = spark.read.schema(DIALOGUE_SCHEMA).json(paths, multiLine=multi_line)
+    said = F.transform("interaction", lambda t: F.transform(F.split(t["utterance"], r"\|"), strip))
+    turns = d.select(F.col("database_id").alias("db_id"), said.alias("said"), F.posexplode("interaction").alias("turn_idx", "turn"))
+    turns = turns.select("db_id", "turn_idx", F.flatten(F.slice("said", F.lit(1), F.col("turn_idx") + 1)).alias("utterances"),
+                         F.col("turn.query").alias("query"))
+    final = d.filter(F.col("final").isNotNull()).select(F.col("database_id").alias("db_id"), F.lit(-1).alias("turn_idx"),
+                     F.array("final.utterance").alias("utterances"), F.col("final.query").alias("query"))
+    return final.unionByName(turns)
+
+
 # --------------------------------------------------------------------- A04
 def one_db_examples(df: DataFrame, question_col: str, sql_col: str, db_id: str) -> DataFrame:
     """question/sql pairs of a single database; query_toks = whitespace split."""
@@ -81,6 +95,14 @@ def one_db_examples(df: DataFrame, question_col: str, sql_col: str, db_id: str)
                      F.split(F.col(sql_col), " ").alias("query_toks"), F.lit(db_id).alias("db_id"))
 
 
+def read_one_db(spark: SparkSession, paths, table_names: list[str], db_id: str, multi_line: bool = True) -> DataFrame:
+    """A04 from JSON files ``{query: question, sql}``: generated aliases renamed
+    (A05), tokens by white space."""
+    d = normalize_aliases(spark.read.schema(ONE_DB_SCHEMA).json(paths, multiLine=multi_line), "sql", table_names)
+    words = F.filter(F.split(strip(F.col("sql")), r"\s+"), lambda w: w != "")
+    return d.select(F.col("query").alias("question"), F.col("sql").alias("query"), words.alias("query_toks"), F.lit(db_id).alias("db_id"))
+
+
 # --------------------------------------------------------------------- A05
 def normalize_aliases(df: DataFrame, sql_col: str, table_names: list[str]) -> DataFrame:
     """Generated aliases ``TABLEaliasN`` → T1, T2, … in (table order, N) order

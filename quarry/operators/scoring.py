@@ -100,7 +100,8 @@ def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str | Data
     is_ftab = (F.col("clause") == "from") & F.col("at_top") & ~F.col("is_struct") & (tok != "as") \
         & ~F.coalesce(prv == "as", F.lit(False)) & ~tok.isin("(", ")")
     t = seg.withColumn("is_ftab", is_ftab)
-    t = t.withColumn("db_id", F.lit(db_id)) if isinstance(db_id, str) else t.join(db_id, "query_id", "left")
+    if not isinstance(db_id, str):
+        t = t.join(db_id, "query_id", "left")
     t = t.withColumns({
         # Alias table, query-wide
         "aliases": F.array_sort(F.collect_list(F.when(tok == "as", F.struct(F.col("nxt").alias("a"), prv.alias("t")))).over(wq)),
@@ -111,7 +112,11 @@ def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str | Data
     })
     # every block, set-operation branches included, needs SELECT and FROM
     t = t.withColumn("no_body", (F.max((tok == "select").cast("int")).over(wb) == 0) | (F.max((tok == "from").cast("int")).over(wb) == 0))
-    t = t.join(catalog_maps(cols, canon), "db_id", "left")
+    maps = catalog_maps(cols, canon)
+    if isinstance(db_id, str):      # one database: its one catalog row goes to every task
+        t = t.join(F.broadcast(maps.filter(F.col("db_id") == db_id).drop("db_id")), F.lit(True), "left")
+    else:
+        t = t.join(maps, "db_id", "left")
     is_ref = (F.col("clause").isin(*REF_CLAUSES) & ~F.col("is_struct") & ~F.col("is_lit")
               & tok.rlike(r"^([a-z_][a-z0-9_.]*|\*)$") & ~tok.isin(*NOT_COLUMNS) & (F.col("sbo") == 0) & (F.col("sbc") == 0))
     a = F.substring_index(tok, ".", 1)

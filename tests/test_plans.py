@@ -11,9 +11,9 @@ PLANS = load_all()
 # one-row sides (a global aggregate) may be joined without keys
 ONE_ROW_CROSS = {"g17_in_not_in", "g18_scalar_subquery", "e46_metric_row"}
 # one packed catalog row per database: with a single constant db_id the optimizer
-# folds the equi-join into a nested loop over that one row
-ONE_CATALOG_ROW = {"a11_enrich_examples", "c03_schema_verbose", "c04_schema_piped", "c04_schema_piped_fuzzy",
-                   "c09_c10_stage_pairs", "c11_parse_back"}
+# folds the equi-join into a nested loop over that one row (F10 broadcasts it)
+ONE_CATALOG_ROW = {"a11_enrich_examples", "a12_schema_registry", "c03_schema_verbose", "c04_schema_piped", "c04_schema_piped_fuzzy",
+                   "c09_c10_stage_pairs", "c11_parse_back", "f10_first_valid"}
 # C06's result is one row per example and column; it joins the catalog by db_id
 PER_COLUMN = {"c06_example_values"}
 

@@ -29,7 +29,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 TOP = 6                            # priority of the base phrases
 
-# label | keyword that must occur | the license's name as an expression over words
+# label | keyword that must occur at a word's start | the license's name as an expression over words
 FAMILIES = """
 mit | mit | mit
 mit | expat | expat
@@ -38,8 +38,10 @@ isc | isc | isc
 zlib | zlib | zlib(?: libpng)?
 unlicense | unlicense | unlicense
 wtfpl | wtfpl | wtfpl
-0bsd | bsd | (?:0bsd|zero clause bsd|bsd zero clause)
-bsd-2 | bsd | (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)
+0bsd | 0bsd | 0bsd
+0bsd | zero clause | (?:zero clause bsd|bsd zero clause)
+bsd-2 | bsd | (?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)
+bsd-2 | freebsd | freebsd
 bsd-3 | bsd | (?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)
 bsd-4 | bsd | (?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)
 bsd | bsd | bsd(?: style)?
@@ -208,9 +210,14 @@ def detections(gated: DataFrame, key: str, plain: str) -> DataFrame:
     """Matches of the rules: ``key``, label, prio, weight, base, start, end
     (word numbers, end inclusive) and ``kept`` (not suppressed). Rows of
     ``gated`` without a match come once, with null fields."""
-    schema = "array<struct<id int, label string, kw string, prio int, weight double, rx string, base boolean>>"
-    table = F.from_json(F.lit(json.dumps(rules())), schema)
-    own = gated.withColumn("__rules", F.filter(table, lambda r: F.contains(F.col(plain), r["kw"])))
+    by_keyword: dict[str, list[dict]] = {}
+    for r in rules():
+        by_keyword.setdefault(r["kw"], []).append(r)
+    schema = "array<struct<kw string, rules array<struct<id int, label string, prio int, weight double, rx string, base boolean>>>>"
+    table = F.from_json(F.lit(json.dumps([{"kw": f" {k}", "rules": v} for k, v in by_keyword.items()])), schema)
+    # a keyword is looked up once, however many rules it has
+    padded = F.concat(F.lit(" "), F.col(plain))
+    own = gated.withColumn("__rules", F.flatten(F.transform(F.filter(table, lambda g: F.contains(padded, g["kw"])), lambda g: g["rules"])))
     own = own.withColumn("__rules", F.filter("__rules", lambda r: F.rlike(F.col(plain), r["rx"])))
     rows = own.select(key, plain, F.explode_outer("__rules").alias("r"))
     matches = F.regexp_extract_all(F.col(plain), F.col("r.rx"), F.lit(0))

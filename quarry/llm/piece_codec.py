@@ -41,7 +41,7 @@ BEYOND = 0x110000
 class PieceCodec:
     """Agenda encoder and decoder over one model."""
 
-    def __init__(self, model: bytes, cap: int = 300_000):
+    def __init__(self, model: bytes, cap: int = 180_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = len(sp)
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
@@ -151,7 +151,7 @@ class PieceCodec:
 
 
 def encode_decode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text",
-                  cache: int = 300_000) -> DataFrame:
+                  cache: int = 180_000) -> DataFrame:
     """One row per document: id, ``ids`` (array of int), ``decoded`` (string)
     and ``n_differs``: units first met with this document's run of texts whose
     agenda and library ids differ (0 unless the agenda is wrong).

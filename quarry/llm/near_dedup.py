@@ -10,9 +10,12 @@
    Within a region, signatures decide candidates (a spanning forest, so edges
    grow with rows, not with pairs).
 3. Candidates' connected components bring the texts together once. A component
-   up to ``LOAD`` shingles is decided by one task on the full sets; a larger one
-   is dealt out by ``ORDERS_BIG`` of the sorted orders into overlapping blocks,
-   and the blocks' exact links are joined again.
+   up to ``LOAD`` shingles is decided by one task on the full sets. A larger one
+   is first thinned: dealt out by ``ORDERS_BIG`` of the sorted orders into
+   overlapping blocks, whose exact links make groups. What is outside its
+   largest group then meets all the others of the component: both are cut into
+   blocks, and each pair of blocks with such rows is one task. So every two
+   members of a component are in one group already or compared on full sets.
 
 Two texts at similarity 0.75 share no first key in any of 12 trees with
 probability 0.25^12; two levels deep it is below 5e-5.
@@ -191,9 +194,10 @@ def _while_last(tree: np.ndarray, keys: list[bytes], last: tuple) -> Iterator[No
         yield
 
 
-def exact_groups(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
+def exact_groups(sets: list[np.ndarray], percent: int = 75, known: np.ndarray | None = None) -> np.ndarray:
     """Group number of every set: linked if 100 |A and B| >= percent |A or B|.
-    Each set is compared with the sets that no group has reached yet."""
+    Each set is compared with the sets that no group has reached yet; sets of an
+    equal ``known`` number are linked beforehand."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     values, ids, counts = np.unique(np.concatenate(sets) if n else np.empty(0), return_inverse=True, return_counts=True)
@@ -210,6 +214,10 @@ def exact_groups(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
             group[left[0]] = next_group
             next_group += 1
             queue, left, flat = [left[0]], left[1:], None
+            if known is not None:
+                mates = known[left] == known[queue[0]]
+                group[left[mates]] = group[queue[0]]
+                queue, left = queue + left[mates].tolist(), left[~mates]
         p = queue.pop()
         if not len(left):
             queue.clear()
@@ -225,6 +233,8 @@ def exact_groups(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
         mark[shared[p]] = 0
         linked = 100 * both >= percent * (sizes[p] + sizes[left] - both)
         if linked.any():
+            if known is not None:
+                linked = np.isin(known[left], known[left[linked]])
             found = left[linked]
             group[found] = group[p]
             queue += found.tolist()
@@ -232,8 +242,8 @@ def exact_groups(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
     return group
 
 
-def _roots(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    group = exact_groups(sets)
+def _roots(nodes: list[int], sets: list[np.ndarray], known: list[int]) -> tuple[list[int], list[int]]:
+    group = exact_groups(sets, known=np.array(known) if known else None)
     root: dict[int, int] = {}
     for g, node in zip(group.tolist(), nodes):
         root[g] = min(node, root.get(g, node))
@@ -243,28 +253,32 @@ def _roots(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[in
 
 def _verify(blocks: bool):
     """Exact links (a, b) of rows (comp, turn, node, text) that arrive with a
-    component's rows together; ``blocks``: in overlapping blocks of MEMBERS rows."""
+    component's rows together; ``blocks``: in overlapping blocks of MEMBERS rows.
+    Rows of an equal ``root``, if there is that column, are linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        key, nodes, sets, load = None, [], [], 0
+        key, nodes, sets, known, load = None, [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            a, b = _roots(nodes, sets)
+            a, b = _roots(nodes, sets, known)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for comp, turn, node, text in zip(*(batch.column(c).to_pylist() for c in ("comp", "turn", "node", "text"))):
+            roots = batch.column("root").to_pylist() if "root" in batch.schema.names else [None] * batch.num_rows
+            for comp, turn, node, text, root in zip(*(batch.column(c).to_pylist() for c in ("comp", "turn", "node", "text")), roots):
                 if key != (comp, turn):
                     if len(nodes) > 1:
                         yield out()
-                    key, nodes, sets, load = (comp, turn), [], [], 0
+                    key, nodes, sets, known, load = (comp, turn), [], [], [], 0
                 elif blocks and (len(nodes) >= MEMBERS or load >= LOAD):
                     yield out()
                     half = len(nodes) // 2                      # the next block sees these neighbours again
                     nodes, sets = nodes[half:], sets[half:]
                     load = sum(map(len, sets))
                 nodes.append(node)
+                if root is not None:
+                    known.append(root)
                 sets.append(shingler.shingles(text))
                 load += len(sets[-1])
         if len(nodes) > 1:
@@ -273,6 +287,26 @@ def _verify(blocks: bool):
     return run
 
 
+def _rest_pairs(crowd: DataFrame) -> DataFrame:
+    """(comp, turn, node, root) of ``crowd`` (comp, node, n, root): every two rows
+    of a component whose roots differ share a turn. Rows of its largest root meet
+    the others only; a turn has about MEMBERS texts and LOAD shingles at most."""
+    groups = crowd.groupBy("comp", "root").agg(F.count("*").alias("size"), F.sum("n").alias("load"))
+    blocks = lambda load, size: F.greatest(F.ceil(2 * load / LOAD), F.ceil(2 * size / MEMBERS), F.lit(1)).cast("bigint")
+    most = groups.groupBy("comp").agg(
+        F.max(F.struct("size", "root", "load")).alias("most"), F.sum("size").alias("size"), F.sum("load").alias("load"))
+    most = most.where(F.col("size") > F.col("most.size")).select(
+        "comp", F.col("most.root").alias("main"), blocks(F.col("most.load"), F.col("most.size")).alias("n_main"),
+        blocks(F.col("load") - F.col("most.load"), F.col("size") - F.col("most.size")).alias("n_rest"))
+    rows = crowd.join(F.broadcast(most), "comp")                # a row per large component that is not one group
+    rest, all_blocks = F.col("root") != F.col("main"), F.col("n_rest") + F.col("n_main")
+    slot = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(rest, F.pmod(slot, F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(slot, F.col("n_main"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(rest, all_blocks).otherwise(F.col("n_rest")) - 1)))
+    return rows.where("other <> block").select(
+        "comp", (F.least("block", "other") * all_blocks + F.greatest("block", "other")).alias("turn"), "node", "root")
+
+
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -309,7 +343,13 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                  .join(texts, "node").repartitionByRange(parts, "comp", "turn", "key", "node")
                  .sortWithinPartitions("comp", "turn", "key", "node"))
         blocks = written(dealt.select("comp", "turn", "node", "text").mapInArrow(_verify(True), "a bigint, b bigint"), "blocks")
-        links = near.unionByName(connected_components(blocks).where("node <> comp").select(
+        roots = connected_components(blocks).select("node", F.col("comp").alias("root"))
+        crowd = written(members.where("big").select("comp", "node", "n").join(roots, "node", "left")
+                        .withColumn("root", F.coalesce("root", "node")), "crowd")
+        rest = written(_rest_pairs(crowd).join(texts, "node").repartition(parts, "comp", "turn")
+                       .sortWithinPartitions("comp", "turn", "node").select("comp", "turn", "node", "text", "root")
+                       .mapInArrow(_verify(False), "a bigint, b bigint"), "rest")
+        links = near.unionByName(connected_components(blocks.unionByName(rest)).where("node <> comp").select(
             F.col("node").alias("a"), F.col("comp").alias("b")))
     roots = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     named = classes.select("digest", "node").join(roots, "node", "left").select(

@@ -81,6 +81,25 @@ def test_crowded_group_in_blocks(spark, monkeypatch):
     assert all(got[k] >= want[k] for k in want) and len(wrong) <= 2    # blocks far below the sizes in use
 
 
+def test_crowded_star_equals_brute_force(spark, monkeypatch):
+    # copies that are linked only through the text they were made from, .82 to it and .74 at most to each other
+    base = [f"b{k}" for k in range(104)]
+    places = [(a, b) for a in range(4, 104, 5) for b in range(4, a, 5)]
+    texts = []
+    for n, changed in enumerate(places):
+        w = list(base)
+        for k in changed:
+            w[k] = f"x{n}at{k}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:80] + [f"y{n}end{k}" for k in range(24)]) for n in range(20)]      # linked to nothing
+    rows = list(enumerate([*texts, " ".join(base)]))
+    want = components({k: shingles(t) for k, t in rows})
+    assert sorted(want.values()).count(0) == len(places) + 1 and len(set(want.values())) == 21
+    for name, value in (("MEMBERS", 40), ("REGION", 16), ("BUFFER", 60)):
+        monkeypatch.setattr(near, name, value)
+    assert {r["doc_id"]: r["component_id"] for r in near_groups(table(spark, rows)).collect()} == want
+
+
 def test_near_cases(spark):
     docs = awkward(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

@@ -6,9 +6,11 @@
    loses nothing that step 4 would accept.
 2. Windows: every anchor places an item-sized window of words; its fingerprint
    is a 64-bit SimHash of its words, as is the item's.
-3. Multi-index: a fingerprint is cut into ``RADIUS + 1`` blocks; fingerprints
-   within the radius agree on one block at least, so an equi-join on (block,
-   bits) returns all of them, and the Hamming distance decides.
+3. Pairs: a window goes on with the items whose anchor placed it, however far
+   the fingerprints are apart (a quarter of the words gone takes 20 bits or
+   more). Multi-index, for the other items: a fingerprint is cut into
+   ``RADIUS + 1`` blocks; fingerprints within the radius agree on one block at
+   least, so an equi-join on (block, bits) returns all of them.
 4. Verification: the window must hold ``SIMILARITY`` of the item's 5-word
    shingle weight (a shingle weighs 1 / number of items that have it).
 
@@ -132,15 +134,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         found = [docs.limit(0).select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.lit(0).cast("long").alias("item_key"),
                                       F.lit(0).alias("start"), F.array().cast("array<string>").alias("window"))]
     windows = reduce(DataFrame.unionByName, found).groupBy("row", "start", F.size("window").alias("span")).agg(
-        F.first("id").alias("id"), F.first("window").alias("window"))
+        F.first("id").alias("id"), F.first("window").alias("window"), F.collect_set("item_key").alias("placed_by"))
     windows = written(windows.withColumn("fingerprint", simhash("window")), "windows")
     keyed = windows.select("row", "start", "span", F.col("fingerprint").alias("fw"), F.explode(blocks("fingerprint")).alias("b")).select(
         "row", "start", "span", "fw", "b.block", "b.bits")
     item_keys = items.select("item_key", F.col("fingerprint").alias("fi"), F.explode(blocks("fingerprint")).alias("b")).select(
         "item_key", "fi", "b.block", "b.bits")
     distance = F.bit_count(F.col("fw").bitwiseXOR(F.col("fi")))
-    pairs = (keyed.join(item_keys, ["block", "bits"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-             .select("row", "start", "span", "item_key", "distance").distinct())
+    near = keyed.join(item_keys, ["block", "bits"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
+    own_items = windows.select("row", "start", "span", F.col("fingerprint").alias("fw"), F.explode("placed_by").alias("item_key"))
+    placed = own_items.join(items.select("item_key", F.col("fingerprint").alias("fi")), "item_key").withColumn("distance", distance)
+    columns = ("row", "start", "span", "item_key", "distance")
+    pairs = near.select(*columns).unionByName(placed.select(*columns)).distinct()
     full = pairs.join(windows.select("row", "start", "span", "id", "window"), ["row", "start", "span"]).join(
         items.select("item", "item_key", "weighted", "total"), "item_key")
     own = F.transform(shingles("window", sizes), lambda s: s["h"])

@@ -151,6 +151,39 @@ def test_leaks_equal_brute_force(spark):
     assert verbatim <= got and (100, 50) in got
 
 
+def edited_leaks(items, r):
+    """Documents with an edited item each, the share of the item's 5-word
+    shingles still being .75 at least (no two items share a shingle)."""
+    docs = []
+    for k, t in items:
+        w = t.split()
+        n = len(w)
+        for cut in range(1, n):
+            if n - cut - 4 < 0.75 * (n - 4):
+                break
+        cut -= 1
+        around = [f"o{r.randrange(500)}" for _ in range(40)]
+        docs.append((3 * k, " ".join(around + w[:n - cut] + [f"z{r.randrange(500)}" for _ in range(cut)] + around)))
+        docs.append((3 * k + 1, " ".join(w[cut:] + around)))                    # cut off by the text's edge
+        middle, end = list(w), n
+        if n - 4 - 5 >= 0.75 * (n - 4):
+            middle[n // 2] = "changed"
+            end = n - int((n - 4 - 5) - 0.75 * (n - 4))
+        docs.append((3 * k + 2, " ".join(around + middle[:end] + around[:n - end] + around)))
+    return docs
+
+
+def test_leaks_far_from_the_item(spark):
+    r = random.Random(9)
+    items = [(k, " ".join(f"i{k}w{r.randrange(90)}" if r.random() < 0.7 else f"v{r.randrange(40)}" for _ in range(r.randint(24, 59)))) for k in range(60)]
+    docs = edited_leaks(items, r)
+    want = {(d, d // 3) for d, _ in docs}
+    assert want <= brute_leaks(docs, items)
+    got = leaks(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want
+    assert max(x["distance"] for x in got) > 11
+
+
 def test_leak_cases(spark):
     bench = spark.createDataFrame([(1, "same words here again and again")], "item_id bigint, text string")
     got = leaks(awkward(spark), bench).collect()

@@ -24,14 +24,13 @@ from quarry.llm.piece_codec import encode_decode
 from quarry.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_SCORE = 0.2          # a prediction below it is no language (symbols, single letters)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the learned languages; the model
     decides by the text alone."""
-    found = identify(docs, train(docs), carry=COLUMNS[2:], keep_text=True)
-    return found.where((F.col("lang_pred") != UND) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    found = identify(docs, train(docs), carry=COLUMNS[2:], keep_text=True, judge=True)
+    return found.where((F.col("lang_pred") != UND) & F.col("learned")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,11 @@ Scoring: as the kernel is linear in x's bits, landmarks times weights is one
 matrix of buckets x languages; each Arrow batch is scored by matrix products
 of (texts x buckets) with it.
 
+Learned or not: the best score is at least 1 / languages whatever the text says,
+so it cannot reject. A text in none of the learned languages, or no language at
+all, has few grams that any landmark has; the model keeps what share the
+labelled sample has at least (a landmark counts by the other landmarks).
+
 Cases: a null text or one without a letter is ``und`` with score 0; texts are
 read whole, whatever their length; null labels are not learned from; without
 any labelled text every prediction is ``und``; ties go to the first language in
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
+SLACK = 0.1                  # share of known grams that a text may have less than the sample
 UND = "und"
 
 
@@ -77,11 +83,17 @@ class Model:
     buckets: np.ndarray          # buckets that any landmark has
     weights: np.ndarray          # float32, buckets x languages
     bias: np.ndarray
+    known: float                 # share of known grams that 99 % of the labelled sample reach
 
     def scores(self, bits: np.ndarray) -> np.ndarray:
         """(texts x languages) from boolean (texts x BUCKETS)."""
         sizes = np.sqrt(np.count_nonzero(bits, axis=1).astype(np.float32))
         return bits[:, self.buckets].astype(np.float32) @ self.weights / sizes[:, None] + self.bias
+    def learned(self, bits: np.ndarray) -> np.ndarray:
+        """Whether texts have the grams of a learned language; a text of few
+        grams may miss by chance (two standard deviations)."""
+        least, sizes = max(0.0, self.known - SLACK), np.count_nonzero(bits, axis=1)
+        return np.count_nonzero(bits[:, self.buckets], axis=1) >= least * sizes - 2 * np.sqrt(least * (1 - least) * sizes)
 
 
 def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int, ridge: float) -> Model | None:
@@ -93,6 +105,10 @@ def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int, ridge:
     y = np.array([languages.index(x) for x in labels])
     marks = np.concatenate([np.flatnonzero(y == k)[:landmarks_per_language] for k in range(len(languages))])
     buckets = np.flatnonzero(bits[marks].any(axis=0))
+    seen = np.count_nonzero(bits[marks], axis=0)
+    others = np.ones(len(bits), np.int64)
+    others[marks] = 2                                                  # a landmark itself and another one
+    known = float(np.quantile([np.count_nonzero(seen[b] >= least) / np.count_nonzero(b) for b, least in zip(bits, others)], 0.01))
     x = bits[:, buckets].astype(np.float32)
     scaled = x[marks] / np.sqrt(bits[marks].sum(axis=1, dtype=np.float32))[:, None]
     kernel = (x / np.sqrt(bits.sum(axis=1, dtype=np.float32))[:, None]) @ scaled.T
@@ -106,7 +122,7 @@ def fit(bits: np.ndarray, labels: list[str], landmarks_per_language: int, ridge:
     centred = (feature - mean_f) * np.sqrt(share)[:, None]
     gram = centred.T @ centred + ridge * np.eye(centred.shape[1])
     beta = np.linalg.solve(gram, centred.T @ ((target - mean_t) * np.sqrt(share)[:, None]))
-    return Model(languages, buckets, (scaled.T @ (whiten @ beta)).astype(np.float32), (mean_t - mean_f @ beta).astype(np.float32))
+    return Model(languages, buckets, (scaled.T @ (whiten @ beta)).astype(np.float32), (mean_t - mean_f @ beta).astype(np.float32), known)
 
 
 def held_out(id_col: str) -> Column:
@@ -149,12 +165,13 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text",
-             carry: tuple[str, ...] = (), keep_text: bool = False, batch: int = 64) -> DataFrame:
-    """Id, ``lang_pred``, ``score`` (0 to 1), the ``carry`` columns and, with
-    ``keep_text``, the text."""
+             carry: tuple[str, ...] = (), keep_text: bool = False, batch: int = 64,
+             judge: bool = False) -> DataFrame:
+    """Id, ``lang_pred``, ``score`` (0 to 1), the ``carry`` columns, with
+    ``keep_text`` the text and with ``judge`` the column ``learned``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = (id_col, *carry, *((text_col,) if keep_text else ()))
-    names = [*held, "lang_pred", "score"]
+    names = [*held, "lang_pred", "score", *(("learned",) if judge else ())]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +183,17 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
                 sets = [grams.bits(t) if m else None for t in texts]
                 known = [k for k, b in enumerate(sets) if b is not None]
                 lang, score = [UND] * len(texts), [0.0] * len(texts)
+                learned = [False] * len(texts)
                 if known:
-                    s = m.scores(np.stack([sets[k] for k in known]))
+                    stacked = np.stack([sets[k] for k in known])
+                    s = m.scores(stacked)
+                    for k, ok in zip(known, m.learned(stacked).tolist() if judge else ()):
+                        learned[k] = ok
                     for k, best, value in zip(known, s.argmax(axis=1), s.max(axis=1)):
                         lang[k], score[k] = m.languages[best], float(min(1.0, max(0.0, (value + 1) / 2)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(held)], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(held)], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                                                  *((pa.array(learned, pa.bool_()),) if judge else ())],
                                                  names=names)
 
     rows = docs.select(id_col, *carry, F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double" + (", learned boolean" if judge else ""))

@@ -1,9 +1,10 @@
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from check_oracle import digest
-from helpers import awkward, components, shingles
+from helpers import awkward, components, shingles, table
 from quarry.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,18 @@ def test_stages_follow_their_rules(spark):
     assert set(kept["benchmarks"]) <= set(kept["copies"]) and set(kept["pieces"]) == set(kept["benchmarks"])
 
 
+def test_language_stage_rejects(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+    other = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心",
+             "qxzv wkqj zzxq vbnq xjkw qqwz hjkq zxcv bnmq wqpx jkzx qvkx"]
+    clean = ["the", "This.", "yes", "niño", "de la"]
+    rows = table(spark, list(enumerate(other + clean, 10**9))).select(*pipeline.COLUMNS[:2], F.lit(None).cast("string").alias("lang"), *pipeline.COLUMNS[3:])
+    kept = {r["doc_id"] for r in pipeline.language(spark, docs.unionByName(rows), SF).collect()}
+    assert {k for k in kept if k >= 10**9} == {10**9 + len(other) + k for k in range(len(clean))}
+    assert len(kept) >= docs.count() + len(clean) - 2
+
+
 def test_stage_cases(spark):
     columns = list(pipeline.COLUMNS)
     docs = awkward(spark).select(*columns)

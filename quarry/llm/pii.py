@@ -51,6 +51,9 @@ _title = {w: g for g, ws in TITLES.items() for w in ws.split()}
 _given = {w: g for g, ws in GIVEN.items() for w in ws.split()}
 _words = lambda ws: "|".join(sorted(map(re.escape, ws), key=len, reverse=True))
 
+_PLUS_ONE = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+_CARD = r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9-])"
+
 # In this order where two start at the same place.
 PATTERNS = (
     ("email", r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
@@ -61,12 +64,16 @@ PATTERNS = (
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ipv6", r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"),
     ("ipv4", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
-    ("phone", r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+    # fixed layouts first, so that a number that follows is not taken in
+    ("phone", rf"(?<![0-9]){_PLUS_ONE}|" r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
               r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("card", r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"),
+    ("card", rf"{_CARD}|" r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])"),
     ("person", rf"\b(?P<title>{_words(_title)})\.? (?P<named>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<first>{_words(_given)}) (?P<rest>{_NAME}(?: {_NAME})?)"),
 )
+ONE = {kind: re.compile(rx) for kind, rx in PATTERNS}
+CARD = re.compile(_CARD)
+LONG_CARD = re.compile(r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}(?![0-9-])")
 ANY = re.compile("|".join(f"(?P<{kind}>{rx})" for kind, rx in PATTERNS))
 GATE = re.compile(rf"[0-9@]|(?i:token|secret|key|passw|pwd)|\b(?:{_words(_title)}|{_words(_given)})\b")
 
@@ -88,6 +95,37 @@ def script_of(word: str) -> str:
     return unicodedata.name(word[0], "LATIN").split(" ")[0]
 
 
+def _kind(m: re.Match) -> str:
+    return next(k for k, _ in PATTERNS if m.group(k) is not None)
+
+
+def _own(text: str, kind: str, m: re.Match) -> re.Match | None:
+    """The match of ``kind`` without the start of an entity that follows it;
+    None if there is no account number in it."""
+    start, end = m.span()
+    if kind == "card" and (longer := LONG_CARD.match(text, start)) and luhn(re.sub("[ -]", "", longer.group())):
+        return longer
+    if kind == "iban":
+        ends = [end, *(start + x.start() for x in reversed(list(re.finditer(" ", m.group()))))]
+        return next((x for e in ends if (x := ONE[kind].fullmatch(text, start, e)) and iban_ok(x.group())), None)
+    if kind not in ("phone", "card", "person") or re.fullmatch(_PLUS_ONE, m.group()):
+        return m
+    words = list(re.finditer(r"[^ ]+", m.group()))
+    pairs = list(zip(words, words[1:]))
+    for before, word in pairs if kind == "person" else reversed(pairs):      # a number keeps as much as it can
+        at = start + word.start()
+        if inner := ANY.match(text, at):
+            found = _kind(inner)
+            if found == "person":
+                follows = kind == "person" and (inner.group("title") or before.group() not in _given)
+            else:
+                follows = inner.end() > end and (found != "iban" or _own(text, found, inner)) \
+                    and (found != "card" or CARD.match(text, at))
+            if follows and (x := ONE[kind].fullmatch(text, start, at - 1)):
+                return x
+    return m
+
+
 def detect(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities; a name is one entity per part, its
     kind naming gender (m, f, n for unknown, s for a surname) and script."""
@@ -96,11 +134,12 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     at = 0
     while m := ANY.search(text, at):
-        kind = next(k for k, _ in PATTERNS if m.group(k) is not None)
-        at = m.end()
-        if kind == "iban" and not iban_ok(m.group()):
+        kind = _kind(m)
+        own = _own(text, kind, m)
+        if own is None:
             at = m.start() + 1
             continue
+        m, at = own, own.end()
         if kind == "assigned":
             out.append(("secret", m.start("value"), m.end("value")))
         elif kind == "person":

@@ -46,7 +46,12 @@ bsd-3 | bsd | (?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|thre
 bsd-4 | bsd | (?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)
 bsd | bsd | bsd(?: style)?
 apache-1 | apache | apache (?:software )?(?:v|version )?1(?: [01])?
-apache-2 | apache | (?:apache|asl|al) (?:software )?(?:v|version )?2(?: 0)?
+apache-2 | apache | apache (?:software )?(?:v|version )?2(?: 0)?
+apache-2 | asl | asl (?:software )?(?:v|version )?2(?: 0)?
+apache-2 | al 2 | al 2(?: 0)?
+apache-2 | al v2 | al v2(?: 0)?
+apache-2 | al version 2 | al version 2(?: 0)?
+apache-2 | al software | al software (?:v|version )?2(?: 0)?
 gpl-1 | gpl | (?:gnu )?gpl ?(?:v|version )?1(?: 0)?
 gpl-2 | gpl | (?:gnu )?gpl ?(?:v|version )?2(?: 0)?(?: only| or later)?
 gpl-3 | gpl | (?:gnu )?gpl ?(?:v|version )?3(?: 0)?(?: only| or later)?
@@ -54,7 +59,8 @@ lgpl-2 | lgpl | (?:gnu )?lgpl ?(?:v|version )?2(?: [01])?(?: only| or later)?
 lgpl-3 | lgpl | (?:gnu )?lgpl ?(?:v|version )?3(?: 0)?(?: only| or later)?
 agpl-3 | agpl | (?:gnu )?agpl ?(?:v|version )?3(?: 0)?(?: only| or later)?
 gpl | general public | (?:gnu )?general public
-lgpl | lesser | (?:gnu )?(?:lesser|library) general public
+lgpl | lesser | (?:gnu )?lesser general public
+lgpl | library general | (?:gnu )?library general public
 agpl | affero | (?:gnu )?affero general public
 gfdl | gfdl | (?:gnu )?gfdl(?: (?:v|version )?1(?: [123])?)?
 gfdl | free documentation | (?:gnu )?free documentation

@@ -4,6 +4,7 @@ from hashlib import sha256
 
 from pyspark.sql import functions as F
 
+import quarry.llm.license_scan as scan
 from helpers import awkward, table
 from quarry.llm.decontam import leaks
 from quarry.llm.fingerprints import Tree, differing, fingerprint, fingerprint_documents, likeness
@@ -52,6 +53,34 @@ def test_every_rule_passes_the_gate(spark):
     assert all(r["labels"] for r in license_scan(table(spark, texts)).collect())
 
 
+def spelled(parsed):
+    """All texts of an expression; a repeat as seldom as it may and once."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind in ("IN", "ANY"):
+            more = [" "] if kind == "ANY" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        elif kind == "BRANCH":
+            more = [t for b in arg[1] for t in spelled(b)]
+        elif kind == "SUBPATTERN":
+            more = spelled(arg[3])
+        else:
+            more = [t for n in {arg[0], max(1, arg[0])} for t in ([x * n for x in spelled(arg[2])] if n else [""])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_alternative_has_its_keyword(spark):
+    names = [(c[1], c[-1]) for table_ in (scan.FAMILIES, scan.SINGLE) for c in scan._lines(table_)]
+    wrong = [(kw, t) for kw, rx in names for t in spelled(re._parser.parse(rx)) if f" {kw}" not in f" {t}"]
+    assert wrong == []
+    texts = ["licensed under the ASL 2.0", "licensed under the AL 2.0", "released under AL v2", "under AL version 2", "provided under the Library General Public"]
+    got = {r["doc_id"]: r["labels"] for r in license_scan(table(spark, list(enumerate(texts)))).collect()}
+    assert ["apache-2" in got[k] for k in (0, 1, 2)] == [True] * 3 and "lgpl" in got[4]
+
+
 # ------------------------------------------------------------------ language
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -4,6 +4,10 @@ Per host, the pages that hold a line are divided by all pages of the host; a
 line above ``ratio`` (and on at least ``min_pages`` pages) is boilerplate and
 every copy of it is dropped from that host's pages. Blank lines are kept.
 
+Copies count as pages of their own: where copies of one page are more than
+``ratio`` of a host's pages (and ``min_pages`` at least), each of its lines is
+boilerplate by this rule, and all the copies keep blank lines only.
+
 Scale: lines are counted as 8-byte hashes, once per page, with partial
 aggregation (a hot host is split over its lines). A host has at most
 ``mean lines per page / ratio`` boilerplate lines, so its set is a small array;

@@ -25,6 +25,14 @@ def test_line_ratio(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup(other, ratio=0.5).collect()}[100] == "menu"
 
 
+def test_copies_above_the_ratio_lose_their_text(spark):
+    site = [(k, "one text\n\nof a page") for k in range(4)] + [(k, f"own {k}") for k in range(4, 39)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup(table(spark, site, "s")).collect()}          # 4 of 39 pages
+    assert {out[k] for k in range(4)} == {""} and all(out[k] == f"own {k}" for k in range(4, 39))
+    out = {r["doc_id"]: r["text"] for r in line_dedup(table(spark, site + [(39, "own 39")], "s")).collect()}   # 4 of 40
+    assert out[0] == "one text\n\nof a page"
+
+
 def test_line_cases(spark):
     docs = awkward(spark)
     out = line_dedup(docs)

@@ -1,6 +1,6 @@
 """Execution match: batched runner + bag comparison == one-by-one execution."""
 
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 from quarry.operators import execution as X
 from quarry.sources import tables as T

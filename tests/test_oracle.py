@@ -1,7 +1,7 @@
 """Every registered plan with an oracle: Spark result == DuckDB result (sf0.001)."""
 
 import pytest
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 import check_oracle as CO
 import __spark_entry__ as E

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 
 from quarry.plans.registry import load_all
 

@@ -1,6 +1,6 @@
 """Query-log segmentation and difficulty classes."""
 
-from conftest import SF_MID
+from testdata import SF_MID
 from pyspark.sql import functions as F
 
 from quarry.operators import querylog as Q

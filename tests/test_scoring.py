@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 from quarry.operators import catalog as C
 from quarry.operators import scoring as S
 

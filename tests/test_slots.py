@@ -1,6 +1,6 @@
 """Structure / content split and recombination."""
 
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E

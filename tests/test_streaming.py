@@ -2,7 +2,7 @@
 
 import tempfile
 
-from conftest import SF_SMALL
+from testdata import SF_SMALL
 from pyspark.sql import functions as F
 
 from quarry.operators import catalog as C

@@ -72,44 +72,43 @@ def merge_rows(table: PairTable, symbols: np.ndarray, lengths: np.ndarray) -> tu
     if n == 0 or width == 0:
         return symbols, lengths
     inside = np.arange(width) < lengths[:, None]
-    out = np.full((n, width), -1, np.int32)
-    out[inside] = symbols
-    out_len = lengths.astype(np.int64).copy()
-    rows, s, size = np.arange(n), out.copy(), out_len.copy()
-    p = np.full((n, width), NONE, np.int32)                # p[:, j]: the pair (j, j + 1)
-    m = np.full((n, width), -1, np.int32)
-    pairs = np.arange(width) < (lengths - 1)[:, None]
-    at = np.nonzero(pairs)
-    p[at], m[at] = table.find(s[at], s[at[0], at[1] + 1])
-    while len(rows):
+    s = np.full(n * width, -1, np.int32)                   # -1: no symbol (any more)
+    s[inside.ravel()] = symbols
+    after = np.arange(1, n * width + 1, dtype=np.int32)    # the next symbol's place, -1 at the end
+    before = np.arange(-1, n * width - 1, dtype=np.int32)
+    after[np.arange(n) * width + lengths - 1] = -1
+    before[np.arange(n) * width] = -1
+    p = np.full((n, width), NONE, np.int32)                # of the pair that starts at a place
+    m = np.full(n * width, -1, np.int32)
+    first = np.flatnonzero(inside[:, 1:].ravel()) if width > 1 else np.empty(0, np.int64)
+    if len(first):
+        first += first // (width - 1)
+        p.ravel()[first], m[first] = table.find(s[first], s[first + 1])
+    base = np.arange(n) * width                            # of the rows that p still holds
+    while len(base):
         i = p.argmin(axis=1)
-        k = np.arange(len(rows))
-        live = p[k, i] != NONE
-        if not live.all():
-            ended = ~live
-            out[rows[ended], :s.shape[1]] = s[ended]
-            out_len[rows[ended]] = size[ended]
-            rows, s, p, m, size, i = rows[live], s[live], p[live], m[live], size[live], i[live]
-            if not len(rows):
-                break
-            w = int(size.max())
-            s, p, m, k = s[:, :w], p[:, :w], m[:, :w], np.arange(len(rows))
-        cols = np.arange(s.shape[1])
-        s[k, i] = m[k, i]
-        # everything right of the merged pair moves one place to the left
-        take = np.minimum(cols + (cols > i[:, None]), s.shape[1] - 1)
-        s = np.take_along_axis(s, take, 1)
-        take = np.minimum(cols + (cols >= i[:, None]), s.shape[1] - 1)
-        p, m = np.take_along_axis(p, take, 1), np.take_along_axis(m, take, 1)
-        size -= 1
-        p[:, -1] = NONE
-        for j, ok in ((i - 1, i > 0), (i, i < size - 1)):
-            r = k[ok]
-            c = j[ok]
-            p[r, c], m[r, c] = table.find(s[r, c], s[r, c + 1])
-        last = size - 1
-        p[k, last] = NONE
-    return out[np.arange(width) < out_len[:, None]], out_len
+        k = np.flatnonzero(p[np.arange(len(p)), i] != NONE)
+        if len(k) < 0.7 * len(base):
+            p, base, i = p[k], base[k], i[k]
+            k = np.arange(len(k))
+        if not len(k):
+            break
+        own = base[k]
+        g = own + i[k]
+        j = after[g]
+        s[g], s[j] = m[g], -1
+        far = after[j]
+        after[g] = far
+        p[k, j - own] = NONE
+        p[k, i[k]] = NONE
+        right, left = np.flatnonzero(far >= 0), np.flatnonzero(before[g] >= 0)
+        before[far[right]] = g[right]
+        starts = np.concatenate([g[right], before[g[left]]])
+        rows = np.concatenate([k[right], k[left]])
+        found, merged = table.find(s[starts], s[np.concatenate([far[right], g[left]])])
+        p[rows, starts - base[rows]], m[starts] = found, merged
+    left_over = (s >= 0).reshape(n, width)
+    return s[s >= 0], left_over.sum(axis=1)
 
 
 def merge_one(table: PairTable, s: list[int]) -> list[int]:
@@ -140,27 +139,34 @@ def merge_one(table: PairTable, s: list[int]) -> list[int]:
 LONG = 48    # symbols from which a unit takes the heap
 
 
-def merge_units(table: PairTable, symbols: np.ndarray, sizes: list[int], block: int = 8192) -> list[list[int]]:
+def spread(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start:start + size]`` one after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(start - (ends - size), size)]
+
+
+def merge_units(table: PairTable, symbols: np.ndarray, lengths: np.ndarray, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """``symbols`` holds all units (none empty) one after another; the merged
-    ids of every unit. Units of like length share a padded block."""
-    lengths = np.array(sizes, np.int64)
-    ends = np.cumsum(lengths)
-    out: list[list[int]] = [[]] * len(lengths)
+    ids in the same form. Units of like length share a padded block."""
+    start = np.cumsum(lengths) - lengths
     order = np.argsort(lengths, kind="stable")
-    short = order[lengths[order] <= LONG]
-    for a in range(0, len(short), block):
-        part = short[a:a + block]
-        size = lengths[part]
-        inside = np.arange(size[-1]) < size[:, None]
-        places = (ends[part] - size)[:, None] + np.arange(size[-1])
-        flat, done = merge_rows(table, symbols[places[inside]], size)
-        flat, stop, start = flat.tolist(), np.cumsum(done).tolist(), 0
-        for x, end in zip(part.tolist(), stop):
-            out[x] = flat[start:end]
-            start = end
-    for x in order[lengths[order] > LONG].tolist():
-        out[x] = merge_one(table, symbols[ends[x] - lengths[x]:ends[x]].tolist())
-    return out
+    n_short = int(np.searchsorted(lengths[order], LONG, side="right"))
+    parts, sizes = [], []
+    for a in range(0, n_short, block):
+        part = order[a:min(a + block, n_short)]
+        flat, size = merge_rows(table, spread(symbols, start[part], lengths[part]), lengths[part])
+        parts.append(flat)
+        sizes.append(size)
+    for x in order[n_short:].tolist():
+        one = merge_one(table, symbols[start[x]:start[x] + lengths[x]].tolist())
+        parts.append(np.array(one, np.int32))
+        sizes.append(np.array([len(one)]))
+    if not parts:
+        return symbols, lengths
+    flat, size = np.concatenate(parts), np.concatenate(sizes).astype(np.int64)
+    back = np.argsort(order)
+    return spread(flat, (np.cumsum(size) - size)[back], size[back]), size[back]
 
 
 class Memo:

@@ -20,6 +20,9 @@ from .piece_codec import encode_decode
 from .pii import replace_entities
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
+from .toxicity import held_out as toxicity_held_out
+from .toxicity import score_toxicity
+from .toxicity import train as train_toxicity
 
 SURROGATE_KEY = b"replace this key in production"   # a parameter of the operator
 
@@ -52,7 +55,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-                       sha256_hex(F.col("decoded")).alias("decoded_sha256"), "n_differs")
+                       sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +89,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of documents."""
+    docs = table(spark, sf_dir, "documents")
+    done = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+    return done.select("doc_id", toxicity_held_out("doc_id").alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_quoted")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
@@ -97,6 +108,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_near_dedup,
     op9_decontamination,
     op10_document_fingerprints,
+    op11_toxicity,
 )}
 
 ORACLE: dict[str, str] = {

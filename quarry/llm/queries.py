@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .common import sha256_hex, text_or_empty
+from .common import sha256_hex, text_or_empty, written
 from .decontam import leaks
 from .fingerprints import fingerprint_documents
 from .language_id import held_out, identify, train
@@ -18,6 +18,7 @@ from .line_dedup import line_dedup, line_dedup_sql
 from .near_dedup import near_groups
 from .piece_codec import encode_decode
 from .pii import replace_entities
+from .prefix_trie import ends_digest, numbered, prefix_trie, shared_heads, turn_keys
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import held_out as toxicity_held_out
@@ -97,6 +98,16 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "n_quoted")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of conversations, rebuilt with shared heads."""
+    turns = written(numbered(turn_keys(table(spark, sf_dir, "conversations"))), "turns")
+    nodes, ends = prefix_trie(shared_heads(turns), turns)
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.join(ends_digest(ends), "node", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
@@ -109,6 +120,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op9_decontamination,
     op10_document_fingerprints,
     op11_toxicity,
+    op12_prefix_trie,
 )}
 
 ORACLE: dict[str, str] = {

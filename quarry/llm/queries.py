@@ -12,6 +12,7 @@ from ..sources.tables import table
 from .common import sha256_hex, text_or_empty, written
 from .decontam import leaks
 from .fingerprints import fingerprint_documents
+from .hard_negatives import hard_negatives
 from .language_id import held_out, identify, train
 from .license_scan import license_scan
 from .line_dedup import line_dedup, line_dedup_sql
@@ -108,6 +109,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector of embeddings, labels shifted for every seventh."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_line_dedup,
     op2_token_counts,
@@ -121,6 +129,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op10_document_fingerprints,
     op11_toxicity,
     op12_prefix_trie,
+    op13_hard_negatives,
 )}
 
 ORACLE: dict[str, str] = {

@@ -1,22 +1,18 @@
 """Query-log analytics: a table of SQL strings decomposed into clause facts.
 
-Instead of parsing one string at a time, every text is exploded into a token
-table ``(query_id, pos, tok)`` and segmented with window functions that all
-partition by ``query_id`` — one hash exchange on ``query_id`` serves every
-window and every later ``groupBy(query_id, …)`` (E01-E14), and the per-query
-feature roll-up (E22-E26) is a map-side aggregate on the same partitioning.
-
-Segmentation recipe (parens belong to the block they open/close):
-  depth      running open − closes before the row
-  blk        running opens per (query, depth) → one id per paren group
-  sb         the group starts with "(" followed by "select" (a sub-query)
-  sel_depth  like depth, counting sub-query parens only
-  sel_block  running sub-query opens per (query, sel_depth)
-  branch     running set-operation keywords per block
-  clause     last clause keyword per (block, branch)
-  item_no    running separators per clause: "," at the block's own depth,
-             "and"/"or" connectors in conditions (BETWEEN's AND excluded),
-             "join" in FROM, "on" for each ON list
+Nothing is parsed one string at a time on the driver or in Python: a text is cut
+into tokens and segmented inside its row (``segmentation``), and the per-query
+features behind the difficulty class are array expressions over the segmented
+tokens, so they need no token rows and no exchange.
+
+Texts that differ in their literals only have one *shape* (string literals and
+numbers masked), and blocks, clauses, features and scores depend on the shape
+alone. Logs repeat shapes far more often than texts, so the work is done once per
+distinct shape and joined back through the distinct texts.
+
+Where rows per token are wanted (items, resolution, decomposition) the segmented
+arrays are exploded after a repartition by query, which later windows and
+aggregates keyed by ``query_id`` reuse.
 """
 
 from __future__ import annotations
@@ -26,11 +22,11 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import AGG_OPS, SQL_OPS, TOKEN_PATTERN, WHERE_OPS
 from ..session import cut_lineage
+from .segmentation import CLAUSE_WORDS, COND_CLAUSES, let, segmented  # noqa: F401
 
 AGGS = [a for a in AGG_OPS if a != "none"]
 COND_OPERATORS = [o for o in WHERE_OPS if o != "not"]
-CLAUSE_WORDS = ("select", "from", "where", "group", "having", "order", "limit")
-COND_CLAUSES = ("on", "where", "having")
+MASKED_STRING, MASKED_NUMBER, MASKED_DECIMAL = '"?"', "0", "0.0"      # a decimal keeps its dot (F01's quirk)
 BLOCK = ["query_id", "sel_depth", "sel_block", "branch"]
 ITEM = BLOCK + ["clause", "item_no"]
 
@@ -60,68 +56,48 @@ def tokenize(df: DataFrame, text_col: str, id_col: str = "query_id") -> DataFram
 
 
 # ----------------------------------------------------------------------- E04
-def segment(tokens: DataFrame) -> DataFrame:
-    """Block / branch / clause / item columns for every token."""
-    t = tokens.repartition("query_id")
-    wq = W.partitionBy("query_id").orderBy("pos")
-    run = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    tok = F.col("tok")
-    t = t.withColumns({
-        "open": (tok == "(").cast("int"),
-        "close": (tok == ")").cast("int"),
-        "prv": F.lag("tok").over(wq),
-        "nxt": F.lead("tok").over(wq),
-    })
-    t = t.withColumn("depth", F.sum(F.col("open") - F.col("close")).over(run(wq)) + F.col("close"))
-    # a token's paren group is opened by the last "(" at its own depth
-    opens_sub = F.when(F.col("open") == 1, F.coalesce((F.col("nxt") == "select").cast("int"), F.lit(0)))
-    opens_list = F.when(F.col("open") == 1, F.coalesce(((F.col("prv") == "in") & (F.col("nxt") != "select")).cast("int"), F.lit(0)))
-    wd = run(W.partitionBy("query_id", "depth").orderBy("pos"))
-    t = t.withColumns({
-        "sb": F.coalesce(F.last(opens_sub, ignorenulls=True).over(wd), F.lit(0)),
-        # inside a literal IN (…) list
-        "in_list": F.coalesce(F.last(opens_list, ignorenulls=True).over(wd), F.lit(0)),
-    })
-    t = t.withColumns({"sbo": F.col("open") * F.col("sb"), "sbc": F.col("close") * F.col("sb")})
-    t = t.withColumn("sel_depth", F.sum(F.col("sbo") - F.col("sbc")).over(run(wq)) + F.col("sbc"))
-    t = t.withColumn("sel_block", F.sum("sbo").over(run(W.partitionBy("query_id", "sel_depth").orderBy("pos"))))
-    wsb = run(W.partitionBy("query_id", "sel_depth", "sel_block").orderBy("pos"))
-    t = t.withColumns({
-        "branch": F.sum(tok.isin(*SQL_OPS).cast("int")).over(wsb),
-        # a sub-query block starts with its "(": that token's depth is the block's depth
-        "block_depth": F.coalesce(F.first(F.when(F.col("sbo") == 1, F.col("depth")), ignorenulls=True).over(wsb), F.lit(0)),
-    })
-    kw = (F.when(tok.isin(*CLAUSE_WORDS), tok).when(tok == "join", F.lit("from"))
-          .when(tok == "on", F.lit("on")))
-    t = t.withColumn("kw", kw)
-    wb = W.partitionBy(*BLOCK).orderBy("pos")
-    bao = F.when(tok.isin("between", "and", "or"), tok)
-    t = t.withColumns({
-        "clause": F.last("kw", ignorenulls=True).over(run(wb)),
-        "prev_bao": F.last(bao, ignorenulls=True).over(wb.rowsBetween(W.unboundedPreceding, -1)),
-    })
-    wc = W.partitionBy(*BLOCK, "clause").orderBy("pos")
-    at_top = F.col("depth") == F.col("block_depth")
-    clause = F.col("clause")
-    is_conn = F.coalesce(clause.isin(*COND_CLAUSES) & at_top & tok.isin("and", "or")
-                         & ~((tok == "and") & F.coalesce(F.col("prev_bao") == "between", F.lit(False))), F.lit(False))
-    is_sep = F.coalesce(at_top & (((tok == ",") & clause.isin("select", "from", "group", "order"))
-                                  | ((tok == "join") & (clause == "from"))), F.lit(False))
-    t = t.withColumns({"is_conn": is_conn, "is_sep": is_sep, "at_top": at_top})
-    t = t.withColumn("item_no", F.sum((F.col("is_conn") | F.col("is_sep") | (tok == "on")).cast("int")).over(run(wc)))
-    struct_tok = F.coalesce(F.col("kw").isNotNull() | F.col("is_conn") | F.col("is_sep") | tok.isin(*SQL_OPS)
-                            | ((tok == "by") & F.col("prv").isin("group", "order"))
-                            | ((tok == "distinct") & (F.col("prv") == "select")), F.lit(False))
-    # parent block of a sub-query, read off the token just before its "("
-    opener = F.col("sbo") == 1
-    t = t.withColumns({
-        "is_struct": struct_tok,
-        "p_sel_block": F.when(opener, F.lag("sel_block").over(wq)),
-        "p_branch": F.when(opener, F.lag("branch").over(wq)),
-        "p_clause": F.when(opener, F.lag("clause").over(wq)),
-        "p_item_no": F.when(opener, F.lag("item_no").over(wq)),
-    })
-    return t.drop("prev_bao")
+def is_literal(tok: Column) -> Column:
+    return tok.startswith('"') | tok.rlike("^[0-9]")
+
+
+def shape_of(text: Column) -> Column:
+    """The text's tokens with string literals and numbers masked, one blank between."""
+    return F.array_join(F.transform(token_array(text), lambda t: F.when(t.startswith('"'), F.lit(MASKED_STRING)).when(
+        t.rlike("^[0-9]"), F.when(t.contains("."), F.lit(MASKED_DECIMAL)).otherwise(F.lit(MASKED_NUMBER))).otherwise(t)), " ")
+
+
+def marked(tok: Column, pos: Column) -> Column:
+    """A literal as a mark of its place, any other token as it is."""
+    return F.when(is_literal(tok), F.concat(F.lit("\x01"), pos.cast("string"), F.lit("\x02"))).otherwise(tok)
+
+
+def fill_marks(marked_text: Column, tokens: Column) -> Column:
+    """The text with each mark replaced by the token at its place."""
+    return let(tokens, lambda toks: F.array_join(F.transform(F.split(marked_text, "\x01"), lambda p, i: F.when(i == 0, p).otherwise(
+        F.concat(F.get(toks, F.substring_index(p, "\x02", 1).cast("int")), F.substring_index(p, "\x02", -1)))), ""))
+
+
+def shape_tokens(shape: Column) -> Column:
+    return F.when(shape == "", F.array().cast("array<string>")).otherwise(F.split(shape, " "))
+
+
+def token_rows(df: DataFrame, tokens: Column, id_col: str = "query_id") -> DataFrame:
+    """Block / branch / clause / item columns for every token of ``tokens``."""
+    # a fixed number of partitions: segmentation costs far more than its input's bytes tell AQE
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segs = df.select(F.col(id_col).alias("query_id"), tokens.alias("toks")).repartition(n, "query_id")
+    rows = segs.select("query_id", F.explode(segmented(F.col("toks"))).alias("s")).select("query_id", "s.*")
+    return rows.withColumn("is_lit", F.col("tok").startswith('"'))
+
+
+def shape_rows(shapes: DataFrame) -> DataFrame:
+    """E04 of the distinct shapes of ``text_shapes``; written once, read by many."""
+    return cut_lineage(token_rows(shapes, shape_tokens(F.col("shape")), "text_id"))
+
+
+def segment(df: DataFrame, text_col: str, id_col: str = "query_id") -> DataFrame:
+    """E04 of a table of texts."""
+    return token_rows(df, token_array(F.col(text_col)), id_col)
 
 
 def items(seg: DataFrame) -> DataFrame:
@@ -140,55 +116,62 @@ def items(seg: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------- E22-E26
-def features(seg: DataFrame, compat: bool = True) -> DataFrame:
-    """Per-query counts behind the difficulty class (top block, first branch).
+def _firsts(tokens: Column) -> Column:
+    """The first of the given tokens in each clause item."""
+    return F.filter(tokens, lambda t: ~F.exists(tokens, lambda u: u["clause"].eqNullSafe(t["clause"]) & (u["item_no"] == t["item_no"])
+                                                & (u["pos"] < t["pos"])))
+
+
+def _count(tokens: Column, condition) -> Column:
+    return F.size(F.filter(tokens, lambda t: F.coalesce(condition(t), F.lit(False))))
+
+
+def _items_with(tokens: Column, condition) -> Column:
+    """In how many items (of one clause) a token meets the condition."""
+    return F.size(F.array_distinct(F.transform(F.filter(tokens, lambda t: F.coalesce(condition(t), F.lit(False))), lambda t: t["item_no"])))
+
+
+def feature_struct(segs: Column, compat: bool = True) -> Column:
+    """component1, component2, others of a segmented text (top block, first branch).
 
     compat=True keeps the reference's counting: NOT conditions in WHERE and
     HAVING, and HAVING connectors, count as aggregates.
     """
-    it = items(seg).filter((F.col("sel_depth") == 0) & (F.col("branch") == 0))
-    c = F.col("clause")
-    isagg = F.col("first_tok").isin(*AGGS)
-    cond_agg = (F.col("has_not") == 1) if compat else (F.col("n_agg") > 0)
-    cnt = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    per_item = it.groupBy("query_id").agg(
-        cnt(c == "select").alias("n_select"),
-        cnt((c == "select") & isagg).alias("n_select_agg"),
-        cnt(c == "where").alias("n_where"),
-        cnt((c == "where") & cond_agg).alias("n_where_agg"),
-        cnt(c == "group").alias("n_group"),
-        cnt((c == "group") & isagg).alias("n_group_agg"),
-        F.sum(F.when(c == "order", F.col("n_agg")).otherwise(0)).alias("n_order_agg"),
-        cnt((c == "having") & cond_agg).alias("n_having_agg"),
-        cnt(c.isin(*COND_CLAUSES) & (F.col("op") == "like")).alias("n_like"),
-    )
-    top = (F.col("sel_depth") == 0) & (F.col("sel_block") == 0)
-    top0 = top & (F.col("branch") == 0)
-    tok = F.col("tok")
-    nested = ((F.col("sbo") == 1) & (F.col("sel_depth") == 1) & (F.col("p_sel_block") == 0)
-              & (F.col("p_branch") == 0) & F.col("p_clause").isin(*COND_CLAUSES))
-    per_tok = seg.groupBy("query_id").agg(
-        F.max((top0 & (F.col("kw") == "where")).cast("int")).alias("has_where"),
-        F.max((top0 & (F.col("kw") == "group")).cast("int")).alias("has_group"),
-        F.max((top0 & (F.col("kw") == "having")).cast("int")).alias("has_having"),
-        F.max((top0 & (F.col("kw") == "order")).cast("int")).alias("has_order"),
-        F.max((top0 & (F.col("kw") == "limit")).cast("int")).alias("has_limit"),
-        cnt(top0 & (c == "from") & F.col("at_top") & tok.isin("from", "join", ",")).alias("n_tables"),
-        cnt(top0 & F.col("is_conn") & (tok == "or")).alias("n_or"),
-        cnt(top0 & F.col("is_conn") & (c == "having")).alias("n_having_conn"),
-        cnt(nested).alias("n_nested"),
-        F.max(F.when(top, F.col("branch")).otherwise(0)).alias("max_branch"),
-    )
-    f = per_tok.join(per_item, "query_id", "left").na.fill(0)
-    c1 = (F.col("has_where") + F.col("has_group") + F.col("has_order") + F.col("has_limit")
-          + F.greatest(F.col("n_tables") - 1, F.lit(0)) + F.col("n_or") + F.col("n_like"))
-    c2 = F.col("n_nested") + (F.col("max_branch") > 0).cast("int")
-    agg_count = (F.col("n_select_agg") + F.col("n_where_agg") + F.col("n_group_agg") + F.col("n_order_agg")
-                 + F.col("n_having_agg") + (F.col("n_having_conn") if compat else F.lit(0)))
-    others = ((agg_count > 1).cast("int") + (F.col("n_select") > 1).cast("int")
-              + (F.col("n_where") > 1).cast("int") + (F.col("n_group") > 1).cast("int"))
-    return f.select("query_id", c1.cast("bigint").alias("component1"), c2.cast("bigint").alias("component2"),
-                    others.cast("bigint").alias("others"))
+    def parts(s: Column) -> Column:
+        top = F.filter(s, lambda t: (t["sel_depth"] == 0) & (t["sel_block"] == 0))
+        return let(top, lambda top: let(F.filter(top, lambda t: t["branch"] == 0), lambda top0: let(
+            F.filter(top0, lambda t: ~t["is_struct"] & t["clause"].isNotNull() & (t["sbo"] == 0) & (t["sbc"] == 0)),
+            lambda body: let(_firsts(body), lambda firsts: counts(s, top, top0, body, firsts)))))
+
+    def counts(s: Column, top: Column, top0: Column, body: Column, firsts: Column) -> Column:
+        of = lambda c: _count(firsts, lambda t: t["clause"] == c)
+        agg_first = lambda c: _count(firsts, lambda t: (t["clause"] == c) & t["tok"].isin(*AGGS))
+        is_agg = lambda t: t["tok"].isin(*AGGS) & (t["nxt"] == "(")
+        counted = (lambda t: t["at_top"] & (t["tok"] == "not")) if compat else is_agg
+        cond_agg = lambda c: _items_with(body, lambda t: (t["clause"] == c) & counted(t))
+        has = lambda kw: (_count(top0, lambda t: t["kw"] == kw) > 0).cast("int")
+        operators = F.filter(body, lambda t: t["clause"].isin(*COND_CLAUSES) & t["at_top"] & t["tok"].isin(*COND_OPERATORS))
+        n_like = let(operators, lambda o: _count(_firsts(o), lambda t: t["tok"] == "like"))
+        n_tables = _count(top0, lambda t: (t["clause"] == "from") & t["at_top"] & t["tok"].isin("from", "join", ","))
+        c1 = (has("where") + has("group") + has("order") + has("limit") + F.greatest(n_tables - 1, F.lit(0))
+              + _count(top0, lambda t: t["is_conn"] & (t["tok"] == "or")) + n_like)
+        nested = _count(s, lambda t: (t["sbo"] == 1) & (t["sel_depth"] == 1) & (t["p_sel_block"] == 0) & (t["p_branch"] == 0)
+                        & t["p_clause"].isin(*COND_CLAUSES))
+        branched = _count(top, lambda t: t["branch"] > 0) > 0
+        n_agg = (agg_first("select") + cond_agg("where") + agg_first("group")
+                 + _count(body, lambda t: (t["clause"] == "order") & is_agg(t)) + cond_agg("having")
+                 + (_count(top0, lambda t: t["is_conn"] & (t["clause"] == "having")) if compat else F.lit(0)))
+        others = ((n_agg > 1).cast("int") + (of("select") > 1).cast("int") + (of("where") > 1).cast("int") + (of("group") > 1).cast("int"))
+        return F.struct(c1.cast("bigint").alias("component1"), (nested + branched.cast("int")).cast("bigint").alias("component2"),
+                        others.cast("bigint").alias("others"))
+
+    return let(segs, parts)
+
+
+def features(shapes: DataFrame, compat: bool = True) -> DataFrame:
+    """(query_id, component1, component2, others) of texts given by shape."""
+    f = feature_struct(segmented(shape_tokens(F.col("shape"))), compat)
+    return shapes.select(F.col("text_id").alias("query_id"), f.alias("f")).select("query_id", "f.*")
 
 
 def hardness_class(c1: Column, c2: Column, oth: Column) -> Column:
@@ -200,25 +183,27 @@ def hardness_class(c1: Column, c2: Column, oth: Column) -> Column:
             .otherwise("extra"))
 
 
-def distinct_texts(df: DataFrame, text_col: str, *by: str) -> DataFrame:
-    """(text_id, text, by...) of the distinct texts; a NULL text is the empty one.
-    Real logs repeat: the token pipeline runs once per distinct text and results
-    join back on the text. The distinct is pre-aggregated map-side, so a text
-    repeated by a third of all rows collapses before the shuffle; ids are fixed
-    by a checkpoint."""
-    d = (df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *by).distinct()
-           .withColumn("text_id", F.monotonically_increasing_id()))
-    return cut_lineage(d)
+def text_shapes(df: DataFrame, text_col: str, *by: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts as (text, by..., text_id) and their distinct shapes as
+    (text_id, shape, by...): texts of one shape share the id. A NULL text is the
+    empty one. Both distincts are pre-aggregated map-side, so a text repeated by a
+    third of all rows collapses before the shuffle; ids are fixed by a checkpoint."""
+    texts = cut_lineage(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *by).distinct()
+                        .withColumn("shape", shape_of(F.col("text"))))
+    shapes = cut_lineage(texts.select("shape", *by).distinct().withColumn("text_id", F.monotonically_increasing_id()))
+    same = F.lit(True)
+    for c in ("shape", *by):
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return (texts.alias("t").join(shapes.alias("s"), same).select("t.text", *[f"t.{c}" for c in by], "s.text_id"),
+            shapes.select("text_id", "shape", *by))
 
 
 def hardness(df: DataFrame, text_col: str, id_col: str = "query_id", compat: bool = True) -> DataFrame:
     """(query_id, component1, component2, others, hardness) for a table of SQL
     texts; a NULL or empty text has no clauses and is easy."""
-    texts = distinct_texts(df, text_col)
-    f = features(segment(tokenize(texts, "text", "text_id")), compat)
-    per_text = texts.join(f, f["query_id"] == texts["text_id"], "left").drop("query_id", "text_id").na.fill(
-        0, ["component1", "component2", "others"])
-    per_text = per_text.withColumn("hardness", hardness_class(F.col("component1"), F.col("component2"), F.col("others")))
+    texts, shapes = text_shapes(df, text_col)
+    f = features(shapes, compat).withColumn("hardness", hardness_class(F.col("component1"), F.col("component2"), F.col("others")))
+    per_text = texts.join(f, f["query_id"] == texts["text_id"]).drop("query_id", "text_id")
     return (df.select(F.col(id_col).alias("query_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(per_text, "text")
               .select("query_id", "component1", "component2", "others", "hardness"))
 

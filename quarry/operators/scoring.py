@@ -146,7 +146,7 @@ def resolve(seg: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str | Data
     quotes = F.length("tok") - F.length(F.regexp_replace("tok", '"', ""))
     t = t.withColumn("invalid", F.coalesce(
         F.max("bad").over(wq) == 1, F.lit(False))
-        | ((F.sum(quotes).over(wq) % 2) != 0) | (F.sum("open").over(wq) != F.sum("close").over(wq)))
+        | ((F.sum(quotes).over(wq) % 2) != 0) | (F.sum((tok == "(").cast("int") - (tok == ")").cast("int")).over(wq) != 0))
     sig = (F.when(F.col("ident").isNotNull(), F.col("ident"))
            .when(F.col("is_lit") | tok.rlike(r"^[0-9]"), F.lit(MASK))      # E20 value masking
            .when(tok == "distinct", F.lit(None))                            # E21 distinct masking
@@ -335,24 +335,26 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: Dat
     Without ``db_id`` each pair names its database in a column ``db_id``. A NULL
     or empty side is an invalid text: it is scored as the empty query.
 
-    Work is done once per distinct text (token pipeline) and once per distinct
-    (gold text, predicted text) pair (comparison); results join back to pairs.
+    Values are masked (E20), so work is done once per distinct shape of a text
+    (token pipeline) and once per distinct pair of shapes (comparison); results
+    join back to pairs through the distinct texts.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     p = pairs.select(F.col("query_id").alias("pair_id"), text("gold"), text("pred"),
                      (F.lit(db_id) if db_id else F.col("db_id")).alias("db_id"))
-    texts = Q.distinct_texts(p.select(F.col("gold").alias("t"), "db_id").unionByName(p.select(F.col("pred").alias("t"), "db_id")), "t", "db_id")
+    texts, shapes = Q.text_shapes(p.select(F.col("gold").alias("t"), "db_id").unionByName(p.select(F.col("pred").alias("t"), "db_id")),
+                                  "t", "db_id")
     ids = (p.join(texts.select(F.col("text").alias("gold"), "db_id", F.col("text_id").alias("g_id")), ["gold", "db_id"])
             .join(texts.select(F.col("text").alias("pred"), "db_id", F.col("text_id").alias("p_id")), ["pred", "db_id"])
             .select("pair_id", "g_id", "p_id"))
-    database = db_id or texts.select(F.col("text_id").alias("query_id"), "db_id")
+    database = db_id or shapes.select(F.col("text_id").alias("query_id"), "db_id")
     tp = cut_lineage(ids.select("g_id", "p_id").distinct().withColumn("tp_id", F.monotonically_increasing_id()))
     s = (tp.select(F.col("g_id").alias("query_id"), F.col("tp_id").alias("pair_id"), F.lit(0).alias("side"))
            .unionByName(tp.select(F.col("p_id").alias("query_id"), F.col("tp_id").alias("pair_id"), F.lit(1).alias("side"))))
     # the resolved token table feeds a dozen aggregates and the item table
     # several comparisons: both are checkpointed into the shared folder, which
     # also keeps the query plans of the later phases small
-    seg = Q.segment(Q.tokenize(texts, "text", "text_id"))
+    seg = Q.shape_rows(shapes)
     canon = fk_canonical(spark, cols, fks)
     keep = ["query_id", "pos", "tok", "prv", "nxt", "at_top", "sel_depth", "sel_block", "branch", "clause", "item_no",
             "kw", "is_conn", "is_struct", "sbo", "sbc", "p_sel_block", "p_branch", "p_clause", "p_item_no", "sig", "invalid"]
@@ -365,7 +367,7 @@ def score_pairs(spark: SparkSession, pairs: DataFrame, cols: DataFrame, fks: Dat
     comp_tp = pair_components(ci, s)
     ex_tp = exact_match(comp_tp, ci, s)
     inv = rs.select("query_id", "invalid").distinct()
-    hard = Q.features(rs, compat)
+    hard = Q.features(shapes, compat)
     hard = hard.select("query_id", Q.hardness_class(F.col("component1"), F.col("component2"), F.col("others")).alias("hardness"))
     pmap = ids.join(tp, ["g_id", "p_id"])
     comp = pmap.join(comp_tp.withColumnRenamed("pair_id", "tp_id"), "tp_id").select(

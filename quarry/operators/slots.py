@@ -4,8 +4,9 @@ Structure keeps the SQL skeleton with slots: columns → ``[col]``, each FROM
 body (tables, joins, ON conditions) → one ``[tab]``, each run of values →
 one ``[val]``. Content lists the slot fillers in text order
 (``[col] t1.c_name [tab] customer as t1 … [val] "F"``). Both come from the
-segmented token table with gaps-and-islands (runs keyed by a running count
-over ``query_id``), so there is no extra exchange beyond the segmentation's.
+segmented tokens of the text's shape with gaps-and-islands (runs keyed by a
+running count over ``query_id``), once per distinct shape; the literals of each
+text are filled in inside its row.
 
 The inverse (F05) runs inside each row with higher-order array functions —
 a map-only stage, no shuffle.
@@ -52,9 +53,11 @@ def _tight(s: Column) -> Column:
 
 
 def decompose(seg: DataFrame, column_names: DataFrame) -> DataFrame:
-    """(query_id, structure, content) from a segmented token table.
+    """(query_id, structure, content) from the token table of shapes.
 
     ``column_names`` has one lower-cased ``column_name`` per catalog column.
+    Literals stand in ``content`` as marks of their places, for
+    ``querylog.fill_marks`` with the tokens of each text of the shape.
     """
     names = column_names.select(F.col("column_name").alias("cname")).distinct()
     tok = F.col("tok")
@@ -76,7 +79,7 @@ def decompose(seg: DataFrame, column_names: DataFrame) -> DataFrame:
     pieces = t.groupBy("query_id", piece_key.alias("pk")).agg(
         F.min("pos").alias("ppos"), F.first("kind").alias("kind"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
-            "pos", F.when(~tok.isin("(", ")") | (F.col("kind") != "tab"), tok).alias("b")))), lambda x: x["b"]), " ").alias("body"))
+            "pos", F.when(~tok.isin("(", ")") | (F.col("kind") != "tab"), Q.marked(tok, F.col("pos"))).alias("b")))), lambda x: x["b"]), " ").alias("body"))
     struct_piece = F.when(F.col("kind") == "keep", F.col("body")).otherwise(F.concat(F.lit("["), F.col("kind"), F.lit("]")))
     content_piece = F.when(F.col("kind") != "keep", F.concat(F.lit("["), F.col("kind"), F.lit("] "), F.col("body")))
     out = pieces.groupBy("query_id").agg(

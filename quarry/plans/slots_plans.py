@@ -56,14 +56,15 @@ dec AS (SELECT query_id, {_norm_sql(_tight_sql('s'))} AS structure, content FROM
 
 
 def _dec(spark, sf_dir, df, text_col="gold", id_col="query_id", per_text=None):
-    """(query_id, structure, content, …); decomposed once per distinct text.
+    """(query_id, structure, content, …); decomposed once per distinct shape.
 
     ``per_text`` adds columns that depend only on the text (computed before
     joining back to the rows)."""
     cols = C.profile(spark, sf_dir).select(F.lower("column_name").alias("column_name"))
-    texts = Q.distinct_texts(df, text_col)
-    d = L.decompose(Q.segment(Q.tokenize(texts, "text", "text_id")), cols)
-    d = d.join(texts, F.col("query_id") == F.col("text_id")).drop("query_id", "text_id")
+    texts, shapes = Q.text_shapes(df, text_col)
+    d = L.decompose(Q.shape_rows(shapes), cols)
+    d = (texts.join(d, F.col("query_id") == F.col("text_id")).drop("query_id", "text_id")
+         .withColumn("content", Q.fill_marks(F.col("content"), Q.token_array(F.col("text")))))
     if per_text is not None:
         d = per_text(d)
     return df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")).join(d, "text").drop("text")

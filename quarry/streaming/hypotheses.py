@@ -22,9 +22,9 @@ HYP_SCHEMA = "ex_id long, hyp_rank int, pred string, batch_id int"
 
 
 def pick_first_valid(batch: DataFrame, cols: DataFrame, canon: DataFrame, db_id: str) -> DataFrame:
-    """F10 on one slice of candidates; each distinct text is checked once."""
-    texts = Q.distinct_texts(batch, "pred")
-    seg = Q.segment(Q.tokenize(texts, "text", "text_id"))
+    """F10 on one slice of candidates; each distinct shape of a text is checked once."""
+    texts, shapes = Q.text_shapes(batch, "pred")
+    seg = Q.shape_rows(shapes)
     inv = (S.resolve(seg, cols, canon, db_id).select("query_id", "invalid").distinct()
              .join(texts, F.col("query_id") == F.col("text_id")).select(F.col("text").alias("pred"), "invalid"))
     # NULL, empty and token-less texts have no row: invalid

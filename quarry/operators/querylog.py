@@ -73,8 +73,14 @@ def marked(tok: Column, pos: Column) -> Column:
 
 def fill_marks(marked_text: Column, tokens: Column) -> Column:
     """The text with each mark replaced by the token at its place."""
-    return let(tokens, lambda toks: F.array_join(F.transform(F.split(marked_text, "\x01"), lambda p, i: F.when(i == 0, p).otherwise(
-        F.concat(F.get(toks, F.substring_index(p, "\x02", 1).cast("int")), F.substring_index(p, "\x02", -1)))), ""))
+    return F.array_join(F.transform(F.split(marked_text, "\x01"), lambda p, i: F.when(i == 0, p).otherwise(
+        F.concat(F.get(tokens, F.substring_index(p, "\x02", 1).cast("int")), F.substring_index(p, "\x02", -1)))), "")
+
+
+def fill_columns(df: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """``fill_marks`` in several columns; the text is cut into tokens once."""
+    filled = let(token_array(text), lambda toks: F.struct(*[fill_marks(F.col(c), toks).alias(c) for c in columns]))
+    return df.withColumn("filled", filled).select(*[c for c in df.columns if c not in columns], *[F.col("filled")[c].alias(c) for c in columns])
 
 
 def shape_tokens(shape: Column) -> Column:

@@ -100,21 +100,23 @@ def slot_counts(text: Column) -> Column:
 def combine(structure: Column, content: Column) -> Column:
     """fill the structure's slots left to right per kind with the
     content's fillers; a slot-count mismatch returns the structure unfilled."""
-    skinds = F.regexp_extract_all(structure, F.lit(SLOT_RE), 1)
-    pieces = F.split(structure, SLOT_SPLIT_RE, -1)
-    ckinds = F.regexp_extract_all(content, F.lit(SLOT_RE), 1)
-    ctexts = F.transform(F.filter(F.split(content, SLOT_SPLIT_RE, -1), lambda x, i: i > 0), lambda x: F.trim(x))
-    cz = F.arrays_zip(ckinds.alias("k"), ctexts.alias("v"))
-    same = F.forall(F.array(F.lit("col"), F.lit("tab"), F.lit("val")), lambda kk: F.size(F.filter(skinds, lambda x: x == kk))
-                    == F.size(F.filter(ckinds, lambda x: x == kk)))
-    vals = F.transform(skinds, lambda k, i: F.get(
-        F.transform(F.filter(cz, lambda z: z["k"] == k), lambda z: z["v"]),
-        F.size(F.filter(F.slice(skinds, 1, i + 1), lambda y: y == k)) - 1))
-    filled = F.aggregate(F.sequence(F.lit(0), F.size(skinds) - 1), F.get(pieces, 0),
-                         lambda acc, i: F.concat(acc, F.get(vals, i), F.get(pieces, i + 1)))
-    filled = F.when(F.size(skinds) == 0, structure).otherwise(filled)
-    filled = F.regexp_replace(filled, "^ ", "")
-    return F.when(same, filled).otherwise(structure)
+    def kinds(st: Column, ct: Column) -> Column:
+        texts = F.transform(F.filter(F.split(ct, SLOT_SPLIT_RE, -1), lambda x, i: i > 0), lambda x: F.trim(x))
+        return Q.let(F.struct(F.regexp_extract_all(st, F.lit(SLOT_RE), 1).alias("slots"), F.split(st, SLOT_SPLIT_RE, -1).alias("pieces"),
+                              F.arrays_zip(F.regexp_extract_all(ct, F.lit(SLOT_RE), 1).alias("k"), texts.alias("v")).alias("fillers")),
+                     lambda x: fill(st, x["slots"], x["pieces"], x["fillers"]))
+
+    def fill(st: Column, slots: Column, pieces: Column, fillers: Column) -> Column:
+        same = F.forall(F.array(F.lit("col"), F.lit("tab"), F.lit("val")), lambda kk: F.size(F.filter(slots, lambda x: x == kk))
+                        == F.size(F.filter(fillers, lambda x: x["k"] == kk)))
+        vals = F.transform(slots, lambda k, i: F.get(F.filter(fillers, lambda z: z["k"] == k),
+                                                     F.size(F.filter(F.slice(slots, 1, i + 1), lambda y: y == k)) - 1)["v"])
+        filled = Q.let(vals, lambda v: F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(
+            F.concat(F.get(v, i - 1), p))), ""))
+        filled = F.when(F.size(slots) == 0, st).otherwise(filled)
+        return F.when(same, F.regexp_replace(filled, "^ ", "")).otherwise(st)
+
+    return Q.let(F.struct(structure.alias("s"), content.alias("c")), lambda x: kinds(x["s"], x["c"]))
 
 
 def structure_vocab_ok(structure: Column) -> Column:

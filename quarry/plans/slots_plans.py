@@ -8,6 +8,7 @@ from ..operators import catalog as C
 from ..operators import querylog as Q
 from ..operators import scoring as S
 from ..operators import slots as L
+from ..session import cut_lineage
 from ..sources import tables as T
 from . import sql_querylog as SQ
 from .registry import register
@@ -55,18 +56,20 @@ dec0 AS (SELECT query_id,
 dec AS (SELECT query_id, {_norm_sql(_tight_sql('s'))} AS structure, content FROM dec0)"""
 
 
-def _dec(spark, sf_dir, df, text_col="gold", id_col="query_id", per_text=None):
+def _dec(spark, sf_dir, df, text_col="gold", id_col="query_id", per_shape=None):
     """(query_id, structure, content, …); decomposed once per distinct shape.
 
-    ``per_text`` adds columns that depend only on the text (computed before
-    joining back to the rows)."""
+    ``per_shape`` adds columns that depend on structure and content; literals
+    are marks there, and those in ``content`` and added columns are filled in
+    for each distinct text."""
     cols = C.profile(spark, sf_dir).select(F.lower("column_name").alias("column_name"))
     texts, shapes = Q.text_shapes(df, text_col)
     d = L.decompose(Q.shape_rows(shapes), cols)
-    d = (texts.join(d, F.col("query_id") == F.col("text_id")).drop("query_id", "text_id")
-         .withColumn("content", Q.fill_marks(F.col("content"), Q.token_array(F.col("text")))))
-    if per_text is not None:
-        d = per_text(d)
+    if per_shape is not None:
+        d = per_shape(d)
+    with_marks = [c for c in d.columns if c not in ("query_id", "structure")]
+    d = texts.join(cut_lineage(d), F.col("query_id") == F.col("text_id")).drop("query_id", "text_id")
+    d = Q.fill_columns(d, with_marks, F.col("text"))
     return df.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("text")).join(d, "text").drop("text")
 
 
@@ -108,7 +111,7 @@ def _combine_sql(st: str, ct: str) -> str:
 SELECT query_id, {_combine_sql('structure', 'content')} AS rebuilt FROM dec""", "workload"), ops="F04 F05")
 def f05(spark, sf_dir):
     d = _dec(spark, sf_dir, T.workload(spark, sf_dir),
-             per_text=lambda x: x.withColumn("rebuilt", L.combine(F.col("structure"), F.col("content"))))
+             per_shape=lambda x: x.withColumn("rebuilt", L.combine(F.col("structure"), F.col("content"))))
     return d.select("query_id", "rebuilt")
 
 

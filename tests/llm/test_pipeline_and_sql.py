@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
 
 
 def test_sql_twins(spark):
@@ -60,3 +60,15 @@ def test_stage_cases(spark):
     assert pipeline.benchmarks(spark, docs, SF).count() == docs.count()
     assert {r["doc_id"] for r in pipeline.copies(spark, docs, SF).collect()} == {1, 2, 3, None, 4, 5, 6}
     assert pipeline.language(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids: every row is judged by its own text."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    copy = " ".join(f"word{k}" for k in range(40))
+    rows = table(spark, [(None, copy), (None, copy), (7, copy + " more"), (8, item), (8, "a text of its own that leaks nothing at all"),
+                         (None, item), (9, "another clean text")]).select(*pipeline.COLUMNS)
+    kept = [r["text"] for r in pipeline.copies(spark, rows, SF).collect()]
+    assert sum(t.startswith(copy) for t in kept) == 1 and kept.count(item) == 1 and len(kept) == 4
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in pipeline.benchmarks(spark, rows, SF).collect())
+    assert left == [(0, copy), (0, copy), (7, copy + " more"), (8, "a text of its own that leaks nothing at all"), (9, "another clean text")]

@@ -5,8 +5,9 @@ and returns a DataFrame; all but the last return the columns of ``documents``
 (``n_chars`` follows the text). ``run`` writes every stage as Parquet in the
 shared checkpoint folder and reads it again as the next one's docs.
 
-Cases: see the operators; rows with a null id pass the stages that group or
-match by id (they cannot be named there), and an empty table stays empty.
+Cases: see the operators; a row whose id is null or repeated is named by a number
+of its own inside a stage, so it is judged by its own text; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -39,16 +40,34 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+KEY = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number per row: the id, or far below zero where it is null or
+    repeated (such rows are numbered once and written)."""
+    repeated = docs.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1 OR again IS NULL").select("again")
+    if repeated.isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id").cast("bigint"))
+    marked = docs.join(repeated.withColumn("own", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    number = F.when(F.col("own"), F.lit(-2**62) + F.monotonically_increasing_id()).otherwise(F.col("doc_id").cast("bigint"))
+    return written(marked.withColumn(KEY, number).drop("again", "own"), "keyed")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.distinct(), KEY, "left_anti").select(*COLUMNS)
+
+
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    gone = near_groups(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    return without(rows, near_groups(rows, id_col=KEY).where("NOT kept").select(F.col("doc_id").alias(KEY)))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    return without(rows, leaks(rows, table(spark, sf_dir, "benchmark"), id_col=KEY).select(KEY))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sampling, caps and hygiene.
 
-"First n rows" needs a total order; all selections here are exact and run
-without a single-task bottleneck (``plan_utils.first_k`` / ``with_position``).
+"First n rows" needs a total order; all selections here are exact: heads and
+samples by selection of the n-th key and a filter (``plan_utils.first_k``), fixed
+positions by a range-partitioned sort (``with_position``).
 Random sampling is replaced by an md5 order of (id, seed) — deterministic and
 reproducible in any engine.
 """

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import (AGG_OPS, COND_OPS, JOIN_KEYWORDS, LEVELS, ORDER_OPS, PARTIAL_TYPES, SQL_OPS,
                                WHERE_OPS)
+from ..functions.plan_utils import components
 from ..session import cut_lineage
 from . import querylog as Q
 
@@ -44,27 +45,10 @@ def sides(pairs: DataFrame, id_col: str = "query_id", gold_col: str = "gold", pr
 
 # ------------------------------------------------------------- E18 FK groups
 def fk_canonical(spark: SparkSession, cols: DataFrame, fks: DataFrame) -> DataFrame:
-    """Every column of a foreign-key group → its lowest-ordinal member.
-
-    Min-label propagation over the (small, per-database) FK edge table: true
-    connected components. It runs until no label changes — at most one round
-    per node, so no round cap is needed; lineage is cut every round.
-    """
-    e = fks.select("db_id", F.col("column_id").alias("a"), F.col("other_column_id").alias("b"))
-    e = e.unionByName(e.select("db_id", F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    lab = cut_lineage(e.select("db_id", F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    n_nodes = lab.count()
-    for _ in range(max(n_nodes, 1)):
-        nxt = (e.join(lab.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), ["db_id", "b"])
-                .groupBy("db_id", F.col("a").alias("node")).agg(F.min("lb").alias("m"))
-                .join(lab, ["db_id", "node"]).select("db_id", "node", F.least("label", "m").alias("label")))
-        # each round reads its input twice: cut lineage every round, or the
-        # plan would double in size per round
-        nxt = cut_lineage(nxt)
-        changed = nxt.join(lab.withColumnRenamed("label", "old"), ["db_id", "node"]).filter("label != old").count()
-        lab = nxt
-        if changed == 0:
-            break
+    """Every column of a foreign-key group → its lowest-ordinal member: the
+    connected components of the foreign-key edges of each database."""
+    lab, _ = components(fks.select("db_id", F.col("column_id").alias("a"), F.col("other_column_id").alias("b")), ["db_id"])
+    lab = lab.withColumnRenamed("comp", "label")
     ident = lambda p: F.concat(F.lit("__"), F.lower(F.col(p + "table_name")), F.lit("."), F.lower(F.col(p + "column_name")), F.lit("__"))
     c = cols.filter("column_id > 0").select("db_id", "column_id", "table_name", "column_name")
     src = c.select("db_id", F.col("column_id").alias("node"), ident("").alias("col_ident"))

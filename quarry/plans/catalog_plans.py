@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators import keys as K
 from ..sources import tables as T
 from .registry import register
 
@@ -154,3 +155,45 @@ def a14(spark, sf_dir):
     held = cols.filter("column_id > 0").select("db_id", "n_values", F.concat(
         F.lit("__"), F.lower("table_name"), F.lit("."), F.lower("column_name"), F.lit("__")).alias("ident"))
     return C.identifier_universe(cols).join(held, ["db_id", "ident"], "left").na.fill(0, ["n_values"])
+
+
+# A09/A10 from the data; DuckDB side: the distinct values of every whole-number and text column
+_KEY_COLUMNS = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+}
+KEYS_SQL = "WITH vals AS (" + "\nUNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, {k} AS pos, CASE WHEN typeof(any_value({c})) = 'VARCHAR' THEN 'text' ELSE 'number' END AS kind, "
+    f"CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+    for t, cs in _KEY_COLUMNS.items() for k, c in enumerate(cs)) + """),
+sizes AS (""" + "\nUNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n_rows FROM {t}" for t in _KEY_COLUMNS) + """),
+per AS (SELECT t, c, pos, kind, count(*) AS n_distinct, sum(n) AS n_values FROM vals GROUP BY t, c, pos, kind),
+uniq AS (SELECT per.*, n_rows FROM per JOIN sizes USING (t) WHERE n_distinct = n_values AND n_values = n_rows)"""
+
+
+def _key_tables(spark, sf_dir):
+    return {t: T.table(spark, sf_dir, t) for t in T.STAR_TABLES}
+
+
+@register("a09_discovered_keys", KEYS_SQL + """
+SELECT t AS table_name, c AS column_name, kind, CAST(n_rows AS BIGINT) AS n_rows,
+  pos = min(pos) OVER (PARTITION BY t) AS is_key FROM uniq""", ops="A09")
+def a09_discovered(spark, sf_dir):
+    tables = _key_tables(spark, sf_dir)
+    return K.unique_columns(K.column_values(tables), tables)
+
+
+@register("a10_inclusions", KEYS_SQL + """,
+shared AS (SELECT a.t, a.c, b.t AS rt, b.c AS rc, count(*) AS n
+           FROM vals a JOIN vals b ON a.value = b.value AND a.kind = b.kind AND (a.t <> b.t OR a.c <> b.c)
+           JOIN uniq u ON u.t = b.t AND u.c = b.c GROUP BY 1, 2, 3, 4)
+SELECT s.t AS table_name, s.c AS column_name, rt AS ref_table, rc AS ref_column, CAST(n AS BIGINT) AS n_values,
+  regexp_replace(s.c, '^[^_]*_', '') = regexp_replace(rc, '^[^_]*_', '') AS same_name
+FROM shared s JOIN per p ON p.t = s.t AND p.c = s.c WHERE n = n_distinct""", ops="A10")
+def a10_inclusions(spark, sf_dir):
+    tables = _key_tables(spark, sf_dir)
+    values = K.column_values(tables)
+    return K.inclusions(values, K.unique_columns(values, tables))

@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 WIDEN = 6
-ROUNDS = 40
 
 # Titles and given names by gender, for detection only.
 TITLES = {"m": "Mr Mister Sir Herr Herrn Monsieur Señor Sr Don Господин", "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Sra Doña Госпожа",
@@ -128,7 +127,9 @@ def _own(text: str, kind: str, m: re.Match) -> re.Match | None:
 
 def detect(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities; a name is one entity per part, its
-    kind naming gender (m, f, n for unknown, s for a surname) and script."""
+    kind naming gender (m, f, n for unknown, s for a surname) and script. A known
+    given name has its own gender, whatever the title. A name found once is an
+    entity wherever its word stands in the text."""
     if not text or not GATE.search(text):
         return []
     out: list[tuple[str, int, int]] = []
@@ -148,11 +149,39 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
             parts = [(base + x.start(), base + x.end()) for x in re.finditer(r"\S+", text[base:m.end()])]
             for k, (a, b) in enumerate(parts):
                 # the last part is the surname unless the given name stands alone
-                role = "s" if k == len(parts) - 1 and (len(parts) > 1 or whole == "named") else gender
+                role = "s" if k == len(parts) - 1 and (len(parts) > 1 or whole == "named") else _given.get(text[a:b], gender)
                 out.append((f"name_{role}_{script_of(text[a:b])}", a, b))
         else:
             out.append((kind, m.start(), m.end()))
-    return out
+    return _everywhere(text, out)
+
+
+def _everywhere(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """With the other places where the words of the found names stand."""
+    kinds: dict[str, str] = {}
+    for kind, a, b in found:
+        if kind.startswith("name_"):
+            kinds.setdefault(text[a:b], kind)
+    if not kinds:
+        return found
+    out, k = [], 0
+    for m in re.finditer(r"(?<![\w'’-])(?:" + "|".join(map(re.escape, sorted(kinds, key=len, reverse=True))) + r")(?![\w-])", text):
+        while k < len(found) and found[k][2] <= m.start():
+            out.append(found[k])
+            k += 1
+        if k == len(found) or m.end() <= found[k][1]:
+            out.append((kinds[m.group()], *m.span()))
+    return out + found[k:]
+
+
+def one_kind_per_name(mentions: DataFrame) -> DataFrame:
+    """Mentions (kind, value, ...) with one kind per name: the one it has most
+    often in the corpus, so that a name has one surrogate whatever its titles."""
+    names = mentions.where(F.startswith("kind", F.lit("name_"))).groupBy("value", "kind").agg(F.count("*").alias("n"))
+    usual = names.groupBy("value").agg(F.max_by("kind", F.struct(~F.col("kind").contains("_n_"), "n", "kind")).alias("usual"))
+    key = F.when(F.startswith("kind", F.lit("name_")), F.col("value"))
+    joined = mentions.withColumn("name", key).join(usual.withColumnRenamed("value", "name"), "name", "left")
+    return joined.withColumn("kind", F.coalesce("usual", "kind")).drop("usual", "name")
 
 
 def normalized(kind: str, text: str) -> str:
@@ -254,25 +283,26 @@ def _draw(values: DataFrame, key: bytes) -> DataFrame:
 
 
 def surrogate_table(values: DataFrame, key: bytes) -> DataFrame:
-    """One surrogate per distinct (kind, value), no two alike within a kind, and
-    none equal to a value. Values that lose a collision draw again; the least
-    value of a collision keeps its draw."""
+    """One surrogate per distinct (kind, value), no two alike, and none equal to a
+    value of any kind. Values that lose a collision draw again; the least value of
+    a collision keeps its draw. Draws grow longer with the attempts where the form
+    allows it, and addresses, cards and accounts have billions of forms, so the
+    rounds end by themselves."""
     values = written(values.select("kind", "value").distinct(), "values")
-    real = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
+    real = values.select(F.col("value").alias("surrogate"), F.lit(True).alias("real")).distinct()
     table = written(_draw(values.withColumn("attempt", F.lit(0)), key), "drawn")
-    for _ in range(ROUNDS):
+    while True:
         # attempts are only ever raised for losers, so settled draws stay
-        first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n"))
-        taken = first.join(real, ["kind", "surrogate"], "left").where((F.col("n") > 1) | F.col("real")).select(
-            "kind", "surrogate", "real", F.col("first.value").alias("winner"))
-        judged = table.join(taken, ["kind", "surrogate"], "left")
-        loses = F.col("winner").isNotNull() & (F.coalesce(F.col("real"), F.lit(False)) | (F.col("winner") != F.col("value")))
+        first = table.groupBy("surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"), F.count("*").alias("n"))
+        taken = first.join(real, "surrogate", "left").where((F.col("n") > 1) | F.col("real")).select(
+            "surrogate", "real", F.struct("first.kind", "first.value").alias("winner"))
+        judged = table.join(taken, "surrogate", "left")
+        loses = F.col("winner").isNotNull() & (F.coalesce(F.col("real"), F.lit(False)) | (F.col("winner") != F.struct("kind", "value")))
         judged = written(judged.select("kind", "value", "attempt", "surrogate", loses.alias("loses")), "judged")
         if not judged.where("loses").limit(1).count():
             return table.select("kind", "value", "surrogate")
         again = _draw(judged.where("loses").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), key)
         table = written(judged.where("NOT loses").drop("loses").unionByName(again), "drawn")
-    raise RuntimeError("surrogates still collide")
 
 
 def replace_entities(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +325,7 @@ def replace_entities(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", tex
 
     hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, text string, found {found}")
     hits = written(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
-    mentions = hits.select("row", F.posexplode("found").alias("nth", "e")).select("row", "nth", "e.kind", "e.value")
+    mentions = one_kind_per_name(hits.select("row", F.posexplode("found").alias("nth", "e")).select("row", "nth", "e.kind", "e.value"))
     table = surrogate_table(mentions, key)
     chosen = mentions.join(table, ["kind", "value"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("nth", "surrogate"))).alias("chosen"))
     joined = hits.join(chosen, "row").select("id", "text", "found", F.col("chosen.surrogate").alias("surrogates"))

@@ -278,3 +278,28 @@ def test_digest_of_edited_text(spark):
     docs = {x["doc_id"]: x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     t, nxt = docs[0], docs[max(docs)]
     assert r["edited_sha256"] == sha256((t[:len(t) - len(t) // 2] + nxt[:len(t) // 2]).encode()).hexdigest()
+
+
+def test_a_found_name_is_one_person_everywhere(spark):
+    """Titles do not split a person, and no mention of a found name stays."""
+    texts = ["Dr Anna Kowalski met Anna Kowalski", "Prof John Smith saw John Smith", "Mrs Maria Lopez called Maria Lopez.",
+             "Mary went home. Mrs Mary Jones rang.", "Dr Zhang spoke. Mr Wei Zhang, Dr Wei Zhang and Wei left; Zhangs stay."]
+    rows = {r["doc_id"]: r for r in replace_entities(table(spark, list(enumerate(texts))), b"k").collect()}
+    assert len(rows) == len(texts)
+    drawn = {}
+    for k, text in enumerate(texts):
+        for s in rows[k]["spans"]:
+            drawn.setdefault(text[s["start"]:s["end"]], set()).add(s["surrogate"])
+        left = [w for w in drawn if re.search(r"\b" + w + r"\b", rows[k]["text"])]
+        assert not left, (left, rows[k]["text"])
+    assert all(len(x) == 1 for x in drawn.values())
+    assert drawn.keys() >= {"Anna", "Kowalski", "John", "Smith", "Maria", "Lopez", "Mary", "Jones", "Wei", "Zhang"}
+    assert len({x for v in drawn.values() for x in v}) == len(drawn) and "Zhangs" in rows[4]["text"]
+
+
+def test_surrogates_differ_over_all_kinds(spark):
+    values = [("name_m_LATIN", f"name{k}") for k in range(300)] + [("name_s_LATIN", f"name{k}") for k in range(300)]
+    values += [("ssn", f"{k:09d}") for k in range(200)] + [("phone", f"{k:09d}") for k in range(200)]
+    rows = surrogate_table(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert len(rows) == len(values) and len({r["surrogate"] for r in rows}) == len(values)
+    assert not {r["surrogate"] for r in rows} & {v for _, v in values}

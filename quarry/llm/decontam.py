@@ -6,27 +6,33 @@
    loses nothing that step 4 would accept.
 2. Windows: every anchor places an item-sized window of words; its fingerprint
    is a 64-bit SimHash of its words, as is the item's.
-3. Pairs: a window goes on with the items whose anchor placed it, however far
-   the fingerprints are apart (a quarter of the words gone takes 20 bits or
-   more). Multi-index, for the other items: a fingerprint is cut into
-   ``RADIUS + 1`` blocks; fingerprints within the radius agree on one block at
-   least, so an equi-join on (block, bits) returns all of them.
+3. Pairs: a multi-index returns every item of the window's size whose
+   fingerprint is within ``RADIUS``. A fingerprint is cut into ``BLOCKS`` blocks;
+   within the radius one block at least differs in ``PROBE`` bits or fewer, so the
+   items are listed under all such values of each block and an equi-join on
+   (size, block, bits) finds them. Only these pairs go on.
 4. Verification: the window must hold ``SIMILARITY`` of the item's 5-word
    shingle weight (a shingle weighs 1 / number of items that have it).
 
+The radius is what a quarter of the words replaced can take (README has the
+measured miss rate). Fingerprints count words alike, weights do not: a window
+that holds three quarters of the weight in a small part of the words can lie
+outside the radius.
+
 Words: runs of letters, digits and non-ASCII characters, lower-cased.
 
 Cases: null and empty texts match nothing; items without words match nothing;
 an item with fewer than five words is one shingle; repeated items and rows are
 reported each for itself; a document without id is reported with a null id;
 texts may be of any length; empty tables give an empty result; other columns
-are ignored. A benchmark of any size works: anchors are tested in slices of
-``SLICE`` literals, one pass over the texts for each slice.
+are ignored. For a benchmark of any size the texts are read twice: once for the
+anchors, once (those with an anchor) for the windows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +42,10 @@ from .license_scan import words_text
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS = 11
-SLICE = 50_000
+BLOCKS = 8
+PROBE = 2
+RADIUS = BLOCKS * (PROBE + 1) - 1      # 23: more would need PROBE + 1 bits in every block
+ANCHORS_SENT = 8_000_000               # anchor places (24 bytes each) sent to every executor; beyond, the planner's join
 
 
 def words_of(text: Column) -> Column:
@@ -72,12 +80,38 @@ def simhash(words: str) -> Column:
                        F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
+def _block(fingerprint: Column, k: Column) -> Column:
+    width = 64 // BLOCKS
+    return F.call_function("shiftrightunsigned", fingerprint, k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
 def blocks(fingerprint: str) -> Column:
-    """(block number, bits) keys; the blocks cover the 64 bits once."""
-    n = RADIUS + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col(fingerprint), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"))
-                     for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+    """(block number, bits); the blocks cover the 64 bits once."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)),
+                       lambda k: F.struct(k.alias("block"), _block(F.col(fingerprint), k).alias("bits")))
+
+
+def probes(fingerprint: str) -> Column:
+    """(block number, bits) of all values that differ from a block in ``PROBE`` bits at most."""
+    width = 64 // BLOCKS
+    masks = [sum(1 << b for b in some) for n in range(PROBE + 1) for some in combinations(range(width), n)]
+    return F.flatten(F.transform(blocks(fingerprint), lambda b: F.transform(
+        F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(b["block"].alias("block"), b["bits"].bitwiseXOR(m).alias("bits")))))
+
+
+def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(k, id, start, span, item_key, distance): every window with every item of
+    its size whose fingerprint is within ``RADIUS``, each pair once."""
+    keyed = windows.select("k", "id", "start", "span", F.col("fingerprint").alias("fw"), F.explode(blocks("fingerprint")).alias("b")).select(
+        "k", "id", "start", "span", "fw", "b.block", "b.bits")
+    listed = items.select("item_key", F.col("n_words").alias("span"), F.col("fingerprint").alias("fi"),
+                          F.explode(probes("fingerprint")).alias("b")).select("item_key", "span", "fi", "b.block", "b.bits")
+    apart = F.col("fw").bitwiseXOR(F.col("fi"))
+    near = F.transform(blocks("apart"), lambda b: F.bit_count(b["bits"]) <= PROBE)
+    return (keyed.join(listed, ["span", "block", "bits"]).withColumn("apart", apart)
+            .withColumn("distance", F.bit_count("apart")).where(F.col("distance") <= RADIUS)
+            .where(F.array_position(near, F.lit(True)) == F.col("block") + 1)       # at the first block that finds it
+            .select("k", "id", "start", "span", "item_key", "distance"))
 
 
 def prepared_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,48 +145,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """(doc_id, item_id) pairs with ``start_word`` (of the best window),
     ``distance`` (Hamming) and ``similarity`` (share of the item's weight)."""
     items = prepared_items(benchmark, item_id, item_text)
-    anchors = items.select("item_key", "n_words", F.explode("anchors").alias("a")).select("item_key", "n_words", "a.pos", "a.h")
-    known = anchors.select("h").distinct()
+    anchors = written(items.select(F.col("n_words").alias("span"), F.explode("anchors").alias("a"))
+                      .select("span", F.col("a.pos").alias("offset"), "a.h").distinct(), "anchors")
+    if anchors.count() <= ANCHORS_SENT:
+        anchors = F.broadcast(anchors)
     sizes = tuple(sorted(r[0] for r in items.select(F.least("n_words", F.lit(SHINGLE))).distinct().collect())) or (SHINGLE,)
-    slices = max(1, -(-known.count() // SLICE))
-    anchor_rows = anchors.select(F.col("h").alias("anchor"), "item_key", F.col("n_words").alias("span"), F.col("pos").alias("offset"))
-    found = []
-    for k in range(slices):
-        own = [r["h"] for r in known.where(F.pmod("h", F.lit(slices)) == k).collect()]      # about SLICE longs
-        if not own:
-            continue
-        rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-        hits = F.filter(shingles("words", sizes), lambda s: s["h"].isin(own))
-        # the row number also keeps the optimizer from computing the hits twice
-        rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "words", hits.alias("hits"))
-        rows = rows.select("row", "id", "words", F.explode("hits").alias("hit")).select("row", "id", "words", "hit.pos", "hit.h")
-        near = rows.join(anchor_rows, rows["h"] == anchor_rows["anchor"])
-        start = F.col("pos") - F.col("offset")
-        found.append(near.select("row", "id", "item_key", start.alias("start"), F.slice(
-            "words", F.greatest(start, F.lit(0)) + 1, F.least(start + F.col("span"), F.size("words")) - F.greatest(start, F.lit(0))).alias("window")))
-    if not found:
-        found = [docs.limit(0).select(F.lit(0).cast("long").alias("row"), F.col(id_col).alias("id"), F.lit(0).cast("long").alias("item_key"),
-                                      F.lit(0).alias("start"), F.array().cast("array<string>").alias("window"))]
-    windows = reduce(DataFrame.unionByName, found).groupBy("row", "start", F.size("window").alias("span")).agg(
-        F.first("id").alias("id"), F.first("window").alias("window"), F.collect_set("item_key").alias("placed_by"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("k"))           # rows of one (k, id) are copies
+    # outer: an inner explode would have its shingles computed once more as a filter
+    held = rows.select("k", words_of(F.col("text")).alias("words")).select("k", shingles("words", sizes).alias("s"))
+    held = held.select("k", F.explode_outer("s").alias("s")).select("k", "s.pos", "s.h")
+    places = written(held.join(anchors, "h").select("k", "span", (F.col("pos") - F.col("offset")).alias("start")).distinct(), "places")
+    texts = rows.join(places.select("k").distinct(), "k", "left_semi").groupBy("k", "id").agg(
+        F.first("text").alias("text"), F.count("*").alias("copies"))
+    start = F.greatest(F.col("start"), F.lit(0))
+    windows = texts.select("k", "id", "copies", words_of(F.col("text")).alias("words")).join(places, "k").select(
+        "k", "id", "copies", "start", "span",
+        F.slice("words", start + 1, F.least(F.col("start") + F.col("span"), F.size("words")) - start).alias("window"))
     windows = written(windows.withColumn("fingerprint", simhash("window")), "windows")
-    keyed = windows.select("row", "start", "span", F.col("fingerprint").alias("fw"), F.explode(blocks("fingerprint")).alias("b")).select(
-        "row", "start", "span", "fw", "b.block", "b.bits")
-    item_keys = items.select("item_key", F.col("fingerprint").alias("fi"), F.explode(blocks("fingerprint")).alias("b")).select(
-        "item_key", "fi", "b.block", "b.bits")
-    distance = F.bit_count(F.col("fw").bitwiseXOR(F.col("fi")))
-    near = keyed.join(item_keys, ["block", "bits"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-    own_items = windows.select("row", "start", "span", F.col("fingerprint").alias("fw"), F.explode("placed_by").alias("item_key"))
-    placed = own_items.join(items.select("item_key", F.col("fingerprint").alias("fi")), "item_key").withColumn("distance", distance)
-    columns = ("row", "start", "span", "item_key", "distance")
-    pairs = near.select(*columns).unionByName(placed.select(*columns)).distinct()
-    full = pairs.join(windows.select("row", "start", "span", "id", "window"), ["row", "start", "span"]).join(
+    pairs = within_radius(windows, items)
+    full = pairs.join(windows.withColumnRenamed("id", "own_id"), ["k", "start", "span"]).where(F.col("id").eqNullSafe(F.col("own_id"))).join(
         items.select("item", "item_key", "weighted", "total"), "item_key")
     own = F.transform(shingles("window", sizes), lambda s: s["h"])
     full = full.withColumn("own", own)
     held = F.aggregate("weighted", F.lit(0.0), lambda a, x: a + F.when(F.array_contains("own", x["h"]), x["w"]).otherwise(F.lit(0.0)))
     full = full.withColumn("similarity", held / F.col("total")).where(F.col("similarity") >= SIMILARITY - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("distance")).alias("near"), (-F.col("start")).alias("first")))
-    out = full.groupBy("row", "id", "item_key", "item").agg(best.alias("best"))
+    out = full.groupBy("k", "id", "item_key", "item").agg(best.alias("best"), F.max("copies").alias("copies"))
+    out = out.select("id", "item", "best", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), (-F.col("best.first")).alias("start_word"),
                       (-F.col("best.near")).alias("distance"), F.col("best.similarity").alias("similarity"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import quarry.llm.license_scan as scan
 from helpers import awkward, table
+from quarry.llm import decontam
 from quarry.llm.decontam import leaks
 from quarry.llm.fingerprints import Tree, differing, fingerprint, fingerprint_documents, likeness
 from quarry.llm.language_id import UND, held_out, identify, train
@@ -175,7 +176,7 @@ def test_leaks_equal_brute_force(spark):
     got = {(x["doc_id"], x["item_id"]) for x in leaks(
         table(spark, docs), spark.createDataFrame([(k, t, "z") for k, t in items], "item_id bigint, text string, words string")).collect()}
     want = brute_leaks(docs, items)
-    assert got <= want and len(want - got) <= 1          # a changed word may pass the Hamming radius
+    assert got == want
     verbatim = {p for p in want if p[0] % 4 == 1 or p[0] >= 100}
     assert verbatim <= got and (100, 50) in got
 
@@ -210,7 +211,31 @@ def test_leaks_far_from_the_item(spark):
     assert want <= brute_leaks(docs, items)
     got = leaks(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(x["doc_id"], x["item_id"]) for x in got} == want
-    assert max(x["distance"] for x in got) > 11
+    assert 11 < max(x["distance"] for x in got) <= decontam.RADIUS
+
+
+def test_hamming_blocks_return_all_within_the_radius(spark):
+    r = random.Random(3)
+    prints = [r.getrandbits(64) - (1 << 63) for _ in range(40)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flip = lambda f, n: (f & (1 << 64) - 1) ^ sum(1 << b for b in r.sample(range(64), n))
+    windows = [(k, k, 0, 10 + k % 2, signed(flip(prints[k % 40], r.choice([0, 3, 22, 23, 24, 30])))) for k in range(400)]
+    items = [(i, 10 + i % 2, f) for i, f in enumerate(prints)]
+    got = sorted((x["k"], x["item_key"], x["distance"]) for x in decontam.within_radius(
+        spark.createDataFrame(windows, "k long, id long, start int, span int, fingerprint long"),
+        spark.createDataFrame(items, "item_key long, n_words int, fingerprint long")).collect())
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert got == sorted((k, i, apart(f, g)) for k, _, _, n, f in windows for i, m, g in items if n == m and apart(f, g) <= decontam.RADIUS)
+
+
+def test_pairs_come_from_the_blocks(spark, monkeypatch):
+    r = random.Random(9)
+    items = [(k, " ".join(f"i{k}w{r.randrange(90)}" for _ in range(40))) for k in range(20)]
+    docs = edited_leaks(items, r)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    all_of = {(x["doc_id"], x["item_id"]): x["distance"] for x in leaks(table(spark, docs), bench).collect()}
+    monkeypatch.setattr(decontam, "RADIUS", 8)
+    assert {(x["doc_id"], x["item_id"]) for x in leaks(table(spark, docs), bench).collect()} == {p for p, d in all_of.items() if d <= 8}
 
 
 def test_leak_cases(spark):

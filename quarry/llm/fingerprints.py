@@ -9,9 +9,12 @@ a paragraph. The fingerprint string holds the whole tree:
 
     root '|' section '/' section ...      section = digest ':' paragraph '.' ...
 
-Equal roots mean equal texts. ``differing`` descends only into branches whose
-digests differ and names the edited paragraphs; ``likeness`` is the Dice share
-of common pieces (1 for equal roots).
+Equal roots mean equal texts. ``differing`` and ``likeness`` take two such strings
+and descend only into branches whose digests differ: a section whose digest both
+have is common as a whole, so is a paragraph of the rest, and only paragraphs that
+differ are compared piece by piece. ``differing`` names the edited paragraphs;
+``likeness`` is the Dice share of common pieces (1 for equal roots). Two
+fingerprints take about a fifth of a text's size each.
 
 Cases: null and empty texts are one empty paragraph; texts may be of any
 length; rows without an id have no place in the order: they follow nobody and
@@ -23,7 +26,7 @@ empty result; other columns are ignored, so names cannot clash.
 from __future__ import annotations
 
 import re
-from base64 import urlsafe_b64encode
+from base64 import urlsafe_b64decode, urlsafe_b64encode
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -45,43 +48,83 @@ DIGEST = 6             # bytes of a paragraph digest that the string shows
 
 
 class Tree:
-    """Digests of one text. ``sections``: (digest, paragraph digests)."""
+    """Digests of one text; ``text`` is the fingerprint string."""
 
-    __slots__ = ("root", "sections", "pieces", "text")
+    __slots__ = ("root", "text")
 
     def __init__(self, text: str):
-        self.sections, self.pieces, shown = [], [], []
+        shown, digests = [], []
         held, words = [], []
         for paragraph in text.encode().split(b"\n"):
             digest = sha256(b"p" + paragraph).digest()
             sums = list(map(crc32, (PIECE if len(paragraph) >= SHORT else SHORT_PIECE).findall(paragraph)))
-            self.pieces.append(sums)
             held.append(digest)
             words.append(urlsafe_b64encode(digest[:DIGEST] + np.array(sums, ">u4").tobytes()).decode().rstrip("="))
             if not paragraph or digest[-1] % SECTION_CLASS == 0:
-                self._close(held, words, shown)
+                digests.append(self._close(held, words, shown))
                 held, words = [], []
         if held:
-            self._close(held, words, shown)
-        self.root = sha256(b"r" + b"".join(d for d, _ in self.sections)).hexdigest()
+            digests.append(self._close(held, words, shown))
+        self.root = sha256(b"r" + b"".join(digests)).hexdigest()
         self.text = f"{self.root}|{'/'.join(shown)}"
 
-    def _close(self, held: list[bytes], words: list[str], shown: list[str]) -> None:
+    @staticmethod
+    def _close(held: list[bytes], words: list[str], shown: list[str]) -> bytes:
         digest = sha256(b"s" + b"".join(held)).digest()
-        self.sections.append((digest, held))
         shown.append(f"{urlsafe_b64encode(digest[:DIGEST]).decode()}:{'.'.join(words)}")
+        return digest
 
 
 def fingerprint(text: str | None) -> str:
     return Tree(text or "").text
 
 
-def likeness(a: Tree, b: Tree) -> float:
-    if a.root == b.root:
+def _sections(tree: str) -> Counter:
+    """Sections of a fingerprint's tree part, each with its digest, and how often they occur."""
+    return Counter(tree.split("/"))
+
+
+def _paragraphs(sections: Counter) -> Counter:
+    out = Counter()
+    for section, times in sections.items():
+        for paragraph in section.split(":", 1)[1].split("."):
+            out[paragraph] += times
+    return out
+
+
+def _n_pieces(paragraph: str) -> int:
+    """Pieces of a paragraph, by the length of its base64 text alone."""
+    return (len(paragraph) * 3 // 4 - DIGEST) // 4
+
+
+def _pieces(paragraphs: Counter) -> Counter:
+    out = Counter()
+    for paragraph, times in paragraphs.items():
+        raw = urlsafe_b64decode(paragraph + "=" * (-len(paragraph) % 4))[DIGEST:]
+        for k in range(0, len(raw), 4):
+            out[raw[k:k + 4]] += times
+    return out
+
+
+def _size(paragraphs: Counter) -> int:
+    return sum(times * _n_pieces(p) for p, times in paragraphs.items())
+
+
+def likeness(a: str, b: str) -> float:
+    """Dice share of the pieces of two fingerprint strings, by descent: what is
+    common on a level leaves both sides and is counted by its size."""
+    (root_a, tree_a), (root_b, tree_b) = (x.split("|", 1) for x in (a, b))
+    if root_a == root_b:
         return 1.0
-    x, y = (Counter(chain.from_iterable(t.pieces)) for t in (a, b))
-    total = x.total() + y.total()
-    return 2.0 * (x & y).total() / total if total else 0.0
+    x, y = _sections(tree_a), _sections(tree_b)
+    same = x & y
+    common = _size(_paragraphs(same))
+    x, y = _paragraphs(x - same), _paragraphs(y - same)
+    total = 2 * common + _size(x) + _size(y)
+    same = x & y
+    common += _size(same)
+    common += (_pieces(x - same) & _pieces(y - same)).total()
+    return 2.0 * common / total if total else 0.0
 
 
 def differing(a: str, b: str) -> list[int]:
@@ -115,7 +158,7 @@ def _bucket(col: Column, splits: list, low: int, high: int) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
-    """Rows (bucket, helper, id, text) hashed by bucket and sorted so that each
+    """Rows (bucket, helper, id, text), one bucket a partition, sorted so that each
     document is followed by the next one in descending id order.
 
     The texts move once. Buckets are id ranges cut at quantiles; the top row of
@@ -137,8 +180,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int | Non
         F.struct(F.col("helps").alias("bucket"), F.lit(True).alias("helper"))), lambda s: s["bucket"].isNotNull())).alias("to"))
     # rows without id need no neighbour and can lie anywhere
     lane = F.when(F.col("to.bucket") < 0, -1 - F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).otherwise(F.col("to.bucket"))
+    place = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
     return (spread.select(lane.alias("bucket"), F.col("to.helper").alias("helper"), "id", "text")
-            .repartition(n, "bucket").sortWithinPartitions("bucket", "helper", F.col("id").desc(), "text"))
+            .repartitionById(n, place).sortWithinPartitions("bucket", "helper", F.col("id").desc(), "text"))
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,5 +220,5 @@ def _row(doc, text: str, tree: Tree, next_text: str, next_tree: Tree | None) ->
     n = len(text)
     edited = text[:n - n // 2] + next_text[:n // 2]
     edited_tree = Tree(edited)
-    return (doc, n, edited, tree.text, edited_tree.text, likeness(tree, edited_tree),
-            likeness(tree, next_tree) if next_tree else 0.0)
+    return (doc, n, edited, tree.text, edited_tree.text, likeness(tree.text, edited_tree.text),
+            likeness(tree.text, next_tree.text) if next_tree else 0.0)

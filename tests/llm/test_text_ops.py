@@ -1,14 +1,16 @@
 import random
 import re
+from collections import Counter
 from hashlib import sha256
+from zlib import crc32
 
 from pyspark.sql import functions as F
 
 import quarry.llm.license_scan as scan
 from helpers import awkward, table
-from quarry.llm import decontam
+from quarry.llm import decontam, fingerprints
 from quarry.llm.decontam import leaks
-from quarry.llm.fingerprints import Tree, differing, fingerprint, fingerprint_documents, likeness
+from quarry.llm.fingerprints import PIECE, SHORT, SHORT_PIECE, differing, fingerprint, fingerprint_documents, likeness, with_next
 from quarry.llm.language_id import UND, held_out, identify, train
 from quarry.llm.license_scan import BASE, license_scan, rules
 from quarry.llm.pii import Drawer, detect, iban_ok, luhn, replace_entities, surrogate_table
@@ -119,7 +121,34 @@ def test_fingerprints_equal_brute_force(spark):
         edited = t[:len(t) - len(t) // 2] + nxt[:len(t) // 2]
         x = got[i * 3]
         assert (x["n_chars"], x["edited"], x["fingerprint"], x["edited_fingerprint"]) == (len(t), edited, fingerprint(t), fingerprint(edited))
-        assert x["near_next"] == likeness(Tree(t), Tree(nxt)) and x["near_edited"] == likeness(Tree(t), Tree(edited))
+        assert x["near_next"] == bag_likeness(t, nxt) and x["near_edited"] == bag_likeness(t, edited)
+
+
+def bag_likeness(a, b):
+    """Dice share of the pieces of two whole texts, without a tree."""
+    if a == b:
+        return 1.0
+    x, y = (Counter(crc32(s) for p in t.encode().split(b"\n") for s in (PIECE if len(p) >= SHORT else SHORT_PIECE).findall(p)) for t in (a, b))
+    total = x.total() + y.total()
+    return 2.0 * (x & y).total() / total if total else 0.0
+
+
+def test_likeness_descends_into_differing_branches_only(monkeypatch):
+    r = random.Random(8)
+    lines = [" ".join(r.choice(["one", "two", "three", "four"]) + str(r.randrange(50)) for _ in range(30)) for _ in range(400)]
+    other = lines[:200] + [lines[200].replace("one", "uno")] + lines[201:390] + lines[5:9]
+    a, b = fingerprint("\n".join(lines)), fingerprint("\n".join(other))
+    read = []
+    pieces = fingerprints._pieces
+    monkeypatch.setattr(fingerprints, "_pieces", lambda c: read.append(c.total()) or pieces(c))
+    assert likeness(a, b) == likeness(b, a) == bag_likeness("\n".join(lines), "\n".join(other)) < 1
+    assert max(read) < 60 and likeness(a, a) == 1.0 and len(read) == 4                  # of 400 paragraphs
+
+
+def test_one_id_range_a_partition(spark):
+    docs = table(spark, [(k, f"text {k}") for k in range(500)] + [(None, f"none {k}") for k in range(20)])
+    placed = with_next(docs, "doc_id", "text", 6).where("bucket >= 0").select(F.spark_partition_id().alias("p"), "bucket").distinct().collect()
+    assert len({x["p"] for x in placed}) == len(placed) == len({x["bucket"] for x in placed}) == 6
 
 
 def test_tree_locates_edits():
@@ -127,7 +156,7 @@ def test_tree_locates_edits():
     other = lines[:20] + ["this one is new"] + lines[21:]
     a, b = fingerprint("\n".join(lines)), fingerprint("\n".join(other))
     assert differing(a, b) == [20] and differing(a, a) == [] and a.split("|")[0] != b.split("|")[0]
-    assert likeness(Tree("\n".join(lines)), Tree("\n".join(other))) > 0.9
+    assert likeness(a, b) > 0.9
 
 
 def test_fingerprint_cases(spark):

@@ -4,8 +4,8 @@ H01 row map: a per-example function adding columns; H02 batched map with
 column replacement: a function over a pandas batch (dict of columns) whose
 output replaces the input columns. Both run as ``mapInPandas`` (Arrow
 batches, one Python worker per task); built-in column expressions should be
-preferred whenever they can say the same thing. H03 metric plug-ins are
-plain ``DataFrame → one-row DataFrame`` functions (``scoring.metric_row``).
+preferred whenever they can say the same thing. H03 metric plug-ins are in
+``operators/metrics.py``.
 """
 
 from __future__ import annotations

@@ -122,6 +122,14 @@ def content_pair(input_str: Column, structure: Column, content: Column) -> tuple
     return F.concat(F.lit(PROMPT), structure, F.lit(" | "), input_str), content
 
 
+def with_predicted_structure(examples: DataFrame, predictions: DataFrame) -> DataFrame:
+    """C10 in evaluation: ``used`` is the structure predicted for the example
+    (``predictions``: ex_id, predicted; one row an example), the gold
+    ``structure`` where none was predicted; ``from_prediction`` tells which."""
+    j = examples.join(predictions, "ex_id", "left")
+    return j.withColumns({"used": F.coalesce("predicted", "structure"), "from_prediction": F.col("predicted").isNotNull()}).drop("predicted")
+
+
 def parse_back(text: Column) -> tuple[Column, Column]:
     """C11: (structure before ' | question:', db between '| database: ' and '. table: ')."""
     st = F.trim(F.regexp_extract(F.replace(text, F.lit(PROMPT), F.lit("")), r"^(.*?) \| question:", 1))

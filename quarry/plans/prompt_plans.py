@@ -141,6 +141,28 @@ def c09(spark, sf_dir):
                     ct.alias("content_target"))
 
 
+_SIDES_SQL = """sides AS (SELECT q.ex_id * 2 AS qid, p.gold AS sql FROM questions q JOIN pairs p ON q.ex_id = p.query_id
+  UNION ALL SELECT q.ex_id * 2 + 1, p.pred FROM questions q JOIN pairs p ON q.ex_id = p.query_id WHERE q.ex_id % 11 <> 0)"""
+
+
+@register("c10_predicted_content", T.with_views(f"""WITH {_SIDES_SQL}, {decompose_sql('sides', 'sql', 'qid')}, {_schema_sql('verbose')}
+SELECT q.ex_id, dp.structure IS NOT NULL AS from_prediction,
+  '{P.PROMPT}' || coalesce(dp.structure, dg.structure) || ' | ' || '{P.SOURCE_PREFIX}' || trim(q.question) || ' | ' || trim(s.serialized_schema) AS content_input,
+  dg.content AS content_target
+FROM questions q JOIN dec dg ON dg.query_id = q.ex_id * 2 LEFT JOIN dec dp ON dp.query_id = q.ex_id * 2 + 1
+JOIN sch s ON s.ex_id = q.ex_id""", "questions", "pairs"), ops="C10")
+def c10(spark, sf_dir):
+    """The content stage on predicted structures; every eleventh example has no prediction and keeps the gold one."""
+    both = T.questions(spark, sf_dir).join(T.pairs(spark, sf_dir), F.col("ex_id") == F.col("query_id")).select("ex_id", "question", "gold", "pred")
+    sides = both.select("ex_id", F.posexplode(F.array("gold", "pred")).alias("side", "sql")).where("side = 0 OR ex_id % 11 <> 0")
+    d = _dec(spark, sf_dir, sides.select((F.col("ex_id") * 2 + F.col("side")).alias("qid"), "sql"), "sql", "qid")
+    said = d.where("query_id % 2 = 1").select(F.expr("query_id div 2").alias("ex_id"), F.col("structure").alias("predicted"))
+    gold = d.where("query_id % 2 = 0").select(F.expr("query_id div 2").alias("ex_id"), "structure", "content")
+    ex = both.select("ex_id", "question").join(gold, "ex_id").join(_schema(spark, sf_dir, "verbose"), "ex_id")
+    ci, ct = P.content_pair(P.model_input(F.col("question"), F.col("serialized_schema")), F.col("used"), F.col("content"))
+    return P.with_predicted_structure(ex, said).select("ex_id", "from_prediction", ci.alias("content_input"), ct.alias("content_target"))
+
+
 @register("c11_parse_back", T.with_views(f"""WITH {_EX_SQL}, {decompose_sql('examples', 'gold', 'ex_id')}, {_schema_sql('verbose')},
 ci AS (SELECT e.ex_id, '{P.PROMPT}' || d.structure || ' | ' || '{P.SOURCE_PREFIX}' || trim(e.question) || ' | ' || trim(s.serialized_schema) AS t
        FROM examples e JOIN dec d ON d.query_id = e.ex_id JOIN sch s ON s.ex_id = e.ex_id)

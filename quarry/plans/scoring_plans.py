@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators import metrics as M
 from ..operators import querylog as Q
 from ..operators import scoring as S
 from ..sources import corpus as A
@@ -97,3 +98,14 @@ SELECT round(avg(exact), 6) AS exact_match, count(*) AS n_pairs FROM report""",
 def e46(spark, sf_dir):
     comp, rep = _scored(spark, sf_dir)
     return S.metric_row(rep, mode="exact_match")
+
+
+@register("h03_user_metric", T.with_views("""
+WITH w AS (SELECT query_id % 7 AS variant, list_filter(list_distinct(string_split(gold, ' ')), lambda x: x <> '') AS g,
+  list_filter(list_distinct(string_split(pred, ' ')), lambda x: x <> '') AS p FROM pairs),
+s AS (SELECT variant, count(*) AS n, sum(len(g)) AS ng, sum(len(p)) AS np, sum(len(list_intersect(g, p))) AS nb FROM w GROUP BY variant)
+SELECT variant, n AS n_pairs, round(nb / np, 6) AS word_precision, round(nb / ng, 6) AS word_recall FROM s""", "pairs"), ops="H03")
+def h03(spark, sf_dir):
+    """A metric registered by name, folded per task and merged per variant."""
+    p = T.pairs(spark, sf_dir).withColumn("variant", F.col("query_id") % 7).select("variant", "gold", "pred")
+    return M.run_metric(p, "word_overlap", by=("variant",))

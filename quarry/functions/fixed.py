@@ -42,3 +42,7 @@ COMMON_DB_TERMS = ("id",)
 SPAN_SEPARATORS = "'\"()`,.?! "
 MATCH_THRESHOLD = 0.85
 TOP_K_MATCHES = 2
+
+# Spellings of a slot that make a content text malformed.
+MALFORMED_SLOTS = ("[table]", "[Col", "[value]", "[col)")
+MALFORMED_START = "[col "

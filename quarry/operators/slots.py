@@ -14,9 +14,13 @@ a map-only stage, no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.fixed import MALFORMED_SLOTS, MALFORMED_START
 from . import querylog as Q
 
 # Keyword groups of the structure serializer.
@@ -132,7 +136,7 @@ def slot_order_ok(structure: Column, content: Column) -> Column:
     ck = F.regexp_extract_all(content, F.lit(SLOT_RE), 1)
     n_open = F.length(content) - F.length(F.replace(content, F.lit("["), F.lit("")))
     n_close = F.length(content) - F.length(F.replace(content, F.lit("]"), F.lit("")))
-    malformed = content.rlike(r"\[table\]|\[Col|\[value\]|\[col\)") | content.startswith("[col ")
+    malformed = reduce(or_, [content.contains(x) for x in MALFORMED_SLOTS]) | content.startswith(MALFORMED_START)
     return (F.slice(sk, 1, F.size(ck)) == ck) & (n_open == n_close) & (F.size(ck) == n_open) & ~malformed
 
 

@@ -17,6 +17,8 @@ aggregates keyed by ``query_id`` reuse.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -106,13 +108,52 @@ def segment(df: DataFrame, text_col: str, id_col: str = "query_id") -> DataFrame
     return token_rows(df, token_array(F.col(text_col)), id_col)
 
 
+def _shown(seg: DataFrame, tok: str = "tok") -> str:
+    """The column to write a token from: its mark in ``segment_facts``."""
+    return f"shown_{tok}" if f"shown_{tok}" in seg.columns else tok
+
+
+def segment_facts(df: DataFrame, text_col: str, facts: Callable[[DataFrame], DataFrame], with_marks: tuple[str, ...] = (),
+                  id_col: str = "query_id") -> DataFrame:
+    """``facts`` (query_id, ...) of the E04 rows of a table of texts, found once per
+    distinct shape; the columns ``with_marks`` are written from ``_shown`` tokens and
+    get each distinct text's literals. The texts of a repeated id are one query:
+    their token rows are put together."""
+    again = cut_lineage(df.groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"))
+    single, together = df, None
+    if not again.isEmpty():
+        same = F.col(id_col).eqNullSafe(F.col("again"))
+        single = df.join(again.hint("merge"), same, "left_anti")
+        together = facts(cut_lineage(segment(df.join(again.hint("merge"), same, "left_semi"), text_col, id_col)))
+    texts, shapes = text_shapes(single, text_col)
+    marks = {"shown_tok": marked(F.col("tok"), F.col("pos")), "shown_prv": marked(F.col("prv"), F.col("pos") - 1),
+             "shown_nxt": marked(F.col("nxt"), F.col("pos") + 1)}
+    found = facts(shape_rows(shapes).withColumns(marks))
+    columns = [c for c in found.columns if c != "query_id"]
+    packed = cut_lineage(found.groupBy("query_id").agg(F.collect_list(F.struct(*columns)).alias("rows")))
+    d = texts.join(packed, F.col("query_id") == F.col("text_id")).select("text", "rows")
+    if with_marks:
+        fill = lambda toks: F.transform("rows", lambda r: F.struct(*[
+            (fill_marks(r[c], toks) if c in with_marks else r[c]).alias(c) for c in columns]))
+        d = d.withColumn("rows", let(token_array(F.col("text")), fill))
+    asked = single.select(F.col(id_col).alias("query_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = asked.hint("merge").join(d, "text").select("query_id", F.explode("rows").alias("r")).select("query_id", "r.*")
+    return out if together is None else out.unionByName(together.select(*out.columns))
+
+
+def alias_table(seg: DataFrame) -> DataFrame:
+    """The (alias, table name) pairs of a query."""
+    return seg.filter(F.col("tok") == "as").select("query_id", F.col(_shown(seg, "nxt")).alias("alias"),
+                                                   F.col(_shown(seg, "prv")).alias("table_name")).distinct()
+
+
 def items(seg: DataFrame) -> DataFrame:
     """E05-E13 raw material: one row per clause item, tokens in text order."""
     tok = F.col("tok")
     is_op = F.col("at_top") & tok.isin(*COND_OPERATORS)
     body = seg.filter(~F.col("is_struct") & F.col("clause").isNotNull() & (F.col("sbo") == 0) & (F.col("sbc") == 0))
     return body.groupBy(*ITEM).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col(_shown(seg)).alias("tok")))), lambda x: x["tok"]), " ").alias("text"),
         F.min_by("tok", "pos").alias("first_tok"),
         F.min_by(F.when(is_op, tok), F.when(is_op, F.col("pos"))).alias("op"),
         F.max((F.col("at_top") & (tok == "not")).cast("int")).alias("has_not"),
@@ -242,7 +283,7 @@ def keyword_set(seg: DataFrame) -> DataFrame:
 
 def order_and_limit(seg: DataFrame) -> DataFrame:
     """Per query, the ORDER direction of the top block (the last
-    asc/desc wins, default asc), the limit flag and the true limit number."""
+    asc/desc wins, default asc), the limit flag and the true limit number, as text."""
     top = seg.filter((F.col("sel_depth") == 0) & (F.col("sel_block") == 0) & (F.col("branch") == 0))
     tok = F.col("tok")
     is_dir = (F.col("clause") == "order") & tok.isin("asc", "desc")
@@ -251,10 +292,9 @@ def order_and_limit(seg: DataFrame) -> DataFrame:
         F.max((F.col("kw") == "order").cast("int")).alias("has_order"),
         F.max_by(F.when(is_dir, tok), F.when(is_dir, F.col("pos"))).alias("dir"),
         F.max((F.col("kw") == "limit").cast("int")).alias("has_limit"),
-        F.min_by(F.when(is_lim, tok), F.when(is_lim, F.col("pos"))).alias("lim"))
+        F.min_by(F.when(is_lim, F.col(_shown(seg))), F.when(is_lim, F.col("pos"))).alias("lim"))
     return g.select("query_id", F.when(F.col("has_order") == 1, F.coalesce("dir", F.lit("asc"))).alias("order_dir"),
-                    (F.col("has_limit") == 1).alias("has_limit"),
-                    F.coalesce(F.col("lim").cast("bigint"), F.lit(-1).cast("bigint")).alias("limit_value"))   # -1: no limit
+                    (F.col("has_limit") == 1).alias("has_limit"), F.coalesce("lim", F.lit("-1")).alias("limit_value"))   # -1: no limit
 
 
 def condition_values(seg: DataFrame) -> DataFrame:

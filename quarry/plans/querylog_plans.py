@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import querylog as Q
-from ..session import cut_lineage
 from ..sources import tables as T
 from . import sql_querylog as S
 from .registry import register
@@ -40,7 +39,7 @@ SELECT query_id, CAST(sel_depth AS BIGINT) AS sel_depth, CAST(sel_block AS BIGIN
   CAST(n_agg AS BIGINT) AS n_agg
 FROM items""", "workload"), ops="E04 E05 E07 E10 E11 E12 E13")
 def e04_segments(spark, sf_dir):
-    it = Q.items(cut_lineage(Q.segment(T.workload(spark, sf_dir), "gold")))
+    it = Q.segment_facts(T.workload(spark, sf_dir), "gold", Q.items, ("text",))
     return it.select("query_id", *[F.col(c).cast("bigint").alias(c) for c in ("sel_depth", "sel_block", "branch")],
                      "clause", F.col("item_no").cast("bigint").alias("item_no"), "text", "op",
                      F.col("has_not").cast("bigint").alias("has_not"), F.col("n_agg").cast("bigint").alias("n_agg"))
@@ -71,8 +70,7 @@ def difficulty_mix(spark, sf_dir):
 @register("e03_alias_table", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()}
 SELECT DISTINCT query_id, nxt AS alias, prv AS table_name FROM seg WHERE tok = 'as'""", "workload"), ops="E03")
 def e03_alias_table(spark, sf_dir):
-    seg = cut_lineage(Q.segment(T.workload(spark, sf_dir), "gold"))
-    return seg.filter(F.col("tok") == "as").select("query_id", F.col("nxt").alias("alias"), F.col("prv").alias("table_name")).distinct()
+    return Q.segment_facts(T.workload(spark, sf_dir), "gold", Q.alias_table, ("alias", "table_name")).distinct()
 
 
 @register("e11_e12_order_limit", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()}
@@ -85,7 +83,8 @@ SELECT query_id,
                CASE WHEN clause = 'limit' AND regexp_matches(tok, '^[0-9]+$') THEN pos END) AS BIGINT), -1) AS limit_value
 FROM seg WHERE sel_depth = 0 AND sel_block = 0 AND branch = 0 GROUP BY query_id""", "workload"), ops="E11 E12")
 def e11_e12(spark, sf_dir):
-    return Q.order_and_limit(cut_lineage(Q.segment(T.workload(spark, sf_dir), "gold")))
+    found = Q.segment_facts(T.workload(spark, sf_dir), "gold", Q.order_and_limit, ("limit_value",))
+    return found.withColumn("limit_value", F.col("limit_value").cast("bigint"))
 
 
 @register("e07_e09_condition_values", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()},
@@ -108,7 +107,7 @@ SELECT it.query_id, CAST(it.sel_depth AS BIGINT) AS sel_depth, CAST(it.sel_block
 FROM it LEFT JOIN subs s ON s.query_id = it.query_id AND s.sel_depth = it.sel_depth AND s.sel_block = it.sel_block
   AND s.branch = it.branch AND s.clause = it.clause AND s.item_no = it.item_no""", "workload"), ops="E07 E09 E14")
 def e07_e09(spark, sf_dir):
-    return Q.condition_values(cut_lineage(Q.segment(T.workload(spark, sf_dir), "gold")))
+    return Q.segment_facts(T.workload(spark, sf_dir), "gold", Q.condition_values)
 
 
 @register("e22_keywords", T.with_views(f"""WITH {S.tokens_cte('workload', 'gold')}, {S.segment_ctes()}, {S.items_cte()},
@@ -126,4 +125,4 @@ q AS (SELECT DISTINCT query_id FROM seg)
 SELECT q.query_id, coalesce(string_agg(k.k, ',' ORDER BY k.k), '') AS keywords FROM q LEFT JOIN k ON k.query_id = q.query_id
 GROUP BY q.query_id""", "workload"), ops="E22 E35")
 def e22(spark, sf_dir):
-    return Q.keyword_set(cut_lineage(Q.segment(T.workload(spark, sf_dir), "gold")))
+    return Q.segment_facts(T.workload(spark, sf_dir), "gold", Q.keyword_set)

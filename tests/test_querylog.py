@@ -1,5 +1,6 @@
 """Query-log segmentation and difficulty classes."""
 
+import pytest
 from testdata import SF_MID
 from pyspark.sql import functions as F
 
@@ -51,3 +52,27 @@ def test_alias_renaming_keeps_class(spark):
 def test_odd_quotes(spark):
     df = spark.createDataFrame([("SELECT 'a",), ("SELECT 'a'",)], "s string")
     assert [r[0] for r in df.select(Q.odd_quotes(F.col("s"))).collect()] == [True, False]
+
+
+TEXTS = [(1, "SELECT a AS b FROM t AS x WHERE y = 'Q' AND z > 10 ORDER BY a DESC LIMIT 7"), (2, "SELECT a AS b FROM t AS x WHERE y = 'R' AND z > 20 ORDER BY a DESC LIMIT 9"),
+         (3, "SELECT a FROM t AS 'Lit' WHERE y IN (SELECT z FROM u WHERE k LIKE 'A%') OR n NOT IN (1, 2.5)"), (4, "SELECT a FROM t LIMIT 2.5"), (5, ""), (6, None),
+         (7, "SELECT a FROM t WHERE b = 'x'"), (7, "SELECT c AS d FROM t LIMIT 3"), (8, "SELECT a FROM t WHERE b = 1"), (8, "SELECT a FROM t WHERE b = 1"),
+         (None, "SELECT a FROM t ORDER BY a"), (9, "SELECT a FROM t UNION SELECT b AS c FROM u")]
+FACTS = [(Q.items, ("text",)), (Q.alias_table, ("alias", "table_name")), (Q.order_and_limit, ("limit_value",)), (Q.condition_values, ()), (Q.keyword_set, ())]
+
+
+@pytest.mark.parametrize("facts,with_marks", FACTS)
+def test_facts_of_shapes_are_those_of_the_texts(spark, facts, with_marks):
+    df = spark.createDataFrame(TEXTS, "query_id long, gold string")
+    want = facts(Q.segment(df, "gold"))
+    columns = [c for c in want.columns if c != "first_tok"]         # a literal shows as its shape's
+    rows = lambda x: sorted(map(str, x.select(*columns).collect()))
+    assert rows(Q.segment_facts(df, "gold", facts, with_marks)) == rows(want)
+
+
+def test_texts_of_one_shape_are_segmented_once(spark, monkeypatch):
+    seen, plain = [], Q.token_rows
+    monkeypatch.setattr(Q, "token_rows", lambda df, *a: seen.append(df.count()) or plain(df, *a))
+    df = spark.createDataFrame([(k, f"SELECT a FROM t WHERE b = {k} LIMIT {k}") for k in range(40)], "query_id long, gold string")
+    got = {r.query_id: r.limit_value for r in Q.segment_facts(df, "gold", Q.order_and_limit, ("limit_value",)).collect()}
+    assert seen == [1] and got == {k: str(k) for k in range(40)}

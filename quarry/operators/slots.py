@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import or_
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -41,11 +42,10 @@ KEEP = SQL_CLAUSES + SQL_OPS_SPACE + SQL_OPS_NO_SPACE + SQL_MARKS
 
 def normalize_sql(text: Column) -> Column:
     """Lower-case words not touching a quote, collapse white space, ' , ' → ', '."""
-    pieces = F.regexp_extract_all(text, F.lit(r"\w+|\W+"), 0)
-    low = F.transform(pieces, lambda p, i: F.when(
-        p.rlike(r"^\w") & ~F.coalesce(F.get(pieces, i - 1).rlike("['\"]$"), F.lit(False))
-        & ~F.coalesce(F.get(pieces, i + 1).rlike("^['\"]"), F.lit(False)), F.lower(p)).otherwise(p))
-    s = F.array_join(low, "")
+    # runs of words that may be folded, with what is between them (1), and words at a quote (2); \w is ASCII
+    cut = F.lit(r"""((?:(?<!['"\w])\w++(?!['"])|\W++)++)|(\w+)""")
+    fold = lambda c: F.translate(c, ascii_uppercase, ascii_lowercase)
+    s = F.array_join(F.zip_with(F.regexp_extract_all(text, cut, 1), F.regexp_extract_all(text, cut, 2), lambda a, b: F.concat(fold(a), b)), "")
     s = F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^ | $", "")
     return F.replace(s, F.lit(" , "), F.lit(", "))
 

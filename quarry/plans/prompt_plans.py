@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..operators import linking as D
 from ..operators import prompt as P
+from ..operators import querylog as Q
 from ..operators import slots as L
 from ..sources import tables as T
 from .catalog_plans import CATALOG_SQL
@@ -115,7 +116,8 @@ SELECT query_id, 'star | ' || {_norm_sql('gold')} AS target,
 def c08(spark, sf_dir):
     w = T.workload(spark, sf_dir)
     t = P.target(L.normalize_sql(F.col("gold")), F.lit(T.STAR_DB), True)
-    return w.select("query_id", t.alias("target"), P.strip_db_prefix(t).alias("stripped"))
+    both = Q.let(t, lambda x: F.struct(x.alias("target"), P.strip_db_prefix(x).alias("stripped")))     # normalized once
+    return w.select("query_id", both.alias("b")).select("query_id", "b.target", "b.stripped")
 
 
 _EX_SQL = "examples AS (SELECT q.ex_id, q.question, w.gold FROM questions q JOIN workload w ON q.ex_id = w.query_id)"

@@ -1,5 +1,7 @@
 """Structure / content split and recombination."""
 
+import re
+
 from testdata import SF_SMALL
 from pyspark.sql import functions as F
 
@@ -42,3 +44,20 @@ def test_candidate_filters(spark):
 def test_normalize_keeps_quoted_words(spark):
     df = spark.createDataFrame([('SELECT Name FROM T WHERE c = "New York City" ,  x',)], "s string")
     assert df.select(L.normalize_sql(F.col("s"))).first()[0] == 'select name from t where c = "New york City", x'
+
+
+def test_words_at_a_quote_keep_their_case(spark):
+    texts = ["", "SELECT A, 'Bc D' FROM \"T\" WHERE É = x'Y", "'A' B'C \"D e\"F  G , H ", "ABC", "ÀB c_D'", "a\n\tB'\"C", "X 'É Y' Z1 , q"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def plain(text):
+        pieces = re.findall(r"\w+|\W+", text, re.ASCII)
+        s = "".join(p.lower() if re.match(r"\w", p, re.ASCII) and not (i and pieces[i - 1][-1] in "'\"") and not (
+            i + 1 < len(pieces) and pieces[i + 1][0] in "'\"") else p for i, p in enumerate(pieces))
+        return re.sub(r"^ | $", "", re.sub(r"\s+", " ", s, flags=re.ASCII)).replace(" , ", ", ")
+
+    got = df.select("t", L.normalize_sql(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in got.collect()} == {t: plain(t) for t in texts}
+    # one cut per text and group, not one per word
+    assert "lambdafunction(regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2

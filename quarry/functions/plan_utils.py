@@ -1,4 +1,4 @@
-"""Planning helpers shared by the operators: selection by rank and components."""
+"""Planning helpers shared by the operators: sizes of tasks, selection by rank and components."""
 
 from __future__ import annotations
 
@@ -12,6 +12,13 @@ from ..session import cut_lineage
 SAMPLE = 4_000       # sampled keys a round of the selection brings to the driver, about
 TAIL = 4_000         # keys of the last, exact step
 
+MOST_TASKS = 200     # a shuffle of more parts holds a writing task's rows in memory (spark.shuffle.sort.bypassMergeThreshold)
+
+
+def bounded_tasks(*shares: float) -> int:
+    """How many tasks to deal rows to, by the tasks that their number and their bytes call for."""
+    return min(MOST_TASKS, 1 + int(max(shares)))
+
 
 def _literal(row: Row, fields) -> Column:
     return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])

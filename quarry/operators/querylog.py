@@ -230,18 +230,21 @@ def hardness_class(c1: Column, c2: Column, oth: Column) -> Column:
             .otherwise("extra"))
 
 
-def text_shapes(df: DataFrame, text_col: str, *by: str) -> tuple[DataFrame, DataFrame]:
+def text_shapes(df: DataFrame, text_col: str, *by: str, counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """The distinct texts as (text, by..., text_id) and their distinct shapes as
     (text_id, shape, by...): texts of one shape share the id. A NULL text is the
     empty one. Both distincts are pre-aggregated map-side, so a text repeated by a
-    third of all rows collapses before the shuffle; ids are fixed by a checkpoint."""
-    texts = cut_lineage(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *by).distinct()
-                        .withColumn("shape", shape_of(F.col("text"))))
+    third of all rows collapses before the shuffle; ids are fixed by a checkpoint.
+    ``counted``: each text brings its number of rows, ``n_rows``."""
+    n_rows = ["n_rows"] if counted else []
+    each = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *by)
+    each = each.groupBy("text", *by).agg(F.count("*").alias("n_rows")) if counted else each.distinct()
+    texts = cut_lineage(each.withColumn("shape", shape_of(F.col("text"))))
     shapes = cut_lineage(texts.select("shape", *by).distinct().withColumn("text_id", F.monotonically_increasing_id()))
     same = F.lit(True)
     for c in ("shape", *by):
         same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}"))
-    return (texts.alias("t").join(shapes.alias("s"), same).select("t.text", *[f"t.{c}" for c in by], "s.text_id"),
+    return (texts.alias("t").join(shapes.alias("s"), same).select("t.text", *[f"t.{c}" for c in by], "s.text_id", *[f"t.{c}" for c in n_rows]),
             shapes.select("text_id", "shape", *by))
 
 

@@ -24,3 +24,27 @@ def test_stream_matches_batch(spark):
     canon = S.fk_canonical(spark, cols, C.foreign_keys(spark, cols))
     want = {(r.ex_id, r.chosen_rank) for r in H.pick_first_valid(hyp, cols, canon, T.STAR_DB).collect()}
     assert got == want and len(got) == 1500
+
+
+def test_first_valid_in_bounded_tasks(spark, monkeypatch):
+    """One text in most rows, repeated and null ids, null texts: rows are dealt to many
+    tasks, none of which gets the frequent text's rows, with the same choices."""
+    monkeypatch.setattr(H, "TASK_ROWS", 150)
+    good, often = "SELECT n_name FROM nation", "SELECT nothing FROM nowhere"
+    rows = []
+    for k in range(600):
+        texts = [often, None if k % 5 == 0 else often, often, f"{good} WHERE n_nationkey = {k}" if k % 3 else "hello there"]
+        rows += [(k if k % 100 else None, n, t) for n, t in enumerate(texts)]
+    rows += [(k, 9, good) for k in range(3, 30, 6)] + [(1_000 + k, 0, good) for k in range(400)]
+    cols = C.profile(spark, SF_SMALL)
+    canon = S.fk_canonical(spark, cols, C.foreign_keys(spark, cols))
+    out = H.pick_first_valid(spark.createDataFrame(rows, "ex_id long, hyp_rank int, pred string"), cols, canon, T.STAR_DB)
+    got = {r.ex_id: (r.chosen_rank, r.pred_sql if r.found_valid else None, r.found_valid) for r in out.collect()}
+    want = {}
+    for ex in {x for x, *_ in rows}:
+        valid = sorted((n, t) for x, n, t in rows if x == ex and t is not None and t.startswith(good))
+        want[ex] = (*valid[0], True) if valid else (0, None, False)
+    assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
+    assert got[None][0] == 3 and got[None][2]
+    held = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(held) > 10 and max(r["count"] for r in held) < 200

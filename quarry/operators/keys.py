@@ -1,12 +1,13 @@
 """Keys found in the data (A09, A10): unique columns and inclusion dependencies.
 
 All whole-number and text columns of all tables become one table of their distinct
-values with counts (map-side partial counts, so a hot value is one row per task).
+values with counts (partial counts first, so a hot value is one row per task). Large
+tables are dealt out by their key columns before, so that no task counts more than a
+bounded part of the rows, whatever the files' splits.
 A column is unique if every row of its table has a value of its own. A column is
-included in a unique one if all its values occur there: values are grouped by hash
-into the set of columns that hold them, the few different sets say for every pair
-of columns how many values they share, and pairs that share all are confirmed on the
-values themselves.
+included in a unique one if all its values occur there: each value gets the set of
+columns that hold it, as bits, and the few different sets say for every pair of
+columns how many values they share.
 """
 
 from __future__ import annotations
@@ -17,25 +18,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.plan_utils import bounded_tasks
 from ..session import cut_lineage
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+TASK_VALUES = 1_000_000         # values of one task, about
+TASK_BYTES = 32 * 1024 * 1024   # and their bytes
+WORD = 63                       # columns of one word of a column set
 
 
 def column_values(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, col_pos, kind, value, n): the distinct non-null
     values of every whole-number and text column, written once."""
-    parts = []
+    places, parts = [], []
     for name, df in tables.items():
-        for kind, types in (("number", WHOLE), ("text", (T.StringType,))):
-            fields = [f.name for f in df.schema.fields if isinstance(f.dataType, types)]
-            if fields:
-                place = F.create_map(*[F.lit(x) for f in fields for x in (f, df.columns.index(f))])
-                parts.append(df.select(*[F.col(f).cast("string").alias(f) for f in fields]).unpivot([], fields, "column_name", "value")
-                             .where("value IS NOT NULL").select(F.lit(name).alias("table_name"), "column_name",
-                                                                place[F.col("column_name")].alias("col_pos"), F.lit(kind).alias("kind"), "value"))
-    keys = ["table_name", "column_name", "col_pos", "kind", "value"]
-    return cut_lineage(reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.count("*").alias("n")))
+        fields = [(f.name, kind, f.dataType) for kind, types in (("number", WHOLE), ("text", (T.StringType,)))
+                  for f in df.schema.fields if isinstance(f.dataType, types)]
+        if not fields:
+            continue
+        held = df.select(*[f for f, _, _ in fields])
+        tasks = bounded_tasks(df.count() * len(fields) / TASK_VALUES)
+        if tasks > 1:
+            held = held.repartition(tasks, *held.columns)
+        # numbers stay numbers until they are counted
+        cells = [F.struct(F.lit(len(places) + i).alias("place"), (F.col(f) if kind == "number" else F.lit(None)).cast("bigint").alias("number"),
+                          (F.col(f) if kind == "text" else F.lit(None)).cast("string").alias("text")) for i, (f, kind, _) in enumerate(fields)]
+        parts.append(held.select(F.inline(F.array(*cells))).where("number IS NOT NULL OR text IS NOT NULL"))
+        places += [(name, f, df.columns.index(f), kind) for f, kind, _ in fields]
+    counted = cut_lineage(reduce(DataFrame.unionByName, parts).groupBy("place", "number", "text").agg(F.count("*").alias("n")))
+    place = F.get(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.lit(p).alias("col_pos"), F.lit(k).alias("kind"))
+                            for t, c, p, k in places]), F.col("place"))
+    return (counted.withColumn("p", place).select("p.table_name", "p.column_name", "p.col_pos", "p.kind",
+                                                  F.coalesce(F.col("number").cast("string"), "text").alias("value"), "n"))
 
 
 def unique_columns(values: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -53,20 +67,24 @@ def inclusions(values: DataFrame, unique: DataFrame) -> DataFrame:
     """A10: (table_name, column_name, ref_table, ref_column, n_values, same_name) of
     columns whose values all occur in a unique column; ``same_name``: the names agree
     after their first underscore, as a foreign key's do."""
-    name = F.struct("table_name", "column_name")
-    sets = (values.select("kind", F.xxhash64("value").alias("h"), name.alias("c")).groupBy("kind", "h")
-            .agg(F.array_sort(F.collect_set("c")).alias("columns")).groupBy("kind", "columns").agg(F.count("*").alias("n")))
-    held = sets.select(F.explode("columns").alias("child"), "columns", "n")
-    total = held.groupBy("child").agg(F.sum("n").alias("total"))
-    parents = unique.select(name.alias("parent"))
+    spark = values.sparkSession
+    found = values.groupBy("table_name", "column_name").agg(F.count("*"), F.sum(F.octet_length("value"))).collect()   # one row a column
+    tasks = bounded_tasks(sum(r[2] for r in found) / TASK_VALUES, sum(r[3] for r in found) / TASK_BYTES)
+    places = spark.createDataFrame([(i, r[0], r[1], r[2]) for i, r in enumerate(found)],
+                                   "place int, table_name string, column_name string, n_values bigint")
+    words = [f"word{w}" for w in range(1 + len(found) // WORD)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place") % WORD)
+    sets = (values.join(F.broadcast(places), ["table_name", "column_name"]).select("kind", "value", "place").repartition(tasks, "kind", "value")
+            .groupBy("kind", "value").agg(*[F.bit_or(F.when(F.floor(F.col("place") / WORD) == w, bit).otherwise(0)).alias(c)
+                                            for w, c in enumerate(words)]).groupBy(*words).agg(F.count("*").alias("n")))
+    columns = F.filter(F.sequence(F.lit(0), F.lit(len(found))), lambda p: F.getbit(F.get(F.array(*words), F.floor(p / WORD).cast("int")), p % WORD) == 1)
+    held = sets.select(columns.alias("columns"), "n").select(F.explode("columns").alias("child"), "columns", "n")
     shared = (held.select("child", F.explode("columns").alias("parent"), "n").where("child <> parent")
-              .groupBy("child", "parent").agg(F.sum("n").alias("shared")).join(parents, "parent", "left_semi"))
-    likely = cut_lineage(shared.join(total, "child").where("shared = total").select("child", "parent"))
-    own = values.select(name.alias("child"), "value").join(likely, "child")
-    missing = own.join(values.select(name.alias("parent"), "value"), ["parent", "value"], "left_anti").select("child", "parent").distinct()
-    sizes = values.groupBy(name.alias("child")).agg(F.count("*").alias("n_values"))
+              .groupBy("child", "parent").agg(F.sum("n").alias("shared")))
+    child = places.withColumnRenamed("place", "child")
+    parent = (places.join(unique, ["table_name", "column_name"], "left_semi")
+              .select(F.col("place").alias("parent"), F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column")))
     stem = lambda c: F.regexp_replace(c, "^[^_]*_", "")
-    return (likely.join(missing, ["child", "parent"], "left_anti").join(sizes, "child").select(
-        "child.table_name", "child.column_name", F.col("parent.table_name").alias("ref_table"),
-        F.col("parent.column_name").alias("ref_column"), "n_values")
-        .withColumn("same_name", stem(F.col("column_name")) == stem(F.col("ref_column"))))
+    return (shared.join(child, "child").where("shared = n_values").join(parent, "parent")
+            .select("table_name", "column_name", "ref_table", "ref_column", "n_values")
+            .withColumn("same_name", stem(F.col("column_name")) == stem(F.col("ref_column"))))
